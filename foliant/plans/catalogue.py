@@ -4,12 +4,364 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import fixed, text, urls
+from ..operators import assemble, cache, chapters, dialects, dom, links, report, search
+from ..session import ship
+
+_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _REGISTRY[f.__name__] = (f, sql)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in _REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _REGISTRY.items() if sql}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+_ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
+_WS = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+
+
+def _sq(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{_WS}+', ' ', 'g'))"
+
+
+def _line_list(c: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace({c}, '\\r\\n?', chr(10), 'g'), chr(10)), lambda l: {_sq('l')}), lambda l: l <> '')"
+
+
+def _key(c: str) -> str:
+    return rf"lower(replace(replace(regexp_replace({c}, '[^\p{{L}}\p{{N}}]', '', 'g'), 'ß', 'ss'), 'ẞ', 'ss'))"
+
+
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+_ORIGIN = r"regexp_extract(url, '^[a-z]+://[^/?#]+')"
+_ANCHORS_SQL = rf"""
+    a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) AS href, unnest(regexp_extract_all(html, '{_ANCHOR}', 2)) AS title,
+          unnest(range(len(regexp_extract_all(html, '{_ANCHOR}', 1)))) AS pos FROM pages),
+    l AS (SELECT page_id, pos, {_sq("title")} AS title, {_ORIGIN} || regexp_replace(href, '#.*$', '') AS url FROM a WHERE href <> '' AND href[1] <> '#'),
+    d AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS k FROM l)"""
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, pos, title, url) of the same-origin links of each page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.arrays_zip(F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(2)).alias("title")).alias("a"))
+    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode("a").alias("pos", "a"))
+    rows = rows.select("page_id", "page_url", "pos", text.squeeze(F.col("a.title")).alias("title"), urls.absolute(F.col("a.href"), F.col("page_url")).alias("url"))
+    return rows.where(F.col("url").isNotNull() & urls.same_origin(F.col("url"), F.col("page_url"))).drop("page_url")
+
+
+@query(f"WITH {_ANCHORS_SQL} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS number, title, url FROM d WHERE k = 1")
+def page_links(spark, sf_dir):
+    """Ordered, deduplicated links of each page."""
+    first = links.dedupe(_anchors(spark, sf_dir), ["page_id"])
+    return longs(first.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).alias("number"), "title", "url"), "number")
+
+
+@query(f"WITH {_ANCHORS_SQL} SELECT page_id, count(*) AS n_links FROM d WHERE k = 1 GROUP BY page_id HAVING count(*) >= 2")
+def page_link_counts(spark, sf_dir):
+    """Pages with enough distinct links for a catalog."""
+    return links.dedupe(_anchors(spark, sf_dir), ["page_id"]).groupBy("page_id").agg(F.count("*").alias("n_links")).where("n_links >= 2")
+
+
+@query(r"""SELECT page_id, regexp_replace(url, '#.*$', '') AS normalized, regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www\.', '') AS site,
+           substr(sha256(regexp_replace(url, '#.*$', '')), 1, 20) AS cache_key FROM pages""")
+def normalized_urls(spark, sf_dir):
+    url = urls.normalize(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("normalized"), urls.site_name(F.col("url"), F.lit("generic")).alias("site"), text.cache_key(url).alias("cache_key"))
+
+
+@query(r"""WITH k AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www\.', '') || ' ' || regexp_replace(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '/+$', '') AS doc FROM pages)
+           SELECT doc, count(*) AS n_pages, min(page_id) AS first_page FROM k GROUP BY doc""")
+def same_document_groups(spark, sf_dir):
+    """Pages that may be one document, by key: a group of any size is one aggregate row."""
+    return table(spark, sf_dir, "pages").groupBy(urls.same_document_key(F.col("url")).alias("doc")).agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"))
+
+
+@query(r"""WITH h(ord, adapter, host) AS (VALUES (0, 'com', 'example.com'), (1, 'blog', 'example.net'), (2, 'net', 'net')),
+           p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS authority FROM pages)
+           SELECT page_id, coalesce(min_by(adapter, ord), 'generic') AS adapter FROM p LEFT JOIN h ON authority = host OR suffix(authority, '.' || host) GROUP BY page_id""")
+def host_dispatch(spark, sf_dir):
+    known = spark.createDataFrame([(0, "com", "example.com"), (1, "blog", "example.net"), (2, "net", "net")], "ord int, adapter string, host string")
+    return dialects.dispatch(table(spark, sf_dir, "pages").select("page_id", "url"), known).select("page_id", "adapter")
+
+
+_MARKS = " OR ".join(f"contains(s, '{m}')" for m in fixed.VERIFICATION_MARKERS)
+
+
+@query(f"SELECT page_id, ({_MARKS}) AS blocked FROM (SELECT page_id, lower(left(html, 20000)) AS s FROM pages)")
+def verification_flags(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.is_verification_page(F.col("html")).alias("blocked"))
+
+
+def _unescaped(c: str) -> str:
+    for a, b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+_TITLE_SQL = _sq(_unescaped("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))
+
+
+@query(rf"""WITH t AS (SELECT page_id, {_TITLE_SQL} AS raw FROM pages),
+            u AS (SELECT page_id, trim(regexp_replace(raw, '{_WS}*[-_|｜].*(?:小说|章节|阅读|同人小说).*$', '')) AS t FROM t)
+            SELECT page_id, left(t, 120) AS title FROM u WHERE length(t) >= 2""")
+def page_titles(spark, sf_dir):
+    """Book title of each page by the selector cascade."""
+    pages = dialects.dispatch(table(spark, sf_dir, "pages"))
+    nodes = dom.select(pages, {"title": fixed.TITLE_SELECTORS})
+    return links.book_titles(nodes, ["page_id"]).select("page_id", "title")
+
+
+_ARTICLE = "array_to_string(" + _line_list(_unescaped("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', chr(10), 'g')")) + ", chr(10))"
+
+
+@query(f"""SELECT page_id, CASE WHEN length(c) >= 10 THEN sha256(c) END AS content_sha, CASE WHEN length(c) >= 10 THEN 'ok' ELSE 'extract_error' END AS status
+           FROM (SELECT page_id, {_ARTICLE} AS c FROM pages)""")
+def page_content(spark, sf_dir):
+    """Body of each page: the best-scored block, cleaned."""
+    pages = dialects.dispatch(table(spark, sf_dir, "pages"))
+    nodes = dom.select(pages, chapters.content_groups())
+    return chapters.contents(nodes, pages, ["page_id"]).select("page_id", F.sha2("content", 256).alias("content_sha"), "status")
+
+
+@query(f"SELECT doc_id, sha256(array_to_string(l, chr(10))) AS clean_sha, len(l) AS n_lines FROM (SELECT doc_id, {_line_list('text')} AS l FROM documents)")
+def clean_documents(spark, sf_dir):
+    lines = text.line_list(F.col("text"))
+    return longs(table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.array_join(lines, "\n"), 256).alias("clean_sha"), F.size(lines).alias("n_lines")), "n_lines")
+
+
+@query(f"SELECT doc_id, sha256({_key('text')}) AS key_sha FROM documents")
+def match_keys(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.match_key(F.col("text")), 256).alias("key_sha"))
+
+
+_SEGMENTS = rf"list_filter(regexp_split_to_array({_sq('p_name')}, '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {_sq("p_name")} AS q, {_SEGMENTS} AS segs FROM part)
+           SELECT p_partkey, CASE WHEN len(segs) <= 1 THEN q ELSE list_filter(segs, lambda x: length(x) = list_max(list_transform(segs, lambda y: length(y))))[1] END AS keyword,
+           len(segs) > 1 AS filtered FROM s""")
+def keyword_segments(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.search_keyword(F.col("p_name")).alias("k")).select("p_partkey", "k.keyword", "k.filtered")
+
+
+@query(f"SELECT p_partkey, p_name AS title FROM part WHERE contains({_key('p_name')}, {_key(chr(39) + 'Part 1' + chr(39))})")
+def title_filter(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
+    return search.title_filter(part, "Part 1")
+
+
+@query(r"""SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(text, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ' .'), 120), ''), '未命名小说') AS name FROM documents""")
+def safe_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.file_name(F.col("text")).alias("name"))
+
+
+_INTERLEAVE = """
+    k AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rn, site_ord) AS kk FROM h),
+    r AS (SELECT rn, sum(CASE WHEN kk = 1 THEN 1 ELSE 0 END) AS fresh FROM k GROUP BY rn),
+    s AS (SELECT coalesce(min(rn), 1000000) AS stop_rn FROM r WHERE fresh = 0)
+    SELECT row_number() OVER (ORDER BY rn, site_ord) AS place, url FROM k, s WHERE kk = 1 AND rn < stop_rn"""
+
+
+@query(f"""WITH h AS (SELECT dense_rank() OVER (ORDER BY source) AS site_ord, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, substr(sha256(text), 1, 12) AS url FROM documents), {_INTERLEAVE} QUALIFY place <= 100""")
+def interleave_sources(spark, sf_dir):
+    """The first hundred of several ranked lists taken by turns: the limit is the merge's own. Ranks over 100 can't be among them, and are cut
+    within each list before the merge."""
+    docs = table(spark, sf_dir, "documents")
+    order = docs.select("source").distinct().withColumn("site_ord", F.dense_rank().over(Window.orderBy("source")))
+    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    lists = docs.join(F.broadcast(order), "source").select("site_ord", "source", "doc_id", F.substring(F.sha2("text", 256), 1, 12).alias("url"), rn.alias("rn"))
+    return longs(search.interleave(lists.select("site_ord", "rn", "url"), 100).select("place", "url"), "place")
+
+
+@query("""WITH h AS (SELECT o_custkey AS book, CAST(l_linenumber AS INT) AS site_ord, row_number() OVER (PARTITION BY o_custkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey) AS rn, CAST(l_partkey % 7 AS VARCHAR) AS url
+              FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+          k AS (SELECT *, row_number() OVER (PARTITION BY book, url ORDER BY rn, site_ord) AS kk FROM h),
+          r AS (SELECT book, rn, sum(CASE WHEN kk = 1 THEN 1 ELSE 0 END) AS fresh FROM k GROUP BY book, rn),
+          s AS (SELECT book, min(rn) AS stop_rn FROM r WHERE fresh = 0 GROUP BY book)
+          SELECT k.book, row_number() OVER (PARTITION BY k.book ORDER BY rn, site_ord) AS place, url FROM k LEFT JOIN s ON k.book = s.book WHERE kk = 1 AND rn < coalesce(stop_rn, 1000000)""")
+def interleave_dup_round(spark, sf_dir):
+    """The merge by customer, with many lists that end in a turn of repeats."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rn = F.row_number().over(Window.partitionBy("o_custkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_suppkey"))
+    lists = rows.select(F.col("o_custkey").alias("book"), F.col("l_linenumber").alias("site_ord"), rn.alias("rn"), (F.col("l_partkey") % 7).cast("string").alias("url"))
+    return longs(search.interleave(lists, keys=("book",)).select("book", "place", "url"), "place")
+
+
+@query("""WITH li AS (SELECT l_orderkey AS book, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, CAST(l_partkey % 5 AS VARCHAR) AS url, l_linenumber AS num FROM lineitem),
+          v AS (SELECT * FROM li QUALIFY row_number() OVER (PARTITION BY book, url ORDER BY pos) = 1),
+          kn AS (SELECT book, num, num - lag(num) OVER (PARTITION BY book ORDER BY pos) AS delta FROM v WHERE num > 0),
+          f AS (SELECT book, count(*) >= 3 AND coalesce(median(CASE WHEN delta <> 0 THEN delta END), 0) < 0 AS rev FROM kn GROUP BY book)
+          SELECT v.book, row_number() OVER (PARTITION BY v.book ORDER BY CASE WHEN rev THEN -pos ELSE pos END) AS number, '第' || num || '章' AS title, url FROM v JOIN f ON v.book = f.book""")
+def catalog_orientation(spark, sf_dir):
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), pos.alias("pos"), (F.col("l_partkey") % 5).cast("string").alias("url"), text.numbered(F.col("l_linenumber")).alias("title"))
+    return longs(links.orient(links.dedupe(rows, ["book"]), ["book"]).select("book", "number", "title", "url"), "number")
+
+
+@query("""WITH n AS (SELECT DISTINCT o_custkey, CAST(o_orderkey % 40 AS INT) AS number FROM orders),
+          i AS (SELECT *, number - row_number() OVER (PARTITION BY o_custkey ORDER BY number) AS g FROM n),
+          s AS (SELECT o_custkey, min(number) AS a, max(number) AS b FROM i GROUP BY o_custkey, g)
+          SELECT o_custkey, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '–' || b END, ', ' ORDER BY a) AS ranges FROM s GROUP BY o_custkey""")
+def ranges(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 40).cast("int").alias("number"))
+    return report.number_ranges(rows, ["o_custkey"])
+
+
+_STATE = "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'cache' ELSE 'ok' END"
+
+
+@query(f"""WITH att AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, {_STATE} AS st FROM events),
+          a AS (SELECT *, sum(CASE WHEN st = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY idx) AS grp FROM att),
+          b AS (SELECT *, sum(CASE WHEN st = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, grp ORDER BY idx) AS streak FROM a),
+          s AS (SELECT user_id, min(idx) AS stop_idx FROM b WHERE st = 'blocked' OR (st = 'error' AND streak >= 3) GROUP BY user_id)
+          SELECT b.user_id, b.idx FROM b LEFT JOIN s ON b.user_id = s.user_id
+          WHERE (idx <= coalesce(stop_idx, 1000000000) AND st IN ('error', 'blocked')) OR (idx > stop_idx AND st <> 'cache')""")
+def failure_breaker(spark, sf_dir):
+    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = table(spark, sf_dir, "events").select("user_id", idx.alias("idx"), F.expr(_STATE).alias("st"))
+    return longs(report.breaker(rows, ["user_id"], 3), "idx")
+
+
+_PLAN_SQL = """
+    p AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number, doc_id FROM documents),
+    c AS (SELECT p.book, p.number FROM p JOIN labels ON p.doc_id = labels.doc_id WHERE quality = 1)"""
+
+
+def _plan_and_cache(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A plan of each source's documents, and a cache of those labelled good."""
+    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    plan = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), number.alias("number"), "doc_id")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return plan, plan.join(good, "doc_id").select("book", "number", F.lit("t\n\nc").alias("text"))
+
+
+@query(f"WITH {_PLAN_SQL} SELECT book, number, doc_id FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.book = p.book AND c.number = p.number)")
+def resume_worklist(spark, sf_dir):
+    plan, have = _plan_and_cache(spark, sf_dir)
+    return longs(cache.worklist(plan, have, ["book"]), "number")
+
+
+@query(f"WITH {_PLAN_SQL} SELECT p.book, p.number, CASE WHEN c.number IS NULL THEN NULL ELSE 'c' END AS content, c.number IS NULL AS failed FROM p LEFT JOIN c ON c.book = p.book AND c.number = p.number")
+def resume_collate(spark, sf_dir):
+    plan, have = _plan_and_cache(spark, sf_dir)
+    return longs(cache.collate(plan, have, ["book"]).select("book", "number", "content", "failed"), "number")
+
+
+_CATALOGS_SQL = r"""
+    p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www\.', '') AS book, url FROM pages),
+    o AS (SELECT book, url, row_number() OVER (PARTITION BY book ORDER BY page_id) AS number FROM p),
+    n AS (SELECT book, url, row_number() OVER (PARTITION BY book ORDER BY CASE WHEN length(book) % 2 = 0 THEN page_id ELSE -page_id END) AS number FROM p),
+    ch AS (SELECT o.book, bool_or(o.url <> n.url) AS changed FROM o JOIN n ON o.book = n.book AND o.number = n.number GROUP BY o.book)"""
+
+
+def _catalogs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two revisions of each host's catalog: half of them reversed."""
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.bare_host(F.col("url")).alias("book"), "url")
+    numbered = lambda key: pages.select("book", "url", F.row_number().over(Window.partitionBy("book").orderBy(key)).alias("number"))
+    return numbered(F.col("page_id")), numbered(F.when(F.length("book") % 2 == 0, F.col("page_id")).otherwise(-F.col("page_id")))
+
+
+@query(f"WITH {_CATALOGS_SQL} SELECT book, changed FROM ch")
+def catalog_changes(spark, sf_dir):
+    return cache.mapping_changed(*_catalogs(spark, sf_dir), ["book"])
+
+
+@query(f"""WITH {_CATALOGS_SQL}
+          SELECT o.book, CASE WHEN changed THEN n.number ELSE o.number END AS number, o.url AS text, changed AS migrated FROM o JOIN n ON o.book = n.book AND o.url = n.url JOIN ch ON ch.book = o.book WHERE o.number % 3 <> 0""")
+def cache_realign(spark, sf_dir):
+    """A cache that holds two in three chapters, moved to the new catalog."""
+    old, new = _catalogs(spark, sf_dir)
+    have = old.where("number % 3 <> 0").select("book", "number", F.col("url").alias("text"))
+    return longs(cache.realign(old, new, have, ["book"]), "number")
+
+
+_DOC_LINES = f"""
+    x AS (SELECT doc_id, {_line_list('text')} AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p FROM x)"""
+
+
+@query(f"""WITH {_DOC_LINES},
+          h AS (SELECT *, line LIKE 'Th%' AS h FROM l),
+          s AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS s0 FROM h),
+          m AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'T' || doc_id END AS ft FROM documents),
+          g AS (SELECT s.doc_id, CASE WHEN s0 = 0 AND ft IS NULL THEN 1 ELSE s0 END AS sid, p, h, line FROM s JOIN m ON s.doc_id = m.doc_id),
+          t AS (SELECT doc_id, 0 AS sid, ft AS title FROM m WHERE ft IS NOT NULL UNION ALL SELECT doc_id, sid, line FROM g WHERE h),
+          b AS (SELECT doc_id, sid, string_agg(line, chr(10) ORDER BY p) AS body FROM g WHERE NOT h GROUP BY doc_id, sid)
+          SELECT t.doc_id, row_number() OVER (PARTITION BY t.doc_id ORDER BY t.sid) AS number, title, sha256(coalesce(body, '')) AS content_sha FROM t LEFT JOIN b ON t.doc_id = b.doc_id AND t.sid = b.sid""")
+def segment_assembly(spark, sf_dir):
+    """Documents re-cut at lines that start with `Th`; documents with an even id have a first title of their own."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(text.line_list(F.col("text"))).alias("line_pos", "line")).withColumn("is_heading", F.startswith("line", F.lit("Th")))
+    titles = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("T"), F.col("doc_id").cast("string"))).alias("first_title"))
+    found = assemble.sessions(lines, ["doc_id"], titles, ["line_pos"])
+    return longs(found.select("doc_id", "number", "title", F.sha2("content", 256).alias("content_sha")), "number")
+
+
+_EDGES = "SELECT o_orderkey AS url, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next_url, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, o_custkey FROM orders"
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}),
+          c(key, step, url, next_url) AS (SELECT o_custkey, 1, url, next_url FROM e WHERE rn = 1 UNION ALL SELECT c.key, c.step + 1, e.url, e.next_url FROM c JOIN e ON c.next_url = e.url WHERE c.step < 50)
+          SELECT key, CAST(step AS BIGINT) AS step, CAST(url AS VARCHAR) AS url, CASE WHEN step = 50 AND next_url IS NOT NULL THEN 'too_many_pages' ELSE 'ok' END AS status FROM c""")
+def page_chain(spark, sf_dir):
+    """Chains of next pages: each customer's orders by date, 50 at most as in the run's own limit."""
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("url"), F.lead("o_orderkey").over(by).cast("string").alias("next_url"), F.row_number().over(by).alias("rn"))
+    found = chapters.follow(rows.where("rn = 1").select(F.col("o_custkey").alias("key"), "url"), rows.select("url", "next_url"))
+    return longs(found, "step")
+
+
+@query("SELECT l_orderkey AS book, count(*) FILTER (l_linenumber <= 3) AS n_selected, count(*) FILTER (l_linenumber > 3) AS n_skipped FROM lineitem GROUP BY l_orderkey")
+def first_n_chapters(spark, sf_dir):
+    plan = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("number"))
+    return cache.first_chapters(plan, ["book"], 3)
+
+
+@query("""WITH c AS (SELECT conv_id, turn, length(text) AS size, CAST(turn % 3 AS INT) AS n_links, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS priority FROM conversations),
+          r AS (SELECT *, size - 25 * n_links - 1000 * priority AS score FROM c)
+          SELECT conv_id, turn, CAST(score AS BIGINT) AS score FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, priority, turn) = 1""")
+def top_content_block(spark, sf_dir):
+    """The choice among content blocks, on turns of conversations."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"), (F.col("turn") % 3).cast("int").alias("n_links"), F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2).alias("priority"))
+    return longs(chapters.best_block(rows, ["conv_id"], "size", "n_links", "priority", "turn").select("conv_id", "turn", "score"), "score")
+
+
+@query(f"""SELECT conv_id, count(*) AS n_chapters, sha256(string_agg({_stripped("role || chr(10) || chr(10) || text")}, chr(10) || chr(10) ORDER BY turn) || chr(10)) AS text_sha FROM conversations GROUP BY conv_id""")
+def merge_output(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("number"), F.col("role").alias("title"), F.col("text").alias("content"))
+    return assemble.joined(rows, ["conv_id"]).select("conv_id", "n_chapters", F.sha2("text", 256).alias("text_sha"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0 UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
+          SELECT k, k IN (SELECT k FROM a) AS common, k IN (SELECT k FROM b) AS failed FROM (SELECT k FROM a UNION SELECT k FROM b)""")
+def stale_keys(spark, sf_dir):
+    """Common numbers of two plans, and the union of two sets of failures."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    common = customer.select(F.col("c_custkey").alias("k")).intersect(orders.select("o_custkey")).withColumn("common", F.lit(True))
+    failed = customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("k")).union(orders.where("o_orderstatus = 'F'").select("o_custkey")).distinct().withColumn("failed", F.lit(True))
+    return common.join(failed, "k", "full").select("k", F.coalesce("common", F.lit(False)).alias("common"), F.coalesce("failed", F.lit(False)).alias("failed"))
