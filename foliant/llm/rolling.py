@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 @functools.lru_cache(maxsize=8)

@@ -31,7 +31,7 @@ from .rolling import byte_table, chunks, mix, prefix_hash, slice_hash, sliding_m
 from .shared import given_id, with_key, written
 
 STEP = 16
-FLUSH = 1_500_000
+FLUSH = 300_000
 LOW = np.uint64((1 << 31) - 1)
 ENTRY = [("key", np.uint64), ("whole", np.uint64), ("n", np.int64), ("doc", np.int64)]
 ENTRY_DDL = "key long, whole long, n long, doc long"
