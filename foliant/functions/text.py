@@ -13,7 +13,7 @@ from .fixed import java
 
 WS = r"(?U)[\s\x1c-\x1f]+"
 _DIGITS = [(chr(c), str(unicodedata.digit(chr(c)))) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
-_FOLDED = [(chr(c), chr(c).casefold()) for c in range(128, sys.maxunicode + 1) if chr(c).casefold() != chr(c).lower() and chr(c).isalnum()]
+_FOLDED = [(chr(c), chr(c).casefold()) for c in range(128, sys.maxunicode + 1) if chr(c).casefold() != chr(c).lower() and chr(c).isalnum()] + [("Σ", "σ")]  # lower() would look at a sigma's place in the word
 
 
 def squeeze(c: Column) -> Column:

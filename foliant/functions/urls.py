@@ -10,14 +10,27 @@ from .text import strip
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+_GROUPS = {"scheme": 1, "authority": 2, "path": 3, "query": 4}
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f uses it: expression trees would else grow by each use."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def part(url: Column, name: str) -> Column:
     """scheme (lower case), authority, path or query of a URL; empty if absent."""
-    group = {"scheme": 1, "authority": 2, "path": 3, "query": 4}[name]
-    found = F.regexp_extract(url, _SPLIT, group)
+    found = F.regexp_extract(url, _SPLIT, _GROUPS[name])
     return F.lower(found) if name == "scheme" else found
 
 
+def parts(url: Column) -> Column:
+    """All four as a struct."""
+    return let(url, lambda u: F.struct(*(part(u, n).alias(n) for n in _GROUPS)))
+
+
 def build(scheme: Column, authority: Column, path: Column, query: Column) -> Column:
+    """The URL of these parts; none of them should be costly."""
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
         F.when(authority != "", F.concat(F.lit("//"), authority)).otherwise(""),
@@ -26,22 +39,26 @@ def build(scheme: Column, authority: Column, path: Column, query: Column) -> Col
     )
 
 
+def built(p: Column) -> Column:
+    return build(p["scheme"], p["authority"], p["path"], p["query"])
+
+
 def normalize(url: Column) -> Column:
     """Without its fragment; the scheme in lower case."""
-    return build(*(part(url, n) for n in ("scheme", "authority", "path", "query")))
+    return let(parts(url), built)
 
 
 def _resolved(path: Column, base: Column) -> Column:
-    parts = F.split(base, "/")
-    parts = F.when(F.element_at(parts, -1) != "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    joined = F.concat(parts, F.split(path, "/"))
-    last = F.size(joined) - 1
-    joined = F.filter(joined, lambda x, i: (i == 0) | (i == last) | (x != ""))
-    segments = F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(joined)
+    folder = let(F.split(base, "/"), lambda x: F.when(F.element_at(x, -1) != "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
+    joined = let(F.concat(folder, F.split(path, "/")), lambda x: F.filter(x, lambda y, i: (i == 0) | (i == F.size(x) - 1) | (y != "")))
     empty = F.array().cast("array<string>")
-    kept = F.aggregate(segments, empty, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
-    kept = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.coalesce(F.nullif(F.array_join(kept, "/"), F.lit("")), F.lit("/"))
+
+    def folded(segments: Column) -> Column:
+        kept = F.aggregate(segments, empty, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+        tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(empty)
+        return F.coalesce(F.nullif(F.array_join(F.concat(kept, tail), "/"), F.lit("")), F.lit("/"))
+
+    return let(F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(joined), folded)
 
 
 def absolute(href: Column, base: Column) -> Column:
@@ -49,18 +66,21 @@ def absolute(href: Column, base: Column) -> Column:
     refused = F.lit(False)
     for prefix in ("#", "javascript:", "mailto:", "tel:"):
         refused = refused | F.startswith(href, F.lit(prefix))
+
+    def joined(h: Column, b: Column) -> Column:
+        path = F.when((h["authority"] != "") | ((h["scheme"] != "") & (h["scheme"] != b["scheme"])), h["path"]).when(h["path"] == "", b["path"]).otherwise(_resolved(h["path"], b["path"]))
+        foreign = (h["scheme"] != "") & (h["scheme"] != b["scheme"])
+        own = ~foreign & (h["authority"] == "")
+        return F.struct(
+            F.when(foreign, h["scheme"]).otherwise(b["scheme"]).alias("scheme"),
+            F.when(own, b["authority"]).otherwise(h["authority"]).alias("authority"),
+            path.alias("path"),
+            F.when(own & (h["path"] == "") & (h["query"] == ""), b["query"]).otherwise(h["query"]).alias("query"),
+        )
+
     text = F.regexp_replace(strip(href), r"[\t\r\n]", "")
-    scheme, authority, path, query = (part(text, n) for n in ("scheme", "authority", "path", "query"))
-    b_scheme, b_authority, b_path, b_query = (part(base, n) for n in ("scheme", "authority", "path", "query"))
-    foreign = (scheme != "") & (scheme != b_scheme)
-    relative = (
-        F.when(authority != "", build(b_scheme, authority, path, query))
-        .when(path == "", build(b_scheme, b_authority, b_path, F.when(query != "", query).otherwise(b_query)))
-        .otherwise(build(b_scheme, b_authority, _resolved(path, b_path), query))
-    )
-    url = F.when(foreign, build(scheme, authority, path, query)).otherwise(relative)
-    fine = part(url, "scheme").isin("http", "https") & (part(url, "authority") != "")
-    return F.when(href.isNotNull() & (href != "") & ~refused & fine, url)
+    url = let(parts(text), lambda h: let(parts(base), lambda b: let(joined(h, b), lambda u: F.when(u["scheme"].isin("http", "https") & (u["authority"] != ""), built(u)))))
+    return F.when(href.isNotNull() & (href != "") & ~refused, url)
 
 
 def same_origin(a: Column, b: Column) -> Column:
@@ -89,16 +109,20 @@ def host_matches(url: Column, host: Column) -> Column:
 
 def guess_catalog(url: Column, adapter: Column) -> Column:
     """The table of contents that a chapter's address points to by its shape; null for sites without such shapes."""
-    path = part(url, "path")
-    at = lambda p: F.when(p.isNotNull(), build(part(url, "scheme"), part(url, "authority"), p, F.lit("")))
-    book = F.nullif(F.regexp_extract(path, r"/tongren/([^/]+)(?:/[^/]*)?/?$", 1), F.lit(""))
-    trxs = F.concat(F.lit("/tongren/"), F.regexp_replace(book, r"(?i)\.html?$", ""), F.lit(".html"))
-    bqg = F.nullif(F.regexp_extract(path, r"/bqg/([^/]+)/", 1), F.lit(""))
-    shape, trimmed = r"(?i)^/([^/]+)/([^/]+)/(?:index/)?\d+\.html?$", F.regexp_replace(path, "/+$", "")
-    section = F.when(trimmed.rlike(shape), F.concat(F.lit("/"), F.regexp_extract(trimmed, shape, 1), F.lit("/"), F.regexp_extract(trimmed, shape, 2), F.lit("/")))
-    return F.when(adapter == "trxs_cc", at(trxs)).when(adapter == "23txxt", at(F.concat(F.lit("/bqg/"), bqg, F.lit("/")))).when(adapter == "bixiange", at(section))
+    shape = r"(?i)^/([^/]+)/([^/]+)/(?:index/)?\d+\.html?$"
+
+    def guess(p: Column) -> Column:
+        book = F.nullif(F.regexp_extract(p["path"], r"/tongren/([^/]+)(?:/[^/]*)?/?$", 1), F.lit(""))
+        trxs = F.concat(F.lit("/tongren/"), F.regexp_replace(book, r"(?i)\.html?$", ""), F.lit(".html"))
+        bqg = F.concat(F.lit("/bqg/"), F.nullif(F.regexp_extract(p["path"], r"/bqg/([^/]+)/", 1), F.lit("")), F.lit("/"))
+        trimmed = F.regexp_replace(p["path"], "/+$", "")
+        section = F.when(trimmed.rlike(shape), F.concat(F.lit("/"), F.regexp_extract(trimmed, shape, 1), F.lit("/"), F.regexp_extract(trimmed, shape, 2), F.lit("/")))
+        path = F.when(adapter == "trxs_cc", trxs).when(adapter == "23txxt", bqg).when(adapter == "bixiange", section)
+        return let(path, lambda x: F.when(x.isNotNull(), build(p["scheme"], p["authority"], x, F.lit(""))))
+
+    return let(parts(url), guess)
 
 
 def canonical_chapter(url: Column, adapter: Column) -> Column:
-    path = F.when(adapter == "23txxt", F.regexp_replace(part(url, "path"), r"(?i)_\d+(?=\.html?$)", "")).otherwise(part(url, "path"))
-    return build(part(url, "scheme"), part(url, "authority"), path, part(url, "query"))
+    shorter = lambda p: F.when(adapter == "23txxt", F.regexp_replace(p["path"], r"(?i)_\d+(?=\.html?$)", "")).otherwise(p["path"])
+    return let(parts(url), lambda p: let(shorter(p), lambda x: build(p["scheme"], p["authority"], x, p["query"])))

@@ -14,6 +14,7 @@ import functools
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,19 +130,20 @@ def matches(node: Node, selector: str) -> bool:
     return False
 
 
-_FIELDS = [("grp", pa.string()), ("rank", pa.int32()), ("node_id", pa.int32()), ("scope", pa.int32()), ("tag", pa.string()), ("spaced", pa.string()), ("lines", pa.string()), ("bare", pa.string()), ("n_links", pa.int32()), ("href", pa.string()), ("content", pa.string())]
-SCHEMA = "grp string, rank int, node_id int, scope int, tag string, spaced string, lines string, bare string, n_links int, href string, content string"
+_FIELDS = [("grp", pa.string()), ("rank", pa.int32()), ("node_id", pa.int32()), ("scope", pa.int32()), ("tag", pa.string()), ("spaced", pa.string()), ("lines", pa.string()), ("bare", pa.string()), ("n_links", pa.int32()), ("href", pa.string()), ("link", pa.string()), ("content", pa.string())]
+SCHEMA = "grp string, rank int, node_id int, scope int, tag string, spaced string, lines string, bare string, n_links int, href string, link string, content string"
 
 
 def select(pages: DataFrame, groups: dict[str, list[str]], scopes: dict[str, str] | None = None) -> DataFrame:
     """The columns of `pages` but html, and a row for each node that a selector of a group picks: group, the selector's place in it, node_id,
-    text joined by spaces and by lines, text without scripts and links, number of links below, href and content. For a group named in `scopes`
+    text joined by spaces and by lines, text without scripts and links, number of links below, href, link and content; `link` is the href as an
+    absolute http(s) URL, if `pages` has its page's url. For a group named in `scopes`
     nodes are sought below each node of that selector, whose node_id is `scope`."""
     keys = [f for f in pages.schema.fields if f.name != "html"]
     scopes = scopes or {}
     wanted = [(g, i, s) for g, some in groups.items() for i, s in enumerate(some)]
 
-    def rows(html: str):
+    def rows(html: str, base: str | None):
         tree = Tree(html)
         inside: dict[str, list[list[Node]]] = {}
         for g, s in scopes.items():
@@ -161,14 +163,15 @@ def select(pages: DataFrame, groups: dict[str, list[str]], scopes: dict[str, str
                         holders = [h[0].id for h in inside[g] if id(h[0]) in above]
                     for scope in holders:
                         n_links = sum(1 for _ in _links(node))
-                        yield g, i, node.id, scope, node.tag, " ".join(node.strings()), "\n".join(node.strings()), "\n".join(node.strings(bare=True)), n_links, node.attrs.get("href"), node.attrs.get("content")
+                        yield g, i, node.id, scope, node.tag, " ".join(node.strings()), "\n".join(node.strings()), "\n".join(node.strings(bare=True)), n_links, node.attrs.get("href"), absolute(node.attrs.get("href"), base), node.attrs.get("content")
 
     def run(batches):
         for b in batches:
             html = b.column("html").to_pylist()
+            bases = b.column("url").to_pylist() if "url" in b.schema.names else [None] * len(html)
             at, found = [], []
             for i, text in enumerate(html):
-                for row in rows(text) if text else ():
+                for row in rows(text, bases[i]) if text else ():
                     at.append(i)
                     found.append(row)
             take = pa.array(at, pa.int32())
@@ -180,6 +183,17 @@ def select(pages: DataFrame, groups: dict[str, list[str]], scopes: dict[str, str
     return pages.select(*(k.name for k in keys), "html").mapInArrow(run, f"{ddl}, {SCHEMA}")
 
 
+def absolute(href: str | None, base: str | None) -> str | None:
+    """The same rule as `functions.urls.absolute`, for use where the page is parsed anyway."""
+    if not href or not base or href.startswith(("#", "javascript:", "mailto:", "tel:")):
+        return None
+    try:
+        parts = urlsplit(urljoin(base, href.strip()))
+    except ValueError:  # such as an unclosed bracket in a host
+        return None
+    return urlunsplit(parts._replace(fragment="")) if parts.scheme in ("http", "https") and parts.netloc else None
+
+
 def _links(node: Node):
     stack = list(node.children)
     while stack:

@@ -48,7 +48,7 @@ def catalog_links(nodes: DataFrame, keys: list[str]) -> DataFrame:
     from all links if there are two; `nodes` has the groups of `catalog_groups` and the columns url and adapter of their page."""
     own = F.col("grp") == F.concat(F.lit("catalog:"), F.col("adapter"))
     found = nodes.where(own | (F.col("grp") == "links")).select(
-        *keys, "adapter", F.col("url").alias("page_url"), F.when(own, F.col("rank")).otherwise(LAST).alias("sel"), F.col("node_id").alias("pos"), text.clean_lines(F.col("spaced")).alias("title"), urls.absolute(F.col("href"), F.col("url")).alias("link")
+        *keys, "adapter", F.col("url").alias("page_url"), F.when(own, F.col("rank")).otherwise(LAST).alias("sel"), F.col("node_id").alias("pos"), text.clean_lines(F.col("spaced")).alias("title"), "link"
     )
     found = found.where(F.col("link").isNotNull() & urls.same_origin(F.col("link"), F.col("page_url")) & (F.length("title") <= 120))
     found = found.where(is_chapter_link(F.col("title"), F.col("link"))).select(*keys, "adapter", "sel", "pos", "title", F.col("link").alias("url"))
@@ -104,7 +104,7 @@ def _marked(markers: list[str], c: Column) -> Column:
 
 def neighbours(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, catalog_link, next_link) of each page with links: the first link to a table of contents, and the page that continues it."""
-    own = nodes.where("grp = 'links'").select(*keys, "adapter", "node_id", F.col("url").alias("page"), text.clean_lines(F.col("spaced")).alias("label"), urls.absolute(F.col("href"), F.col("url")).alias("link"))
+    own = nodes.where("grp = 'links'").select(*keys, "adapter", "node_id", F.col("url").alias("page"), text.clean_lines(F.col("spaced")).alias("label"), "link")
     own = own.where(F.col("link").isNotNull() & urls.same_origin(F.col("link"), F.col("page")))
     ahead = (F.length("label") <= 12) & _marked(fixed.NEXT_MARKERS, F.col("label"))
     shape = r"(?is)^(.*?)(?:_(\d+))?\.html?$"

@@ -32,11 +32,11 @@ def hits(pages: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     spaced = text.clean_lines(F.col("spaced"))
     place = F.struct("rank", "node_id")
     cards = nodes.groupBy(*keys, "scope").agg(
-        F.min_by(F.struct("href", spaced.alias("label")), F.when(kind == "link", place)).alias("link"),
+        F.min_by(F.struct(F.col("link").alias("href"), spaced.alias("label")), F.when(kind == "link", place)).alias("link"),
         F.min_by(spaced, F.when(kind == "title", F.col("node_id"))).alias("title"),
         F.min_by(spaced, F.when((kind == "snippet") & (spaced != ""), F.col("node_id"))).alias("snippet"),
     )
-    found = cards.select("site_ord", "adapter", F.col("scope").alias("pos"), F.coalesce("title", "link.label").alias("title"), urls.absolute(F.col("link.href"), F.col("url")).alias("url"), F.coalesce("snippet", F.lit("")).alias("snippet"))
+    found = cards.select("site_ord", "adapter", F.col("scope").alias("pos"), F.coalesce("title", "link.label").alias("title"), F.col("link.href").alias("url"), F.coalesce("snippet", F.lit("")).alias("snippet"))
     known = dialects.hosts(pages.sparkSession).select(F.col("adapter").alias("_a"), "host")
     # A site's own hosts are a handful; the condition is an equi-join on the adapter.
     own = found.join(F.broadcast(known), (F.col("adapter") == F.col("_a")) & urls.host_matches(F.col("url"), F.col("host")), "left_semi").where("title <> ''")
