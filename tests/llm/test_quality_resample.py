@@ -1,0 +1,46 @@
+import random
+
+import numpy as np
+
+from foliant.llm import quality_resample as Q
+
+
+def test_held_out_accuracy(spark):
+    """Documents with labels that the model never saw, on the driver's tables."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    seen = labels.where("doc_id % 2 = 0")
+    kept = {r.doc_id for r in Q.resample(docs, seen).collect()}
+    unseen = labels.where("doc_id % 2 = 1").collect()
+    good = [r.doc_id for r in unseen if r.quality == 1 and r.toxic == 0]
+    junk = [r.doc_id for r in unseen if r.quality == 0]
+    assert np.mean([i in kept for i in good]) > 0.9
+    assert np.mean([i in kept for i in junk]) < 0.15
+
+
+def test_kth_greatest_is_exact(spark):
+    rng = random.Random(2)
+    values = [rng.randrange(-(1 << 45), 1 << 45) for _ in range(300)] + [5] * 40 + [-(1 << 46), (1 << 46) - 1]
+    df = spark.createDataFrame([(v,) for v in values], "key long")
+    for k in (1, 2, 50, 150, 342):
+        assert Q.kth_greatest(df, k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_top_k_of_gumbel_keys(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    everything = {r.doc_id: r.gumbel_key for r in Q.resample(docs, labels, k=200).collect()}
+    some = {r.doc_id for r in Q.resample(docs, labels, k=30).collect()}
+    assert len(everything) == 200 and some == set(sorted(everything, key=everything.get, reverse=True)[:30])
+    noisy = {r.doc_id for r in Q.resample(docs, labels, k=30, temperature=100.0).collect()}
+    assert noisy != some and len(noisy) == 30
+
+
+def test_cases(spark):
+    docs = spark.createDataFrame([(1, None, 2), (1, "a b", 2), (None, "c", 2), (3, "", 2), (3, "", 2), (4, "x " * 50000, 2)], "doc_id long, text string, good int")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = spark.createDataFrame([(1, None, None), (None, 1, 0), (4, 1, None), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    for labels in (none, odd):
+        out = Q.resample(docs, labels).collect()
+        assert len(out) == 6 and all(r.log_weight == 0 for r in out if labels is none)
+    assert Q.resample(docs.limit(0), odd).collect() == []
+    assert Q.resample(docs, odd, k=0).collect() == []
