@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that repeat; a document of which nothing is left goes."""
     ship(spark)
-    found = suffix_dedup.repeats(docs, PASSAGE_BYTES, carry=("lang", "source", F.col("text").isNull().alias("was_null")))
+    found = suffix_dedup.covered(docs, PASSAGE_BYTES, carry=("lang", "source", F.col("text").isNull().alias("was_null")))
     kept = suffix_dedup.kept_texts(found).where(~F.col("cut") | (F.trim("kept") != ""))
     text = F.when(~F.col("carry.was_null"), F.col("kept"))
     return kept.select("doc_id", text.alias("text"), "carry.lang", "carry.source", F.length(text).cast("long").alias("n_chars"))

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digests(suffix_dedup.repeats(table(spark, sf_dir, "documents"), 400))
+    return suffix_dedup.digests(suffix_dedup.covered(table(spark, sf_dir, "documents"), 400))
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _sql_canonical() -> str:
     text = r"lower(coalesce(text, ''))"
-    text = rf"regexp_replace({text}, '^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', ' ', 'gm')"
+    text = rf"regexp_replace({text}, '(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$', ' ', 'g')"
     text = rf"' ' || trim(regexp_replace({text}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
     for spelling, one in license_scan.SPELLINGS:
         if spelling != one:
@@ -88,11 +88,6 @@ def oracle_sql() -> dict[str, str]:
     listed = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in license_scan.LICENCES.items())
     canonical = _sql_canonical()
     return {
-        "op2_ann": """
-            WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
-            s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
-            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-            SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
         "op5_url_filter": rf"""
             WITH rules(host, path, verdict) AS (VALUES {rules}),
             p AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -224,9 +224,9 @@ def _found(docs: DataFrame, length: int, anchor: int, grain: int) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame, length: int = 400, anchor: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text_hash, text, spans): each row of `docs` with the maximal byte runs [start, end) that repeated strings cover. The columns
-    named in `carry` come along in a struct of that name."""
+def covered(docs: DataFrame, length: int = 400, anchor: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text_hash, text, carry, sure): each row of `docs` with lists of byte stretches that repeated strings cover, which may overlap. The
+    columns named in `carry` come along in a struct of that name; a null id is still `NO_ID`."""
     anchor = anchor or max(1, length * 8 // 25)
     rows = with_key(docs)
     found = _found(rows, length, anchor, 0)
@@ -241,9 +241,13 @@ def repeats(docs: DataFrame, length: int = 400, anchor: int | None = None, carry
     narrow = narrow.select(*keys, "text").dropDuplicates(keys).join(mid.where(F.size("open") > 0).select(*keys, "open"), keys)
     last = _found(narrow, length, anchor, 2).select(*keys, F.col("sure").alias("last"))
     finished = left.drop("open").join(mid.drop("open"), keys, "left").join(last, keys, "left").select(*keys, "text", "carry", F.array("sure", "mid", "last").alias("sure"))
-    kind = state.schema["carry"].dataType.simpleString()
-    spans = done.unionByName(finished).mapInArrow(_spans, f"doc_id long, text_hash long, text string, spans array<struct<start:long,end:long>>, carry {kind}")
-    return spans.select(given_id(), "text_hash", "text", "spans", *(["carry"] if carry else []))
+    return done.unionByName(finished)
+
+
+def repeats(docs: DataFrame, length: int = 400, anchor: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, text, spans): each row of `docs` with the maximal byte runs [start, end) that repeated strings cover."""
+    found = covered(docs, length, anchor).select("doc_id", "text_hash", "text", "sure")
+    return found.mapInArrow(_spans, "doc_id long, text_hash long, text string, spans array<struct<start:long,end:long>>").select(given_id(), "text_hash", "text", "spans")
 
 
 def union_of(lists) -> list[tuple[int, int]]:
@@ -263,36 +267,42 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def _spans(batches):
     for b in batches:
         spans = [[{"start": s, "end": e} for s, e in union_of(x)] for x in b.column("sure").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("text"), pa.array(spans, _SPANS), b.column("carry")], ["doc_id", "text_hash", "text", "spans", "carry"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("text"), pa.array(spans, _SPANS)], ["doc_id", "text_hash", "text", "spans"])
+
+
+def _texts_and_spans(batch):
+    """Of each row the text's bytes, not copied, and its maximal runs."""
+    data, offsets = text_bytes(batch.column("text"))
+    whole, cuts = memoryview(data), offsets.tolist()
+    for i, sure in enumerate(batch.column("sure").to_pylist()):
+        yield whole[cuts[i] : cuts[i + 1]], union_of(sure)
 
 
 def _digest(batches):
-    for b in batches:
-        out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-        for doc, text, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
-            raw = text.encode()
+    for b in chunks(batches):
+        out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        for raw, spans in _texts_and_spans(b):
             kept, at = hashlib.sha256(), 0
-            for s in spans:
-                kept.update(raw[at : s["start"]])
-                at = s["end"]
+            for start, end in spans:
+                kept.update(raw[at:start])
+                at = end
             kept.update(raw[at:])
-            for k, v in zip(out, (doc, len(raw), sum(s["end"] - s["start"] for s in spans), len(spans), kept.hexdigest()), strict=True):
+            for k, v in zip(out, (len(raw), sum(e - s for s, e in spans), len(spans), kept.hexdigest()), strict=True):
                 out[k].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), *((k, pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string())]))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items())], ["doc_id", *out])
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the rows of `repeats`."""
-    return found.select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the rows of `covered`."""
+    return found.select("doc_id", "text", "sure").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", given_id())
 
 
 def _kept(batches):
-    for b in batches:
-        out = []
-        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            raw, parts, at = text.encode(), [], 0
-            for s in spans:
-                start, end = s["start"], s["end"]
+    for b in chunks(batches):
+        out, cut = [], []
+        for raw, spans in _texts_and_spans(b):
+            parts, at = [], 0
+            for start, end in spans:
                 while start < len(raw) and raw[start] & 0xC0 == 0x80:  # a character cut in two stays
                     start += 1
                 while end < len(raw) and end > start and raw[end] & 0xC0 == 0x80:
@@ -300,10 +310,12 @@ def _kept(batches):
                 parts.append(raw[at:start])
                 at = max(start, end)
             out.append(b"".join([*parts, raw[at:]]).decode())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("carry"), pa.array([len(s) > 0 for s in b.column("spans").to_pylist()], pa.bool_()), pa.array(out, pa.string())], ["doc_id", "carry", "cut", "kept"])
+            cut.append(bool(spans))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("carry"), pa.array(cut, pa.bool_()), pa.array(out, pa.string())], ["doc_id", "carry", "cut", "kept"])
 
 
 def kept_texts(found: DataFrame) -> DataFrame:
-    """(doc_id, carry, cut, kept) of the rows of `repeats`: the text without its repeated runs, and if it had any; a character that a run's
+    """(doc_id, carry, cut, kept) of the rows of `covered`: the text without its repeated runs, and if it had any; a character that a run's
     end would cut stays whole."""
-    return found.select("doc_id", "text", "spans", "carry").mapInArrow(_kept, f"doc_id long, carry {found.schema['carry'].dataType.simpleString()}, cut boolean, kept string")
+    kind = found.schema["carry"].dataType.simpleString()
+    return found.select("doc_id", "text", "sure", "carry").mapInArrow(_kept, f"doc_id long, carry {kind}, cut boolean, kept string").withColumn("doc_id", given_id())

@@ -23,7 +23,7 @@ def brute(rows, length):
 
 
 def digests(df, *args, **kw):
-    return sorted((tuple(r) for r in S.digests(S.repeats(df, *args, **kw)).collect()), key=repr)
+    return sorted((tuple(r) for r in S.digests(S.covered(df, *args, **kw)).collect()), key=repr)
 
 
 def tricky(seed=1):
@@ -51,8 +51,10 @@ def test_empty_table_and_kept_text(spark):
     assert digests(empty, 30) == []
     same = "é" * 40
     rows = spark.createDataFrame([(1, "x" + same + "y", "a"), (2, "z" + same, "b")], "doc_id long, text string, lang string")
-    kept = {r.doc_id: (r.kept, r.carry.lang) for r in S.kept_texts(S.repeats(rows, 31, carry=("lang",))).collect()}
+    kept = {r.doc_id: (r.kept, r.carry.lang) for r in S.kept_texts(S.covered(rows, 31, carry=("lang",))).collect()}
     assert kept == {1: ("xy", "a"), 2: ("z", "b")}
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in S.repeats(rows, 31).collect()}
+    assert spans == {1: [(1, 81)], 2: [(1, 81)]}
 
 
 def test_family_is_logarithmic_and_adds_up():
