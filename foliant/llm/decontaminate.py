@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders, and windows of templates are joined.
 
 A text is cut into words. A number becomes <num>, a unit <unit>, a capitalised word that does not start a sentence <name>; other words keep their
-lower-case form. Windows of `window` template words (a shorter benchmark item: the whole of it) are hashed and joined with the benchmark's.
+lower-case form; so do words in capitals. Windows of `window` template words (a shorter benchmark item: the whole of it) are hashed and joined with the benchmark's.
 A window's slots are then compared: each benchmark value must stand for one value of the document and the other way round, whatever the values
 are, so that a re-parameterised question is caught and a chance agreement of templates is not. Windows that are mostly placeholders count
 only if their values agree as they are.
@@ -66,13 +66,14 @@ def template(texts):
     first = np.ones(len(start), bool)
     if len(start) > 1:
         first[1:] = (row[1:] != row[:-1]) | (stops[start[1:]] > stops[end[:-1]])
-    capital = (data[start] >= 65) & (data[start] <= 90) if len(start) else np.zeros(0, bool)
+    capital = (data[start] >= 65) & (data[start] <= 90) & (end - start > 1)
+    capital &= (data[np.minimum(start + 1, len(data) - 1)] >= 97) if len(data) else False  # a text in capitals has no names
     token[capital & ~first] = NAME
     units = _unit_hashes()
     at = np.minimum(np.searchsorted(units, value), len(units) - 1)
     token[units[at] == value] = UNIT
     token[number] = NUM
-    return row, token, value, start, end, data
+    return row, token, value, start, end, data, capital
 
 
 def _window_hashes(row: np.ndarray, token: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,16 +107,21 @@ def _rows(ids, name, width, hashes, slots):
 def _item_windows(window: int):
     def run(batches):
         for b in chunks(batches):
-            row, token, value, start, end, data = template(b.column("text"))
+            row, token, value, start, end, data, capital = template(b.column("text"))
             ids = b.column("item_id").to_pylist()
             out = ([], [], [], [])
             for r in np.unique(row).tolist():
                 i = np.flatnonzero(row == r)
                 width = min(window, len(i))
-                at, h = _window_hashes(row[i], token[i], width)
-                for a, x in zip((at + i[0]).tolist(), h.tolist(), strict=True):
-                    for k, v in zip(out, (ids[r], width, x, _slots(token, value, start, end, data, a, width)), strict=True):
-                        k.append(v)
+                forms = [token]
+                if capital[i[0]] and token[i[0]] >= 8:  # inside a document the item may stand where no sentence starts
+                    forms.append(token.copy())
+                    forms[1][i[0]] = NAME
+                for n, form in enumerate(forms):
+                    at, h = _window_hashes(row[i], form[i], width)
+                    for a, x in list(zip((at + i[0]).tolist(), h.tolist(), strict=True))[: 1 if n else None]:
+                        for k, v in zip(out, (ids[r], width, x, _slots(form, value, start, end, data, a, width)), strict=True):
+                            k.append(v)
             yield _rows(out[0], "item_id", out[1], out[2], out[3])
 
     return run
@@ -137,7 +143,7 @@ def _doc_windows(widths: list[int], cells: bytes):
     def run(batches):
         bitmap = np.unpackbits(np.frombuffer(cells, np.uint8)).astype(bool)
         for b in chunks(batches):
-            row, token, value, start, end, data = template(b.column("text"))
+            row, token, value, start, end, data, _ = template(b.column("text"))
             ids = b.column("doc_id").to_pylist()
             for width in widths:
                 at, h = _window_hashes(row, token, width)

@@ -110,7 +110,7 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 
 def canonical(text: Column) -> Column:
     """The canonical form; spaces stand at both ends while spellings are replaced, so that only whole words are."""
-    lines = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$", " ")
+    lines = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?md)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$", " ")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(lines, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for spelling, one in SPELLINGS:
         if spelling != one:

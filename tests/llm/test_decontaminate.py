@@ -21,11 +21,11 @@ def test_passages_are_caught_and_clean_documents_are_not(spark):
             want.add((i, i // 3))
         docs.append((i, text))
     said = "so Anna Schmidt buys 75 apples for 9 dollars and sells 75 pears to her brother Peter in Berlin on 2 days."
-    docs += [(200, said), (201, said.replace("sells 75", "sells 76")), (202, "a short one here indeed"), (203, None), (204, ""), (None, items[0][1]), (205, items[1][1].upper())]
+    docs += [(200, said), (201, said.replace("75 apples", "9 apples")[:60]), (206, "x and then Maria Lopez buys 12 apples for 3 dollars and sells 12 pears to her"), (202, "a short one here indeed"), (203, None), (204, ""), (None, items[0][1]), (205, items[1][1].upper())]
     bench = spark.createDataFrame([*items, (102, None), (103, "")], "item_id long, text string")
     df = spark.createDataFrame([(*d, "q") for d in docs], "doc_id long, text string, item_id string")
     found = D.find(df, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == want | {(200, 100), (202, 101), (None, 0), (205, 1)}
+    assert {(r.doc_id, r.item_id) for r in found} == want | {(200, 100), (206, 100), (202, 101), (None, 0), (205, 1)}
     assert {r.doc_id: r.n_reworded > 0 for r in found}[200]
     left = {r.doc_id for r in D.clean(df, bench).collect()}
     assert left == {d for d, _ in docs} - {r.doc_id for r in found}
