@@ -2,7 +2,8 @@
 
 Words and runs of signs are hashed to `BUCKETS` buckets, singly and in pairs. The raw model counts all documents; the target model counts
 labelled ones that are good and not toxic, and leans on the raw model where it has seen little. A document's log weight is the mean over
-its words of log target - log raw. Labels come in through at most `LABELS` rows, taken by the order of their hashed ids, so the table that is
+its words of log target - log raw, where only n-grams count that the target has seldom (under `NEUTRAL`): how common a sound word is tells the
+language or the topic, and with those in the sum whole languages were rejected. Labels come in through at most `LABELS` rows, taken by the order of their hashed ids, so the table that is
 broadcast is bounded: half of them feed the target model, the other half sets the cut. Models are two arrays of `BUCKETS` numbers.
 
 Sampling: each document's key is its log weight over `temperature` plus Gumbel noise drawn from a hash of its id and the seed, and the k
@@ -28,6 +29,7 @@ BUCKETS = 1 << BITS
 LABELS = 20_000
 TEMPERATURE = 0.002
 TRUST = (5, 200)  # n-grams as heavy as the raw model's say, singly and in pairs
+NEUTRAL = -1.0  # log ratios above count as 0
 GOOD_LOST = 2  # what a good document rejected costs, a bad one kept costing 1
 
 
@@ -100,6 +102,7 @@ def model(docs: DataFrame, labels: DataFrame, most: int = LABELS) -> tuple[np.nd
         due = raw[half] * (target[half].sum() / max(1, raw[half].sum()))
         if due.any():
             ratio[half] = np.log((target[half] + trust) / (due + trust))
+            ratio[half][ratio[half] > NEUTRAL] = 0
     return ratio, some
 
 
