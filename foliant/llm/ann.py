@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-QUERY_BLOCK = 1024
-VECTOR_BLOCK = 1024
+QUERY_BLOCK = 512
+VECTOR_BLOCK = 32_768
 SAMPLE = 4_000
 RERANK = 64
 ETA = 4.0
