@@ -25,13 +25,16 @@ def test_columns(stages, spark, sf_dir):
     assert all(stages[k][1].columns == columns for k, _ in C.STAGES[:-1])
 
 
-def test_quality_keeps_most_clean_documents(stages, spark, sf_dir):
-    docs, kept = stages["quality"]
-    ids = {r.doc_id for r in kept.collect()}
-    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    good = [i for i, r in labels.items() if r.quality == 1 and r.toxic == 0]
-    assert sum(i in ids for i in good) > 0.75 * len(good)
-    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+def test_quality_keeps_clean_documents_and_rejects_junk(spark):
+    """On a table with some hundred labels; the smallest one has too few for a model."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = C.quality(spark, docs, sf).collect()
+    ids, labels = {r.doc_id for r in kept}, spark.read.parquet(f"{sf}/labels.parquet").collect()
+    good = [r.doc_id for r in labels if r.quality == 1 and r.toxic == 0]
+    junk = [r.doc_id for r in labels if r.quality == 0]
+    assert sum(i in ids for i in good) > 0.9 * len(good) and sum(i in ids for i in junk) < 0.1 * len(junk)
+    assert {tuple(r) for r in kept} <= {tuple(r) for r in docs.collect()}
 
 
 def test_one_of_each_group_stays(stages):
