@@ -63,6 +63,8 @@ def interleave(found: DataFrame, limit: int | None = None, keys: tuple[str, ...]
     """Lists merged by turns: all first items in list order, then all second ones. A URL counts where it comes first, and the merge ends before a
     turn that brings no new URL. Adds `place` from 1. `found`: *keys, site_ord, rn, url, ..."""
     by = list(keys)
+    if limit is not None:  # each turn brings one new URL at least, so later turns are out of reach
+        found = found.where(F.col("rn") <= limit)
     seen = found.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "url").orderBy("rn", "site_ord")))
     turns = seen.groupBy(*by, "rn").agg(F.max((F.col("_k") == 1).cast("int")).alias("fresh")).where("fresh = 0")
     end = turns.groupBy(*by).agg(F.min("rn").alias("_end")) if by else turns.agg(F.min("rn").alias("_end"))

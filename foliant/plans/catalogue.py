@@ -194,7 +194,7 @@ def interleave_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     order = docs.select("source").distinct().withColumn("site_ord", F.dense_rank().over(Window.orderBy("source")))
     rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    lists = docs.join(F.broadcast(order), "source").select("site_ord", "source", "doc_id", F.substring(F.sha2("text", 256), 1, 12).alias("url"), rn.alias("rn"))
+    lists = docs.join(order, "source").select("site_ord", "source", "doc_id", F.substring(F.sha2("text", 256), 1, 12).alias("url"), rn.alias("rn"))
     return longs(search.interleave(lists.select("site_ord", "rn", "url"), 100).select("place", "url"), "place")
 
 
