@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text, urls
 from ..operators import assemble, chapters, dialects, dom, links
 from ..operators.sanitize import sanitize
+from ..session import written
 
 
 def page_nodes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages with adapter, selected nodes) of captured pages (url, html), one for each normalised URL."""
     one = pages.select(urls.normalize(F.col("url")).alias("url"), "html").groupBy("url").agg(F.max("html").alias("html"))
     one = dialects.dispatch(one)
-    return one, dom.select(one, links.catalog_groups() | chapters.content_groups() | {"title": fixed.TITLE_SELECTORS})
+    return written(one.select("url", "adapter")), written(dom.select(one, links.catalog_groups() | chapters.content_groups() | {"title": fixed.TITLE_SELECTORS}))
 
 
 def discover(pages: DataFrame, nodes: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -25,7 +26,7 @@ def discover(pages: DataFrame, nodes: DataFrame, inputs: DataFrame) -> tuple[Dat
     start = inputs.select("book", urls.normalize(F.col("book")).alias("url")).join(keyed, "url", "left")
     guess = urls.guess_catalog(F.col("url"), F.col("adapter"))
     start = start.withColumn("guess", guess).withColumn("chapter", F.coalesce(urls.normalize(F.col("guess")) != F.col("url"), F.lit(False)))
-    lists = links.catalog_links(nodes.withColumn("page", F.col("url")), ["page"])
+    lists = written(links.catalog_links(nodes.withColumn("page", F.col("url")), ["page"]))
     has = lists.select(F.col("page").alias("url")).distinct().withColumn("has", F.lit(True))
     near = links.neighbours(nodes.withColumn("page_key", F.col("url")), ["page_key"])
     start = start.join(has, "url", "left").join(near.select(F.col("page_key").alias("url"), "catalog_link"), "url", "left")
@@ -46,8 +47,8 @@ def fetch_chapters(pages: DataFrame, nodes: DataFrame, plans: DataFrame, found:
     todo = chapters.start_urls(found).withColumn("key", F.concat_ws("\x1f", "book", F.col("number").cast("string")))
     near = links.neighbours(nodes.withColumn("page_key", F.col("url")), ["page_key"])
     edges = pages.select("url").join(near.select(F.col("page_key").alias("url"), F.col("next_link").alias("next_url")), "url", "left")
-    chain = chapters.follow(todo.select("key", F.col("start_url").alias("url")), edges, max_pages)
-    body = chapters.contents(nodes, pages, ["url"])
+    chain = written(chapters.follow(todo.select("key", F.col("start_url").alias("url")), written(edges), max_pages))
+    body = written(chapters.contents(nodes, pages, ["url"]))
     parts = chain.withColumnRenamed("status", "step_status").join(body, "url", "left")
     state = F.when(F.col("step_status") != "ok", F.col("step_status")).otherwise(F.col("status"))
     parts = parts.withColumn("state", state).join(todo.select("key", "book", F.col("number"), F.col("title").alias("link_title")), "key")
@@ -61,8 +62,8 @@ def fetch_chapters(pages: DataFrame, nodes: DataFrame, plans: DataFrame, found:
 def books(pages: DataFrame, inputs: DataFrame, max_pages: int = chapters.MAX_PAGES) -> DataFrame:
     """(book, catalog_url, title, file_name, n_chapters, failed, text) of each input address with a plan."""
     one, nodes = page_nodes(pages)
-    plans, found = discover(one, nodes, inputs)
-    done = fetch_chapters(one, nodes, plans, found, max_pages)
+    plans, found = map(written, discover(one, nodes, inputs))
+    done = written(fetch_chapters(one, nodes, plans, found, max_pages))
     failed = done.groupBy("book").agg(F.array_sort(F.collect_set(F.when(F.col("status") != "ok", F.col("number")))).alias("failed"))
     whole = assemble.joined(assemble.assemble(done.where("status = 'ok'"), ["book"]), ["book"])
     return plans.where("status = 'ok'").join(failed, "book", "left").join(whole, "book", "left").select("book", "catalog_url", "title", F.concat(text.file_name(F.col("title")), F.lit(".txt")).alias("file_name"), F.coalesce("n_chapters", F.lit(0)).alias("n_chapters"), "failed", "text")

@@ -24,7 +24,6 @@ def link_stream(pages: DataFrame) -> DataFrame:
     return rows.where(F.col("url").isNotNull() & urls.same_origin(F.col("url"), F.col("page")))
 
 
-
 def catalog_sink(path: str):
     """A foreachBatch function that writes each batch's catalogs under its batch id, so that a batch done twice is there once."""
 
