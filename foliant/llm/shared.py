@@ -1,33 +1,15 @@
-"""Written intermediate tables, text columns and connected components shared by the operators."""
+"""Row keys and connected components shared by the operators, and the library's written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NO_ID = -(1 << 63)
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's `spark.checkpoint.dir`; only a session without that setting gets a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/foliant-{uuid.uuid4().hex}"
+from ..session import scratch, written
 
+__all__ = ["NO_ID", "components", "given_id", "scratch", "with_key", "written"]
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation of it.
-
-    A table that was written stays until the folder is emptied, since lazily returned results still read it.
-    """
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+NO_ID = -(1 << 63)
 
 
 def with_key(docs: DataFrame, *more: str) -> DataFrame:
