@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm import best_fit_packing, decontaminate, quality_resample, simhash_dedup, suffix_dedup
-from foliant.llm.shared import written
+from foliant.llm import best_fit_packing, decontaminate, near_copies, quality_resample, suffix_dedup
+from foliant.llm.shared import components, written
 from foliant.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,16 +25,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id. Rows that share an id are one document; those without an id can't
-    be told apart: they go if each is in a group with an id, and else they all stay."""
+    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more: the one with the smallest id. Documents are told
+    apart by id and text, so rows that share an id, or have none, go or stay by their texts."""
     ship(spark)
-    groups = written(simhash_dedup.groups(docs))
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = docs.where("doc_id IS NOT NULL").withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    kept = one.join(groups.select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*COLUMNS)
-    if groups.where("doc_id IS NULL AND component_id IS NULL").isEmpty():
-        return kept
-    return kept.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    rows = docs.withColumn("_node", F.xxhash64("text"))
+    tree = components(near_copies.links(rows.select(F.col("_node").alias("node"), "text")))
+    nodes = rows.groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("least"))
+    first = F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("first")
+    kept = nodes.join(tree, "node", "left").groupBy(F.coalesce("root", "node")).agg(first).select(F.col("first.least").alias("_id"), F.col("first.node").alias("_first"))
+    one = rows.join(kept, (F.col("_node") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return one.dropDuplicates(["doc_id", "_node"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
