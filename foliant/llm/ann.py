@@ -3,7 +3,7 @@
 Vectors are cut into pairs of dimensions with 16 centroids each, so a code takes four bits a pair. Codebooks and codes minimise a loss in
 which the residual's part parallel to the vector weighs `eta` times the orthogonal part, since that part is what changes large inner products.
 A search scans the codes with one table of 16 entries a pair for each query (two pairs to a byte: 256 entries), keeps the best `rerank` of a
-block and reranks these by exact inner products in double precision.
+block, or one in `SHARE` of its vectors if that is more, and reranks these by exact inner products in double precision.
 
 Codebooks are fitted on at most `sample` vectors, those least by hashed id; every vector is indexed. Queries meet all vectors in blocks: query
 blocks of `QUERY_BLOCK` rows times vector blocks by salt, so each task holds one block of either, and no broadcast grows with the data.
@@ -28,6 +28,7 @@ QUERY_BLOCK = 512
 VECTOR_BLOCK = 32_768
 SAMPLE = 4_000
 RERANK = 64
+SHARE = 16  # recall at a fixed depth falls as blocks fill
 ETA = 4.0
 
 
@@ -118,6 +119,11 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, eta: float = ETA) -> Codebook
     return Codebook(np.array([r.embedding for r in rows], np.float64), eta) if rows else None
 
 
+def depth(n: int, rerank: int = RERANK) -> int:
+    """How many of a block of `n` vectors get an exact score."""
+    return max(rerank, -(-n // SHARE))
+
+
 def scan(book: Codebook, queries: np.ndarray, codes: np.ndarray, keep: int) -> np.ndarray:
     """Rows of the `keep` best approximate scores of each query, ties to earlier rows; codes is rows x bytes."""
     keep = min(keep, len(codes))
@@ -173,7 +179,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
         ids, x = v["vec_id"].to_numpy(), np.stack(v["embedding"]).astype(np.float64)
         codes = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), -1)
         asked_ids, asked_x = q["vec_id"].to_numpy(), np.stack(q["embedding"]).astype(np.float64)
-        found = scan(book, asked_x, codes, rerank + 1)
+        found = scan(book, asked_x, codes, depth(len(v), rerank) + 1)
         out = []
         for i, some in enumerate(found):
             some = some[ids[some] != asked_ids[i]]

@@ -46,6 +46,22 @@ def test_codes_bound_recall_alone():
     assert recall[4.0] > 0.5
 
 
+def test_recall_of_a_full_block():
+    """Vectors like the driver's and Gaussian ones, as many as a block holds."""
+    rng = np.random.default_rng(2)
+    for clusters in (10, 0):
+        x = rng.normal(size=(ann.VECTOR_BLOCK, 64))
+        if clusters:
+            x = x * 0.35 + rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(x))]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        q = x[:100]
+        true = np.argsort(-(q @ x.T), axis=1)[:, :20]
+        book = ann.Codebook(x[: ann.SAMPLE])
+        codes = book.packed(book.encode(x))
+        found = ann.scan(book, q, codes, ann.depth(len(x)) + 1)
+        assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(true, found, strict=True)]) >= 0.97, clusters
+
+
 def test_cases(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0, 0.5]), (1, [1.0, 0.0, 0.5]), (2, [0.0, 0.0, 0.0]), (3, None), (4, [nan, 1.0, 1.0]), (5, [inf, 1.0, 1.0]), (6, [None, 1.0, 1.0]), (7, [0.5, 0.5, 0.0]), (None, [1.0, 1.0, 1.0]), (8, [1.0]), (20, [0.0, 1.0, 0.0])]
