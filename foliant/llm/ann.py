@@ -7,8 +7,8 @@ block, or one in `SHARE` of its vectors if that is more, and reranks these by ex
 
 Codebooks are fitted on at most `sample` vectors, those least by hashed id; every vector is indexed. Queries meet all vectors in blocks: query
 blocks of `QUERY_BLOCK` rows times vector blocks by salt, so each task holds one block of either, and no broadcast grows with the data.
-Equal vectors have equal scores, so of any vector only the k + 1 copies with the smallest ids are scanned: the others can't be among the k
-nearest. Recall against brute force is measured in the tests.
+Equal vectors have equal scores and codes, so each distinct vector is scanned and reranked once and stands for its k + 1 copies with the smallest
+ids, which it gives only then: the others can't be among the k nearest. Recall against brute force is measured in the tests.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null vec_id or a length other than
 the most common one; repeated ids are separate candidates, but a query id is asked once, with its least vector; fewer candidates than k
@@ -150,7 +150,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
     result = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors)
     copies = Window.partitionBy("embedding").orderBy("vec_id")
-    distinct = written(rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"))
+    few = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
+    ids = F.sort_array(F.collect_list("vec_id"))
+    distinct = written(few.groupBy("embedding").agg(ids.alias("ids")).select(F.col("ids")[0].alias("vec_id"), "embedding", "ids"))
     book = fit(distinct, sample)
     if book is None:
         return spark.createDataFrame([], result)
@@ -169,23 +171,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
 
     block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block")
     part = F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(parts)).cast("int").alias("part")
-    coded_rows = distinct.mapInPandas(coded, f"vec_id long, embedding {kind}, code binary").select(block, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "embedding", "code")
+    coded_rows = distinct.mapInPandas(coded, f"vec_id long, embedding {kind}, ids array<long>, code binary").select(block, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "embedding", "ids", "code")
     query_rows = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part, "vec_id", "embedding")
 
     def nearest(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         v = v.sort_values("vec_id", kind="stable")
-        ids, x = v["vec_id"].to_numpy(), np.stack(v["embedding"]).astype(np.float64)
+        ids, copies, x = v["vec_id"].to_numpy(), v["ids"].to_list(), np.stack(v["embedding"]).astype(np.float64)
         codes = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), -1)
         asked_ids, asked_x = q["vec_id"].to_numpy(), np.stack(q["embedding"]).astype(np.float64)
         found = scan(book, asked_x, codes, depth(len(v), rerank) + 1)
         out = []
         for i, some in enumerate(found):
-            some = some[ids[some] != asked_ids[i]]
             score = (x[some] * asked_x[i]).sum(1)
-            best = np.lexsort((ids[some], -score))[:k]
-            out.append((np.full(len(best), asked_ids[i]), ids[some][best], score[best]))
+            best = np.lexsort((ids[some], -score))[: k + 1]
+            each = [np.asarray(copies[j]) for j in some[best]]
+            score, each = np.repeat(score[best], list(map(len, each))), np.concatenate(each)
+            score, each = score[each != asked_ids[i]], each[each != asked_ids[i]]
+            best = np.lexsort((each, -score))[:k]
+            out.append((np.full(len(best), asked_ids[i]), each[best], score[best]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     found = query_rows.groupBy("block", "part").cogroup(coded_rows.groupBy("block", "part")).applyInPandas(nearest, "query_id long, vec_id long, score double")

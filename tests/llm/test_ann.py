@@ -62,6 +62,21 @@ def test_recall_of_a_full_block():
         assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(true, found, strict=True)]) >= 0.97, clusters
 
 
+def test_groups_of_copies(spark):
+    """Many groups of 25 copies: the best vectors' copies are found, not those of what three approximate scores rank first."""
+    rng = np.random.default_rng(4)
+    x = 0.2 * rng.normal(size=(400, 64)) + rng.normal(size=64)
+    rows = [(int(v), x[i].tolist()) for v, i in enumerate(rng.permutation(np.repeat(np.arange(400), 25)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(-1 - i, y.tolist()) for i, y in enumerate(rng.normal(size=64) + 0.2 * rng.normal(size=(40, 64)))] + rows[:5], "vec_id long, embedding array<double>")
+    got = found(ann.search(df, queries, 20))
+    all_x = np.array([e for _, e in rows])
+    for r in queries.collect():
+        score = all_x @ np.array(r.embedding)
+        want = [v for v in np.lexsort((np.arange(len(rows)), -np.round(score, 9))).tolist() if v != r.vec_id][:20]
+        assert [v for v, _ in got[r.vec_id]] == want
+
+
 def test_cases(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0, 0.5]), (1, [1.0, 0.0, 0.5]), (2, [0.0, 0.0, 0.0]), (3, None), (4, [nan, 1.0, 1.0]), (5, [inf, 1.0, 1.0]), (6, [None, 1.0, 1.0]), (7, [0.5, 0.5, 0.0]), (None, [1.0, 1.0, 1.0]), (8, [1.0]), (20, [0.0, 1.0, 0.0])]
