@@ -32,6 +32,26 @@ def test_passages_are_caught_and_clean_documents_are_not(spark):
     assert D.find(df.limit(0), bench).collect() == [] and D.find(df, bench.limit(0)).collect() == []
 
 
+def test_names_that_open_sentences_numbers_and_case(spark):
+    said = "Alice has 3 apples. Bob has 5 pears. Alice gives 2 apples to Bob and asks how many he has now."
+    short, price = "Maria walks 4 miles to school every single day.", "A shop in Berlin sells 3 red lamps and 1,200 blue chairs for 95 euros every second week of May."
+    verbatim = "the mayor of Madrid met Juan Lopez near the old Toledo bridge while Pedro Ñunez sold maps"
+    bench = spark.createDataFrame([(0, said), (1, short), (2, price), (3, verbatim)], "item_id long, text string")
+    docs = [
+        (10, "Carol has 4 apples. Dan has 7 pears. Carol gives 1 apples to Dan and asks how many he has now.", 0),
+        (11, "Carol has 4 apples. Dan has 7 pears. Dan gives 1 apples to Dan and asks how many Carol has now.", None),
+        (12, "So said:\nCarol has 4 apples.\nDan has 7 pears. Carol gives 1\napples to Dan and asks how many he has now.", 0),
+        (13, "Now then. Julia walks 9 miles to school every single day. End.", 1),
+        (14, "A shop in Paris sells 3.5 red lamps and 14 blue chairs for 9,000.25 euros every second week of May.", 2),
+        (15, verbatim.upper(), 3),
+        (16, verbatim.lower(), 3),
+        (17, verbatim.replace(" ", "\n").title(), 3),
+        (18, "Carol had 4 apples. Dan had 7 pears. Carol gave 1 apple to Dan and asked how much he had then.", None),
+    ]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.find(df, bench).collect()} == {(d, i) for d, _, i in docs if i is not None}
+
+
 def words_of(text):
     out, word = [], ""
     for c in text + " ":
