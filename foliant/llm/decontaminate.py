@@ -255,5 +255,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs` without a window of the benchmark."""
-    return docs.join(find(docs, benchmark, window).select(F.col("doc_id").alias("_leak")).distinct(), F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows of `docs` without a window of the benchmark: rows that share an id, or have none, each by its own text."""
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    leaks = find(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, window).select(F.col("doc_id").alias("_leak")).distinct()
+    return keyed.join(leaks, F.col("_key") == F.col("_leak"), "left_anti").drop("_key")

@@ -77,3 +77,12 @@ def test_stages_take_odd_rows(spark, sf_dir):
     for name, stage in C.STAGES:
         assert stage(spark, odd, sf_dir).count() >= 3, name
         assert stage(spark, odd.limit(0), sf_dir).count() == 0, name
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_told_apart_by_text(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    texts = [(None, item), (None, "one clean text"), (1, "x " + item), (1, "another clean text"), (1, "a third text of its own"), (None, "one clean text"), (None, "another clean text")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.text for r in C.benchmark_leaks(spark, df, sf_dir).collect()) == sorted(t for _, t in texts if item not in t)
+    kept = [(r.doc_id, r.text) for r in C.near_duplicates(spark, df, sf_dir).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "another clean text"), (1, "a third text of its own"), (None, "one clean text"), (1, "x " + item) if (1, "x " + item) in kept else (None, item)], key=str)
