@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from . import dialects, dom
 
-NEVER = 1_000_000
 # What a hit is on each site: the card, links to try in it, title nodes, snippets.
 CARDS = {
     "trxs_cc": ("div.bk", ["h3 a[href]", "a[href]"], ["h3"], [".booknews, p"]),
@@ -70,7 +69,7 @@ def interleave(found: DataFrame, limit: int | None = None, keys: tuple[str, ...]
     end = turns.groupBy(*by).agg(F.min("rn").alias("_end")) if by else turns.agg(F.min("rn").alias("_end"))
     new = seen.where("_k = 1").drop("_k")
     new = new.join(end, by, "left") if by else new.crossJoin(F.broadcast(end))  # one row
-    new = new.where(F.col("rn") < F.coalesce("_end", F.lit(NEVER))).drop("_end")
+    new = new.where(F.col("_end").isNull() | (F.col("rn") < F.col("_end"))).drop("_end")
     if limit is not None and not by:
         new = new.orderBy("rn", "site_ord").limit(limit)
     out = new.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("rn", "site_ord")))

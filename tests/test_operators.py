@@ -190,6 +190,11 @@ def merge_loop(lists, limit):
     return out
 
 
+def test_interleave_has_no_last_turn(spark):
+    df = spark.createDataFrame([(0, 1, "a"), (0, 1_500_000, "b")], "site_ord int, rn int, url string")
+    assert [(r.place, r.url) for r in search.interleave(df).orderBy("place").collect()] == [(1, "a"), (2, "b")]
+
+
 def test_interleave_against_a_loop(spark):
     rng, rows, want = random.Random(3), [], []
     for b in range(80):
