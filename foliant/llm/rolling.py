@@ -7,6 +7,8 @@ Two tables give independent halves of a 128-bit fingerprint.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 
 @functools.lru_cache(maxsize=8)
@@ -35,6 +37,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def trimmed(run):
+    """`run` over Arrow batches; at its end the worker, which stays for later tasks, gives freed memory back to the machine."""
+
+    def to_end(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return to_end
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n).bit_length())
     up, down = _powers(size)
