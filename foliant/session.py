@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -44,20 +45,27 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's `spark.checkpoint.dir`; only a session without that setting gets a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def scratch(spark: SparkSession, root: str | None = None) -> str:
+    """A name for a new folder under `root`, else under the cluster's `spark.checkpoint.dir`. A session without that setting gets a folder of this
+    machine if it runs on this machine alone, and an error otherwise."""
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _local_folder()
     return f"{root.rstrip('/')}/foliant-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="foliant-")
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage and plan end there, and a lost executor costs no recomputation of it.
 
     A table that was written stays until the folder is emptied, since lazily returned results still read it.
     """
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
