@@ -286,7 +286,8 @@ def _found(docs: DataFrame, length: int, anchor: int, grain: int, batches: int =
         told = family.add(batch.mapInArrow(_entries(length, anchor, grain), ENTRY_DDL), store=i < batches - 1)
         matches = told if matches is None else matches.unionByName(told)
     # A match that a later scan tells again counts the later entries too, so the greatest count is the full one.
-    shared = matches.groupBy("key", "whole").agg((F.max("n") > 1).alias("twin"), F.max("several").alias("several"), F.min("doc").alias("keeper"))
+    # Written, so that the join below deals both sides anew and AQE can split the places of a passage that a third of all rows hold.
+    shared = written(matches.groupBy("key", "whole").agg((F.max("n") > 1).alias("twin"), F.max("several").alias("several"), F.min("doc").alias("keeper")))
     places = docs.mapInArrow(_places(length, anchor, grain), "doc_id long, text_hash long, low int, high int, a int, key long, whole long")
     hits = places.join(shared, ["key", "whole"])
     stretch = F.struct(*(F.col(c).cast("long").alias(c) for c in ("low", "high", "a")))
