@@ -13,7 +13,7 @@ from .fixed import java
 
 WS = r"(?U)[\s\x1c-\x1f]+"
 _DIGITS = [(chr(c), str(unicodedata.digit(chr(c)))) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
-_FOLDED = [(chr(c), chr(c).casefold()) for c in range(128, sys.maxunicode + 1) if chr(c).casefold() != chr(c).lower() and chr(c).isalnum()] + [("Σ", "σ")]  # lower() would look at a sigma's place in the word
+_FOLDED = [(chr(c), chr(c).casefold()) for c in range(128, sys.maxunicode + 1) if chr(c).casefold() != chr(c).lower() and chr(c).isalnum()]
 
 
 def squeeze(c: Column) -> Column:
@@ -37,14 +37,18 @@ def clean_lines(c: Column) -> Column:
 
 
 def match_key(c: Column) -> Column:
-    """Letters and digits only, case-folded."""
-    kept = F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
+    """Letters and digits only, case-folded. Below U+0149 just `ß` and `µ` fold to something else than their lower case, and short classes tell which
+    texts have one; a text with any character from there on is translated, and the characters that fold to several are looked for first."""
+    kept = F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))  # some scripts fold to capitals, so that lower case comes first
+    near = F.replace(F.replace(kept, F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
     single = [(a, b) for a, b in _FOLDED if len(b) == 1]
-    folded = F.translate(kept, "".join(a for a, _ in single), "".join(b for _, b in single))
-    for a, b in _FOLDED:
-        if len(b) > 1:
-            folded = F.replace(folded, F.lit(a), F.lit(b))
-    return F.lower(F.when(kept.rlike("[" + "".join(a for a, _ in _FOLDED) + "]"), folded).otherwise(kept))
+    far = F.translate(near, "".join(a for a, _ in single), "".join(b for _, b in single))
+    rare = [(a, b) for a, b in _FOLDED if len(b) > 1 and a != "ß"]
+    whole = far
+    for a, b in rare:
+        whole = F.replace(whole, F.lit(a), F.lit(b))
+    far = F.when(c.rlike("[" + "".join(a for a, _ in rare) + "]"), whole).otherwise(far)
+    return F.when(~c.rlike("[µßŉ-\U0010ffff]"), kept).when(~c.rlike("[ŉ-\U0010ffff]"), near).otherwise(far)
 
 
 def segments(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import REFUSED_HREFS
 from .text import strip
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -64,7 +65,7 @@ def _resolved(path: Column, base: Column) -> Column:
 def absolute(href: Column, base: Column) -> Column:
     """An http(s) link of a page as an absolute URL without fragment; null for what is no such link."""
     refused = F.lit(False)
-    for prefix in ("#", "javascript:", "mailto:", "tel:"):
+    for prefix in REFUSED_HREFS:
         refused = refused | F.startswith(href, F.lit(prefix))
 
     def joined(h: Column, b: Column) -> Column:

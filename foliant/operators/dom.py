@@ -12,18 +12,25 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import urls
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MUTE = frozenset({"script", "style", "template", "rt", "rp"})
 UNWANTED = frozenset({"script", "style", "noscript"})
-_STEP = re.compile(r"([\w-]*)((?:[#.][\w-]+|\[[^\]]*\])*)")
-_PART = re.compile(r"([#.])([\w-]+)|\[([\w-]+)(?:(\*?=)'([^']*)')?\]")
+_TOKEN = re.compile(
+    r"""(?P<comma>\s*,\s*)|(?P<blank>\s+)|(?P<mark>[#.])?(?P<name>[\w-]+)
+    |\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>\*?=)\s*(?:'(?P<single>[^']*)'|"(?P<double>[^"]*)"|(?P<plain>[\w-]+))\s*)?\]""",
+    re.X,
+)
+MOST_BYTES = 4 << 20
 
 
 @dataclass
@@ -85,18 +92,29 @@ class Tree(HTMLParser):
 
 @functools.lru_cache(maxsize=512)
 def compiled(selector: str) -> tuple[tuple[tuple, ...], ...]:
-    """Alternatives of a selector; each is its steps from the last to the first."""
-    out = []
-    for alternative in selector.split(","):
-        steps = []
-        for word in alternative.split():
-            tag, rest = _STEP.fullmatch(word).groups()
-            tests = [("tag", tag, "")] if tag else []
-            for mark, name, attr, op, value in _PART.findall(rest):
-                tests.append((mark, name, "") if mark else (op or "has", attr, value))
-            steps.append(tuple(tests))
-        out.append(tuple(reversed(steps)))
-    return tuple(out)
+    """Alternatives of a selector; each is its steps from the last to the first. Commas and blanks within a quoted value are part of the value."""
+    out, steps, at, text = [], [[]], 0, selector.strip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"not a selector: {selector!r}")
+        at = m.end()
+        kind, name, value = m["mark"], m["name"], next((v for v in (m["single"], m["double"], m["plain"]) if v is not None), "")
+        if m["comma"]:
+            out.append(steps)
+            steps = [[]]
+        elif m["blank"]:
+            steps.append([])
+        elif m["attr"]:
+            steps[-1].append((m["op"] or "has", m["attr"], value))
+        elif kind or not steps[-1]:
+            steps[-1].append((kind or "tag", name, ""))
+        else:
+            raise ValueError(f"not a selector: {selector!r}")
+    out.append(steps)
+    if not all(step for some in out for step in some):
+        raise ValueError(f"not a selector: {selector!r}")
+    return tuple(tuple(tuple(step) for step in reversed(some)) for some in out)
 
 
 def _fits(node: Node, tests) -> bool:
@@ -130,68 +148,84 @@ def matches(node: Node, selector: str) -> bool:
     return False
 
 
-_FIELDS = [("grp", pa.string()), ("rank", pa.int32()), ("node_id", pa.int32()), ("scope", pa.int32()), ("tag", pa.string()), ("spaced", pa.string()), ("lines", pa.string()), ("bare", pa.string()), ("n_links", pa.int32()), ("href", pa.string()), ("link", pa.string()), ("content", pa.string())]
-SCHEMA = "grp string, rank int, node_id int, scope int, tag string, spaced string, lines string, bare string, n_links int, href string, link string, content string"
+_FIELDS = [("grp", pa.string()), ("rank", pa.int32()), ("node_id", pa.int32()), ("scope", pa.int32()), ("tag", pa.string()), ("spaced", pa.string()), ("bare", pa.string()), ("size", pa.int32()), ("n_links", pa.int32()), ("href", pa.string()), ("content", pa.string())]
+SCHEMA = "grp string, rank int, node_id int, scope int, tag string, spaced string, bare string, size int, n_links int, href string, content string"
+
 
+def clean_size(node: Node) -> int:
+    """Characters of the node's text as `functions.text.clean_lines` leaves it, a line for each string."""
+    lines = (" ".join(x.split()) for s in node.strings() for x in s.replace("\r\n", "\n").replace("\r", "\n").split("\n"))
+    return max(0, sum(len(x) + 1 for x in lines if x) - 1)
 
-def select(pages: DataFrame, groups: dict[str, list[str]], scopes: dict[str, str] | None = None) -> DataFrame:
+
+def select(pages: DataFrame, groups: dict[str, list[str]], scopes: dict[str, str] | None = None, best: dict[str, Callable] | None = None) -> DataFrame:
     """The columns of `pages` but html, and a row for each node that a selector of a group picks: group, the selector's place in it, node_id,
-    text joined by spaces and by lines, text without scripts and links, number of links below, href, link and content; `link` is the href as an
-    absolute http(s) URL, if `pages` has its page's url. For a group named in `scopes`
-    nodes are sought below each node of that selector, whose node_id is `scope`."""
+    text joined by spaces, href and content; `link` is the href as an absolute http(s) URL, if `pages` has its page's url.
+
+    A group `name:adapter` is sought on pages of that `adapter` only, if `pages` has that column. For a group named in `scopes` nodes are sought below each
+    node of that selector, whose node_id is `scope`. Of a group named in `best`, a function of (rank, size, n_links) to a score or None, just the
+    node with the greatest score leaves the worker, of equal ones that of the earlier selector, then the earlier node: with `bare`, its text by lines without scripts
+    and links, `size`, the length of its clean text, and n_links, the links below. So nested blocks cost one copy of a page's text, not one each."""
     keys = [f for f in pages.schema.fields if f.name != "html"]
-    scopes = scopes or {}
-    wanted = [(g, i, s) for g, some in groups.items() for i, s in enumerate(some)]
+    names = [k.name for k in keys]
+    scopes, best = scopes or {}, best or {}
+
+    def wanted(adapter: str | None):
+        return [(g, i, s) for g, some in groups.items() if adapter is None or g.rpartition(":")[2] in (g, adapter) for i, s in enumerate(some)]
 
-    def rows(html: str, base: str | None):
+    def rows(html: str, asked: list):
         tree = Tree(html)
-        inside: dict[str, list[list[Node]]] = {}
-        for g, s in scopes.items():
-            inside[g] = []
-            for n in tree.nodes:
-                if matches(n, s):
-                    inside[g].append([n])
+        holders = {g: {id(n): n.id for n in tree.nodes if matches(n, s)} for g, s in scopes.items() if any(a[0] == g for a in asked)}
+        top: dict[str, tuple] = {}
         for node in tree.nodes:
-            for g, i, s in wanted:
-                if matches(node, s):
-                    holders = [None]
-                    if g in scopes:
-                        above, at = set(), node.parent
-                        while at is not None:
-                            above.add(id(at))
-                            at = at.parent
-                        holders = [h[0].id for h in inside[g] if id(h[0]) in above]
-                    for scope in holders:
-                        n_links = sum(1 for _ in _links(node))
-                        yield g, i, node.id, scope, node.tag, " ".join(node.strings()), "\n".join(node.strings()), "\n".join(node.strings(bare=True)), n_links, node.attrs.get("href"), absolute(node.attrs.get("href"), base), node.attrs.get("content")
+            for g, i, s in asked:
+                if not matches(node, s):
+                    continue
+                if g in best:
+                    size, n_links = clean_size(node), sum(1 for _ in _links(node))
+                    score = best[g](i, size, n_links)
+                    if score is not None and (g not in top or (score, -i) > top[g][0]):
+                        top[g] = (score, -i), node, i, size, n_links
+                    continue
+                inside = [None]
+                if g in scopes:
+                    inside, at = [], node.parent
+                    while at is not None:
+                        if id(at) in holders[g]:
+                            inside.append(holders[g][id(at)])
+                        at = at.parent
+                for scope in reversed(inside):
+                    yield g, i, node.id, scope, node.tag, " ".join(node.strings()), None, None, None, node.attrs.get("href"), node.attrs.get("content")
+        for g, (_, node, i, size, n_links) in top.items():
+            yield g, i, node.id, None, node.tag, None, "\n".join(node.strings(bare=True)), size, n_links, None, None
 
     def run(batches):
+        asked = functools.lru_cache(maxsize=64)(wanted)
         for b in batches:
-            html = b.column("html").to_pylist()
-            bases = b.column("url").to_pylist() if "url" in b.schema.names else [None] * len(html)
-            at, found = [], []
-            for i, text in enumerate(html):
-                for row in rows(text, bases[i]) if text else ():
+            htmls = b.column("html")
+            adapters = b.column("adapter").to_pylist() if "adapter" in names else [None] * b.num_rows
+            at, found, held = [], [], 0
+
+            def flush():
+                take = pa.array(at, pa.int32())
+                columns = [b.column(n).take(take) for n in names]
+                columns += [pa.array([r[j] for r in found], kind) for j, (_, kind) in enumerate(_FIELDS)]
+                return pa.RecordBatch.from_arrays(columns, [*names, *(n for n, _ in _FIELDS)])
+
+            for i in range(b.num_rows):
+                html = htmls[i].as_py()
+                for row in rows(html, asked(adapters[i])) if html else ():
                     at.append(i)
                     found.append(row)
-            take = pa.array(at, pa.int32())
-            columns = [b.column(k.name).take(take) for k in keys]
-            columns += [pa.array([r[j] for r in found], kind) for j, (_, kind) in enumerate(_FIELDS)]
-            yield pa.RecordBatch.from_arrays(columns, [*(k.name for k in keys), *(n for n, _ in _FIELDS)])
+                    held += len(row[5] or "") + len(row[6] or "")
+                if held > MOST_BYTES:
+                    yield flush()
+                    at, found, held = [], [], 0
+            yield flush()
 
     ddl = ", ".join(f"`{k.name}` {k.dataType.simpleString()}" for k in keys)
-    return pages.select(*(k.name for k in keys), "html").mapInArrow(run, f"{ddl}, {SCHEMA}")
-
-
-def absolute(href: str | None, base: str | None) -> str | None:
-    """The same rule as `functions.urls.absolute`, for use where the page is parsed anyway."""
-    if not href or not base or href.startswith(("#", "javascript:", "mailto:", "tel:")):
-        return None
-    try:
-        parts = urlsplit(urljoin(base, href.strip()))
-    except ValueError:  # such as an unclosed bracket in a host
-        return None
-    return urlunsplit(parts._replace(fragment="")) if parts.scheme in ("http", "https") and parts.netloc else None
+    picked = pages.select(*names, "html").mapInArrow(run, f"{ddl}, {SCHEMA}")
+    return picked.withColumn("link", urls.absolute(F.col("href"), F.col("url")) if "url" in names else F.lit(None).cast("string"))
 
 
 def _links(node: Node):

@@ -104,11 +104,11 @@ def _marked(markers: list[str], c: Column) -> Column:
 
 def neighbours(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, catalog_link, next_link) of each page with links: the first link to a table of contents, and the page that continues it."""
-    own = nodes.where("grp = 'links'").select(*keys, "adapter", "node_id", F.col("url").alias("page"), text.clean_lines(F.col("spaced")).alias("label"), "link")
-    own = own.where(F.col("link").isNotNull() & urls.same_origin(F.col("link"), F.col("page")))
+    own = nodes.where("grp = 'links'").select(*keys, "adapter", "node_id", F.col("url").alias("_page_url"), text.clean_lines(F.col("spaced")).alias("label"), "link")
+    own = own.where(F.col("link").isNotNull() & urls.same_origin(F.col("link"), F.col("_page_url")))
     ahead = (F.length("label") <= 12) & _marked(fixed.NEXT_MARKERS, F.col("label"))
     shape = r"(?is)^(.*?)(?:_(\d+))?\.html?$"
-    path, target = urls.part(F.col("page"), "path"), urls.part(F.col("link"), "path")
+    path, target = urls.part(F.col("_page_url"), "path"), urls.part(F.col("link"), "path")
     page_number = F.coalesce(F.nullif(F.regexp_extract(path, shape, 2), F.lit("")).cast("int"), F.lit(1))
     stem = F.regexp_extract(path, shape, 1)
     own_tail = F.when(path.rlike(shape) & F.startswith(F.lower(target), F.lower(stem)), F.substring(target, F.length(stem) + 1, F.length(target)))
@@ -118,7 +118,7 @@ def neighbours(nodes: DataFrame, keys: list[str]) -> DataFrame:
         F.min_by("link", F.when(ahead, F.col("node_id"))).alias("_linked"),
         F.min(F.when(n > page_number, F.struct(n.alias("n"), F.col("link")))).alias("_next"),
         F.first("adapter").alias("_adapter"),
-        F.first("page").alias("_page"),
+        F.first("_page_url").alias("_page"),
     )
     same = (urls.normalize(F.col("_linked")) != urls.normalize(F.col("_page"))) & (urls.canonical_chapter(F.col("_linked"), F.col("_adapter")) == urls.canonical_chapter(F.col("_page"), F.col("_adapter")))
     own_next = F.when(F.col("_adapter") != "23txxt", F.col("_linked")).when(F.coalesce(same, F.lit(False)), F.col("_linked")).otherwise(F.col("_next.link"))

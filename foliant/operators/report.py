@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NEVER = 1_000_000_000
-
 
 def number_ranges(rows: DataFrame, keys: list[str], number: str = "number") -> DataFrame:
     """(*keys, ranges): distinct numbers as `2–4, 8, 10–11`."""
@@ -26,7 +24,7 @@ def breaker(attempts: DataFrame, keys: list[str], most: int = 5, refresh: bool =
     runs = runs.withColumn("_streak", streak)
     stop = (F.col("st") == "blocked") | ((F.col("st") == "error") & (F.col("_streak") >= most))
     runs = runs.withColumn("_stop", F.min(F.when(stop, F.col("idx"))).over(Window.partitionBy(*keys)))
-    before = F.col("idx") <= F.coalesce("_stop", F.lit(NEVER))
+    before = F.col("_stop").isNull() | (F.col("idx") <= F.col("_stop"))
     failed = (before & F.col("st").isin("error", "blocked")) | (~before & (F.lit(refresh) | (F.col("st") != "cache")))
     return runs.where(failed).select(*keys, "idx")
 

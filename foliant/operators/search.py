@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from . import dialects, dom
+from . import dialects, dom, ranks
 
 # What a hit is on each site: the card, links to try in it, title nodes, snippets.
 CARDS = {
@@ -26,7 +26,7 @@ def hits(pages: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
         for kind, some in (("link", links), ("title", titles), ("snippet", snippets)):
             groups[f"{kind}:{name}"], scopes[f"{kind}:{name}"] = some, card
     keys = ["site_ord", "adapter", "url"]
-    nodes = dom.select(pages.select(*keys, "html"), groups, scopes).where(F.endswith("grp", F.concat(F.lit(":"), F.col("adapter"))))
+    nodes = dom.select(pages.select(*keys, "html"), groups, scopes)
     kind = F.substring_index("grp", ":", 1)
     spaced = text.clean_lines(F.col("spaced"))
     place = F.struct("rank", "node_id")
@@ -36,9 +36,7 @@ def hits(pages: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
         F.min_by(spaced, F.when((kind == "snippet") & (spaced != ""), F.col("node_id"))).alias("snippet"),
     )
     found = cards.select("site_ord", "adapter", F.col("scope").alias("pos"), F.coalesce("title", "link.label").alias("title"), F.col("link.href").alias("url"), F.coalesce("snippet", F.lit("")).alias("snippet"))
-    known = dialects.hosts(pages.sparkSession).select(F.col("adapter").alias("_a"), "host")
-    # A site's own hosts are a handful; the condition is an equi-join on the adapter.
-    own = found.join(F.broadcast(known), (F.col("adapter") == F.col("_a")) & urls.host_matches(F.col("url"), F.col("host")), "left_semi").where("title <> ''")
+    own = found.where((dialects.adapter_of(F.col("url")) == F.col("adapter")) & (F.col("title") != ""))
     first = Window.partitionBy("site_ord", "url").orderBy("pos")
     own = own.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
     ranked = own.withColumn("rn", F.row_number().over(Window.partitionBy("site_ord").orderBy("pos")))
@@ -72,5 +70,6 @@ def interleave(found: DataFrame, limit: int | None = None, keys: tuple[str, ...]
     new = new.where(F.col("_end").isNull() | (F.col("rn") < F.col("_end"))).drop("_end")
     if limit is not None and not by:
         new = new.orderBy("rn", "site_ord").limit(limit)
-    out = new.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("rn", "site_ord")))
-    return out if limit is None else out.where(F.col("place") <= limit)
+    if limit is None:
+        return ranks.numbered(new, by, ["rn", "site_ord"], "place")
+    return new.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("rn", "site_ord"))).where(F.col("place") <= limit)

@@ -15,7 +15,7 @@ def page_nodes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages with adapter, selected nodes) of captured pages (url, html), one for each normalised URL."""
     one = pages.select(urls.normalize(F.col("url")).alias("url"), "html").groupBy("url").agg(F.max("html").alias("html"))
     one = dialects.dispatch(one)
-    return written(one.select("url", "adapter")), written(dom.select(one, links.catalog_groups() | chapters.content_groups() | {"title": fixed.TITLE_SELECTORS}))
+    return written(one.select("url", "adapter")), written(dom.select(one, links.catalog_groups() | chapters.content_groups() | {"title": fixed.TITLE_SELECTORS}, best=chapters.content_scores()))
 
 
 def discover(pages: DataFrame, nodes: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:

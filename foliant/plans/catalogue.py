@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, urls
-from ..operators import assemble, cache, chapters, dialects, dom, links, report, search
+from ..operators import assemble, cache, chapters, dialects, dom, links, ranks, report, search
 from ..session import ship
 
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -105,7 +105,7 @@ def same_document_groups(spark, sf_dir):
            p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS authority FROM pages)
            SELECT page_id, coalesce(min_by(adapter, ord), 'generic') AS adapter FROM p LEFT JOIN h ON authority = host OR suffix(authority, '.' || host) GROUP BY page_id""")
 def host_dispatch(spark, sf_dir):
-    known = spark.createDataFrame([(0, "com", "example.com"), (1, "blog", "example.net"), (2, "net", "net")], "ord int, adapter string, host string")
+    known = [(0, "com", "example.com"), (1, "blog", "example.net"), (2, "net", "net")]
     return dialects.dispatch(table(spark, sf_dir, "pages").select("page_id", "url"), known).select("page_id", "adapter")
 
 
@@ -144,7 +144,7 @@ _ARTICLE = "array_to_string(" + _line_list(_unescaped("regexp_replace(regexp_ext
 def page_content(spark, sf_dir):
     """Body of each page: the best-scored block, cleaned."""
     pages = dialects.dispatch(table(spark, sf_dir, "pages"))
-    nodes = dom.select(pages, chapters.content_groups())
+    nodes = dom.select(pages, chapters.content_groups(), best=chapters.content_scores())
     return chapters.contents(nodes, pages, ["page_id"]).select("page_id", F.sha2("content", 256).alias("content_sha"), "status")
 
 
@@ -183,8 +183,8 @@ def safe_names(spark, sf_dir):
 _INTERLEAVE = """
     k AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rn, site_ord) AS kk FROM h),
     r AS (SELECT rn, sum(CASE WHEN kk = 1 THEN 1 ELSE 0 END) AS fresh FROM k GROUP BY rn),
-    s AS (SELECT coalesce(min(rn), 1000000) AS stop_rn FROM r WHERE fresh = 0)
-    SELECT row_number() OVER (ORDER BY rn, site_ord) AS place, url FROM k, s WHERE kk = 1 AND rn < stop_rn"""
+    s AS (SELECT min(rn) AS stop_rn FROM r WHERE fresh = 0)
+    SELECT row_number() OVER (ORDER BY rn, site_ord) AS place, url FROM k, s WHERE kk = 1 AND (stop_rn IS NULL OR rn < stop_rn)"""
 
 
 @query(f"""WITH h AS (SELECT dense_rank() OVER (ORDER BY source) AS site_ord, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, substr(sha256(text), 1, 12) AS url FROM documents), {_INTERLEAVE} QUALIFY place <= 100""")
@@ -203,7 +203,7 @@ def interleave_sources(spark, sf_dir):
           k AS (SELECT *, row_number() OVER (PARTITION BY book, url ORDER BY rn, site_ord) AS kk FROM h),
           r AS (SELECT book, rn, sum(CASE WHEN kk = 1 THEN 1 ELSE 0 END) AS fresh FROM k GROUP BY book, rn),
           s AS (SELECT book, min(rn) AS stop_rn FROM r WHERE fresh = 0 GROUP BY book)
-          SELECT k.book, row_number() OVER (PARTITION BY k.book ORDER BY rn, site_ord) AS place, url FROM k LEFT JOIN s ON k.book = s.book WHERE kk = 1 AND rn < coalesce(stop_rn, 1000000)""")
+          SELECT k.book, row_number() OVER (PARTITION BY k.book ORDER BY rn, site_ord) AS place, url FROM k LEFT JOIN s ON k.book = s.book WHERE kk = 1 AND (stop_rn IS NULL OR rn < stop_rn)""")
 def interleave_dup_round(spark, sf_dir):
     """The merge by customer, with many lists that end in a turn of repeats."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -240,7 +240,7 @@ _STATE = "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'cache' ELS
           b AS (SELECT *, sum(CASE WHEN st = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, grp ORDER BY idx) AS streak FROM a),
           s AS (SELECT user_id, min(idx) AS stop_idx FROM b WHERE st = 'blocked' OR (st = 'error' AND streak >= 3) GROUP BY user_id)
           SELECT b.user_id, b.idx FROM b LEFT JOIN s ON b.user_id = s.user_id
-          WHERE (idx <= coalesce(stop_idx, 1000000000) AND st IN ('error', 'blocked')) OR (idx > stop_idx AND st <> 'cache')""")
+          WHERE ((stop_idx IS NULL OR idx <= stop_idx) AND st IN ('error', 'blocked')) OR (idx > stop_idx AND st <> 'cache')""")
 def failure_breaker(spark, sf_dir):
     idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = table(spark, sf_dir, "events").select("user_id", idx.alias("idx"), F.expr(_STATE).alias("st"))
@@ -254,8 +254,7 @@ _PLAN_SQL = """
 
 def _plan_and_cache(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A plan of each source's documents, and a cache of those labelled good."""
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    plan = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), number.alias("number"), "doc_id")
+    plan = ranks.numbered(table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id"), ["book"], ["doc_id"])
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return plan, plan.join(good, "doc_id").select("book", "number", F.lit("t\n\nc").alias("text"))
 
@@ -282,7 +281,7 @@ _CATALOGS_SQL = r"""
 def _catalogs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Two revisions of each host's catalog: half of them reversed."""
     pages = table(spark, sf_dir, "pages").select("page_id", urls.bare_host(F.col("url")).alias("book"), "url")
-    numbered = lambda key: pages.select("book", "url", F.row_number().over(Window.partitionBy("book").orderBy(key)).alias("number"))
+    numbered = lambda key: ranks.numbered(pages.select("book", "url", key.alias("pos")), ["book"], ["pos"]).drop("pos")
     return numbered(F.col("page_id")), numbered(F.when(F.length("book") % 2 == 0, F.col("page_id")).otherwise(-F.col("page_id")))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import fixed
-from foliant.operators import assemble, cache, chapters, dialects, dom, links, report, search
+from foliant.operators import assemble, cache, chapters, dialects, dom, links, ranks, report, search
 from foliant.operators.sanitize import sanitize
 
 
@@ -76,7 +76,7 @@ def test_content_choice(spark):
     ]
     for html, want in cases:
         pages = dialects.dispatch(spark.createDataFrame([(url, html)], "url string, html string"))
-        r = chapters.contents(dom.select(pages, chapters.content_groups()), pages, ["url"]).first()
+        r = chapters.contents(dom.select(pages, chapters.content_groups(), best=chapters.content_scores()), pages, ["url"]).first()
         assert (r.title, r.content, r.status) == want
 
 
@@ -88,6 +88,35 @@ def test_tolerant_trees():
     assert dom.matches(div, "p #q.w") and dom.matches(div, "b, [class*='z w']") and not dom.matches(div, ".x") and not dom.matches(div, "b div") and dom.matches(div, "[id='q']")
 
 
+def test_selectors():
+    node = dom.Tree("<ul id='l'><li class='a b' title='x, y'>z</li></ul>").nodes[-1]
+    for good in ("[title='x, y']", 'ul > li'.replace(" >", ""), "ul li.a.b", "#l [title]", "p, li[class*='a b']", 'li[title="x, y"]', "li[class*=b]", "b ,li"):
+        assert dom.matches(node, good), good
+    for bad in ("li[", "ul > li", "", "li,", "[title='x]", "li:first"):
+        with pytest.raises(ValueError, match="selector"):
+            dom.compiled(bad)
+
+
+def test_numbers_by_ranges(spark):
+    rows = [(k, p, t) for k in (None, "a", "b") for p in (*range(-7, 30, 3), 500, 500, 9000) for t in (1, 2)]
+    df = spark.createDataFrame(rows, "k string, p int, t int")
+    got = sorted(((r.k or "", r.n, r.p, r.t) for r in ranks.numbered(df, ["k"], ["p", "t"], "n", 8).collect()))
+    assert got == sorted((k or "", n, p, t) for k in (None, "a", "b") for n, (_, p, t) in enumerate(sorted(r for r in rows if r[0] == k), 1))
+    assert [r.n for r in ranks.numbered(df, [], ["p", "t"], "n", 8).orderBy("n").collect()] == list(range(1, len(rows) + 1))
+
+
+def test_a_stop_far_behind(spark):
+    df = spark.createDataFrame([("b", 1, "error"), ("b", 2_000_000_000, "blocked"), ("b", 2_000_000_001, "ok"), ("c", 2_000_000_000, "ok")], "book string, idx long, st string")
+    assert sorted(tuple(r) for r in report.breaker(df, ["book"], 2).collect()) == [("b", 1), ("b", 2_000_000_000), ("b", 2_000_000_001)]
+
+
+def test_hosts_by_suffix(spark):
+    urls_ = ["https://www.trxs.cc/x", "http://TRXS.cc", "http://xtrxs.cc/", "http://a.b.bixiange.me:80/", "http://bixiange.me/", "x", None]
+    df = dialects.dispatch(spark.createDataFrame([(u,) for u in urls_], "url string"))
+    assert [r.adapter for r in df.collect()] == ["trxs_cc", "trxs_cc", "generic", "generic", "bixiange", "generic", "generic"]
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def cleaned(spark, adapter, book, number, title, content):
     df = spark.createDataFrame([(adapter, book, number, title, content)], "adapter string, book_title string, number int, title string, content string")
     once = sanitize(df)
@@ -173,6 +202,8 @@ def test_search_requests():
     assert "keyboard=%CA%BE" in dialects.search_url("示例")
     with pytest.raises(UnicodeEncodeError):
         dialects.search_requests("😀")
+    with pytest.raises(ValueError):
+        dialects.search_requests(" \n")
 
 
 def merge_loop(lists, limit):
