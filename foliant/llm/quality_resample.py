@@ -1,23 +1,30 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Words and runs of signs are hashed to `BUCKETS` buckets, singly and in pairs. The raw model counts all documents; the target model counts
-labelled ones that are good and not toxic, and leans on the raw model where it has seen little. A document's log weight is the mean over
-its words of log target - log raw, where only n-grams count that the target has seldom (under `NEUTRAL`): how common a sound word is tells the
-language or the topic, and with those in the sum whole languages were rejected. Labels come in through at most `LABELS` rows, taken by the order of their hashed ids, so the table that is
-broadcast is bounded: half of them feed the target model, the other half sets the cut. Models are two arrays of `BUCKETS` numbers.
+labelled ones that are good and not toxic. Both are conditioned on the language (the column `by`, of which the `LANGUAGES` most frequent among the labelled have
+models of their own and all others share one), so that how common a language is in either text says nothing. A document's log weight is the log
+likelihood ratio of its n-grams, the sum of log target - log raw, of both signs. An n-gram whose two counts differ by no more than chance would have it, a G statistic
+under `SURE`, has ratio 0: with some thousand labelled documents most of a ratio would be sampling error otherwise, which grows with a text's length.
 
-Sampling: each document's key is its log weight over `temperature` plus Gumbel noise drawn from a hash of its id and the seed, and the k
-documents with the greatest keys stay. Unless given, k is the number of documents whose weight is at or over the best cut on the labelled
-half; the k-th greatest key is found by counts of keys by leading bits, so the corpus is never sorted.
+Labels come in through at most `LABELS` rows, taken by the order of their hashed ids, so what is broadcast is bounded: these rows, and models of
+`BUCKETS` numbers a language.
 
-Cases: null and empty texts have weight 0; a table without labels has weights 0 and keeps all documents; rows that share a doc_id draw the
-same noise; ties at the k-th key all stay; a document with a null id takes part; an empty table gives an empty result; extra columns are ignored.
+Sampling: each document's key is its log weight over `temperature` plus Gumbel noise drawn from a hash of its id and the seed, and the k
+documents with the greatest keys stay. Unless k is given, each language is sampled by itself, as many documents of it as the share of the target among its
+labelled rows says, drawn to the share over all languages by the weight of `PRIOR` rows. The k-th greatest keys are found by counts of keys by leading
+bits, so the corpus is never sorted.
+
+Cases: null and empty texts have weight 0; without labels, or without a good document among them, weights are 0 and all
+documents stay; rows that share a doc_id draw the
+same noise; ties at the k-th key all stay; a document with a null id takes part; null languages are one language; without the column `by` there is one
+model; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +34,11 @@ from .shared import written
 BITS = 17
 BUCKETS = 1 << BITS
 LABELS = 20_000
-TEMPERATURE = 0.002
-TRUST = (5, 200)  # n-grams as heavy as the raw model's say, singly and in pairs
-NEUTRAL = -1.0  # log ratios above count as 0
-GOOD_LOST = 2  # what a good document rejected costs, a bad one kept costing 1
+LANGUAGES = 15
+TEMPERATURE = 1.0
+TRUST = 0.5  # added to both counts of an n-gram
+SURE = 25.0
+PRIOR = 20
 
 
 def _classes() -> np.ndarray:
@@ -73,37 +81,65 @@ def features(texts) -> tuple[np.ndarray, np.ndarray, int]:
     return np.r_[row, row[:-1][row[1:] == row[:-1]]], np.r_[single, double], len(single)
 
 
-def _counts(batches):
-    """One task: n-grams by bucket of all documents and of the target's."""
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for b in chunks(batches):
-        row, bucket, _ = features(b.column("text"))
-        raw += np.bincount(bucket, minlength=BUCKETS)
-        good = np.asarray(b.column("good").fill_null(False))
-        if good.any():
-            target += np.bincount(bucket[good[row]], minlength=BUCKETS)
-    some = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_pydict({"bucket": some, "raw": raw[some], "target": target[some]})
+def _counts(groups: int):
+    def run(batches):
+        """One task: n-grams by language and bucket of all documents and of the target's."""
+        raw, target = np.zeros(groups * BUCKETS, np.int64), np.zeros(groups * BUCKETS, np.int64)
+        for b in chunks(batches):
+            row, bucket, _ = features(b.column("text"))
+            bucket += np.asarray(b.column("model"))[row].astype(np.int64) * BUCKETS
+            raw += np.bincount(bucket, minlength=len(raw))
+            good = np.asarray(b.column("good").fill_null(False))
+            if good.any():
+                target += np.bincount(bucket[good[row]], minlength=len(raw))
+        some = np.flatnonzero(raw)
+        for i in range(0, len(some), 100_000):
+            part = some[i : i + 100_000]
+            yield pa.RecordBatch.from_pydict({"bucket": part, "raw": raw[part], "target": target[part]})
+
+    return run
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log target - log raw of each bucket of one language and one size of n-gram."""
+    if not target.sum():
+        return np.zeros(len(raw))
+    due = raw * (target.sum() / raw.sum())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(target > 0, target * np.log(target / due), 0.0) - (target - due))
+    return np.where(g >= SURE, np.log((target + TRUST) / (due + TRUST)), 0.0)
 
 
-def model(docs: DataFrame, labels: DataFrame, most: int = LABELS) -> tuple[np.ndarray, DataFrame]:
-    """(log ratio by bucket, bounded labels: doc_id, good, held); counts of raw text cover all documents."""
+def model(docs: DataFrame, labels: DataFrame, most: int = LABELS, by: str = "lang") -> tuple[np.ndarray, list, dict[int, float]]:
+    """(log ratios by model and bucket, languages with models of their own, share of the target by model; empty without a target). Counts of
+    raw text cover all documents."""
     some = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = (F.coalesce("quality", F.lit(0)) > 0) & (F.coalesce("toxic", F.lit(0)) == 0)
-    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 1
-    some = written(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", good.alias("good"), held.alias("held")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id", "left")
-    counts = rows.select("text", (F.col("good") & ~F.col("held")).alias("good")).mapInArrow(_counts, "bucket long, raw long, target long")
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, r, t in counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():  # BUCKETS rows at most
-        raw[bucket], target[bucket] = r, t
-    ratio = np.zeros(BUCKETS)
-    for half, trust in zip((slice(0, BUCKETS // 2), slice(BUCKETS // 2, BUCKETS)), TRUST, strict=True):
-        due = raw[half] * (target[half].sum() / max(1, raw[half].sum()))
-        if due.any():
-            ratio[half] = np.log((target[half] + trust) / (due + trust))
-            ratio[half][ratio[half] > NEUTRAL] = 0
-    return ratio, some
+    some = written(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", good.alias("good")))
+    language = F.col(by).cast("string") if by in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", language.alias("language")).join(F.broadcast(some), "doc_id", "left")
+    known = rows.where("good IS NOT NULL AND language IS NOT NULL").groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES)
+    languages = [r.language for r in known.collect()]  # LANGUAGES rows at most
+    marked = rows.where("good IS NOT NULL").groupBy(model_of(F.col("language"), languages).alias("model")).agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good")).collect()  # a row a model
+    whole = sum(r.good for r in marked) / max(1, sum(r.n for r in marked))
+    shares = {m: whole for m in range(len(languages) + 1)} | {r.model: (r.good + PRIOR * whole) / (r.n + PRIOR) for r in marked} if whole else {}
+    groups = len(languages) + 1
+    counts = rows.select("text", "good", model_of(F.col("language"), languages).alias("model")).mapInArrow(_counts(groups), "bucket long, raw long, target long")
+    total = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # a row a bucket and model at most
+    raw, target = np.zeros(groups * BUCKETS), np.zeros(groups * BUCKETS)
+    at = np.asarray(total.column("bucket"))
+    raw[at], target[at] = np.asarray(total.column("raw")), np.asarray(total.column("target"))
+    half = BUCKETS // 2  # single ones, then pairs
+    ratio = np.concatenate([log_ratios(raw[i : i + half], target[i : i + half]) for i in range(0, len(raw), half)])
+    return ratio.astype(np.float32), languages, shares
+
+
+def model_of(language: Column, languages: list) -> Column:
+    """Place of the language's model; the last one is that of all others."""
+    at = F.lit(len(languages))
+    for i, x in enumerate(languages):
+        at = F.when(language == x, i).otherwise(at)
+    return at.cast("int")
 
 
 def _weights(ratio: np.ndarray):
@@ -111,29 +147,19 @@ def _weights(ratio: np.ndarray):
         for b in chunks(batches):
             row, bucket, singles = features(b.column("text"))
             n = b.num_rows
-            weight = np.bincount(row, weights=ratio[bucket], minlength=n)[:n] if len(row) else np.zeros(n)
-            size = np.bincount(row[:singles], minlength=n)[:n] if len(row) else np.zeros(n, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(size.astype(np.int64)), pa.array(weight / np.maximum(size, 1))], ["doc_id", "text_hash", "n_words", "log_weight"])
+            bucket += np.asarray(b.column("model"))[row].astype(np.int64) * BUCKETS
+            weight = np.bincount(row, weights=ratio[bucket], minlength=n) if len(row) else np.zeros(n)
+            size = np.bincount(row[:singles], minlength=n) if len(row) else np.zeros(n, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(size.astype(np.int64)), pa.array(weight), b.column("model")], ["doc_id", "text_hash", "n_words", "log_weight", "model"])
 
     return run
 
 
-def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, text_hash, n_words, log_weight) for each row of `docs`."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_weights(ratio), "doc_id long, text_hash long, n_words long, log_weight double")
-
-
-def best_cut(scored: list[tuple[float, bool]]) -> float:
-    """The cut on weights that costs least on labelled documents, halfway to the next lower weight."""
-    if not scored or len({g for _, g in scored}) < 2:
-        return float("-inf")
-    scored = sorted(scored)
-    w, good = np.array([x for x, _ in scored]), np.array([g for _, g in scored])
-    rejected_bad = np.r_[0, np.cumsum(~good)] / max(1, (~good).sum())
-    rejected_good = np.r_[0, np.cumsum(good)] / max(1, good.sum())
-    i = int(np.argmax(rejected_bad - GOOD_LOST * rejected_good))
-    return float("-inf") if i == 0 else float((w[i - 1] + w[min(i, len(w) - 1)]) / 2)
+def weights(docs: DataFrame, ratio: np.ndarray, languages: list, by: str = "lang") -> DataFrame:
+    """(doc_id, text_hash, n_words, log_weight, model) for each row of `docs`."""
+    language = F.col(by).cast("string") if by in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", model_of(language, languages).alias("model"))
+    return rows.mapInArrow(_weights(ratio), "doc_id long, text_hash long, n_words long, log_weight double, model int")
 
 
 def noise(seed: int) -> Column:
@@ -143,38 +169,43 @@ def noise(seed: int) -> Column:
 
 
 STEPS = 1 << 20
-
-
-def kth_greatest(keys: DataFrame, k: int) -> int:
-    """The k-th greatest of the whole-number column `key` (under 2**46 in size): counts by leading bits, 16 bits at a time, so that 65,536
-    counts at most reach the driver."""
-    known, low = 46, -(1 << 46)
-    while known > -1:
-        shift = max(0, known + 1 - 16)
-        inside = keys.where((F.col("key") >= low) & (F.col("key") < low + (1 << (known + 1))))
-        bins = inside.groupBy(F.shiftright(F.col("key") - F.lit(low), shift).alias("bin")).count().collect()
-        for at, n in sorted(bins, reverse=True):
-            if n >= k:
-                low += at << shift
-                break
-            k -= n
-        else:
-            return low
+DIGIT = 14
+
+
+def kth_greatest(keys: DataFrame, k: dict[int, int]) -> dict[int, int]:
+    """For each `model` the k-th greatest of the whole-number column `key` (under 2**46 in size): counts by leading bits, `DIGIT` bits at a
+    time for all models at once, so that 2**DIGIT counts a model at most reach the driver."""
+    known, low, k = 46, {m: -(1 << 46) for m in k}, dict(k)
+    while known > -1 and k:
+        shift = max(0, known + 1 - DIGIT)
+        lows = F.create_map(*(F.lit(x) for m in k for x in (m, low[m])))[F.col("model")]
+        bins = keys.withColumn("_at", F.col("key") - lows).where((F.col("_at") >= 0) & (F.col("_at") < 1 << (known + 1)))
+        found = bins.groupBy("model", F.shiftright("_at", shift).alias("bin")).count().toArrow()
+        for m in list(k):
+            for at, n in sorted((r["bin"], r["count"]) for r in found.filter(pa.compute.equal(found["model"], m)).to_pylist())[::-1]:
+                if n >= k[m]:
+                    low[m] += at << shift
+                    break
+                k[m] -= n
+            else:
+                del k[m]  # fewer rows than asked for
         known = shift - 1
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most: int = LABELS, temperature: float = TEMPERATURE, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most: int = LABELS, temperature: float = TEMPERATURE, seed: int = 7, by: str = "lang") -> DataFrame:
     """(doc_id, text_hash, n_words, log_weight, gumbel_key) of the documents that stay."""
-    ratio, some = model(docs, labels, most)
-    scored = written(weights(docs, ratio))
-    if k is None:
-        checked = scored.join(F.broadcast(some.where("held")), "doc_id").groupBy("doc_id", "good").agg(F.min("log_weight").alias("log_weight")).select("log_weight", "good").collect()  # `most` rows at most
-        cut = best_cut([(w, g) for w, g in checked])
-        k = scored.where(F.col("log_weight") >= cut).count()
-    keyed = scored.withColumn("gumbel_key", F.col("log_weight") / temperature + noise(seed))
+    ratio, languages, shares = model(docs, labels, most, by)
+    scored = written(weights(docs, ratio, languages, by))
+    out = scored.withColumn("gumbel_key", F.col("log_weight") / temperature + noise(seed))
+    if k is None and not shares:
+        return out.drop("model")
     key = F.floor(F.greatest(F.least(F.col("gumbel_key"), F.lit(3e7)), F.lit(-3e7)) * STEPS).cast("long")
-    if k < 1:
-        return keyed.limit(0)
-    least = kth_greatest(keyed.select(key.alias("key")), k)
-    return keyed.where(key >= least)
+    one = F.lit(0) if k is not None else F.col("model")
+    keys = out.select(one.alias("model"), key.alias("key"))
+    wanted = {0: k} if k is not None else {r.model: round(shares[r.model] * r["count"]) for r in scored.groupBy("model").count().collect()}  # a row a model
+    wanted = {m: n for m, n in wanted.items() if n > 0}
+    if not wanted:
+        return out.drop("model").limit(0)
+    least = kth_greatest(keys, wanted)
+    return out.where(key >= F.create_map(*(F.lit(x) for m, n in least.items() for x in (m, n)))[one]).drop("model")

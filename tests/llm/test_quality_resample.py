@@ -1,6 +1,9 @@
+import collections
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from foliant.llm import quality_resample as Q
 
@@ -9,21 +12,76 @@ def test_held_out_accuracy(spark):
     """Documents with labels that the model never saw, on the driver's tables."""
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    seen = labels.where("doc_id % 2 = 0")
+    seen = labels.where("doc_id % 4 <> 1")
     kept = {r.doc_id for r in Q.resample(docs, seen).collect()}
-    unseen = labels.where("doc_id % 2 = 1").collect()
-    good = [r.doc_id for r in unseen if r.quality == 1 and r.toxic == 0]
-    junk = [r.doc_id for r in unseen if r.quality == 0]
-    assert np.mean([i in kept for i in good]) > 0.9
-    assert np.mean([i in kept for i in junk]) < 0.15
+    unseen = labels.where("doc_id % 4 = 1").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    good = [r for r in unseen if r.quality == 1 and r.toxic == 0]
+    assert np.mean([r.doc_id in kept for r in good]) > 0.93
+    for lang in ("en", "de", "fr", "es"):
+        assert np.mean([r.doc_id in kept for r in good if r.lang == lang]) > 0.8, lang
+    assert np.mean([r.doc_id in kept for r in unseen if r.quality == 0]) < 0.02
+    assert np.mean([r.doc_id in kept for r in unseen if r.toxic == 1]) < 0.35
+
+
+def test_weights_and_kept_rows_against_brute_force(spark, sf_dir):
+    """Models by dictionaries, weights by sums over n-grams, top-k by a sort."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows, marks = docs.collect(), {r.doc_id: r.quality == 1 and r.toxic == 0 for r in labels.collect()}
+    grams = {r.doc_id: [(r.lang, int(b) >= Q.BUCKETS // 2, int(b)) for b in Q.features(pa.array([r.text]))[1]] for r in rows}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, some in grams.items():
+        raw.update(some)
+        if marks.get(i):
+            target.update(some)
+    raw_total, target_total = collections.Counter(), collections.Counter()
+    for total, counts in ((raw_total, raw), (target_total, target)):
+        for (lang, pair, _), n in counts.items():
+            total[lang, pair] += n
+
+    def ratio(gram):
+        due, t = raw[gram] * target_total[gram[:2]] / raw_total[gram[:2]], target[gram]
+        sure = 2 * ((t * math.log(t / due) if t else 0) - (t - due)) >= 25
+        return math.log((t + 0.5) / (due + 0.5)) if sure else 0.0
+
+    want = {i: sum(map(ratio, some)) for i, some in grams.items()}
+    assert min(want.values()) < -10 and max(want.values()) > 0.5  # of both signs
+    everything = {r.doc_id: r for r in Q.resample(docs, labels, k=len(rows)).collect()}
+    assert len(everything) == len(rows)
+    for i, w in want.items():
+        assert math.isclose(everything[i].log_weight, w, rel_tol=1e-4, abs_tol=1e-3)
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", Q.noise(7).alias("g")).collect()}
+    assert abs(np.mean(list(noise.values())) - 0.5772) < 0.2
+    key = {i: w + noise[i] for i, w in want.items()}
+    lang, whole, best, plain = {r.doc_id: r.lang for r in rows}, np.mean(list(marks.values())), set(), set()
+    for x in set(lang.values()):
+        own, marked = [i for i in lang if lang[i] == x], [good for i, good in marks.items() if lang[i] == x]
+        k = round((sum(marked) + 20 * whole) / (len(marked) + 20) * len(own))
+        best |= set(sorted(own, key=key.get, reverse=True)[:k])
+        plain |= set(sorted(own, key=want.get, reverse=True)[:k])
+    kept = {r.doc_id for r in Q.resample(docs, labels).collect()}
+    assert len(kept) == len(best) and len(kept ^ best) <= 2  # sums in another order may swap the last
+    assert 0.005 * len(kept) < len(kept - plain)  # the noise matters
+
+
+def test_languages_do_not_compete(spark):
+    """A language that is rare among the good rows, but no worse, keeps its documents."""
+    rng = random.Random(4)
+    text = lambda lang, bad: " ".join(f"{lang}{rng.randrange(300)}" + ("" if not bad or rng.random() < 0.7 else " buynow") for _ in range(80))
+    rows = [(i, "aa" if i % 4 else "bb", i % 7 == 0) for i in range(1600)]
+    docs = spark.createDataFrame([(i, text(lang, bad), lang) for i, lang, bad in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(not bad), 0) for i, lang, bad in rows if lang == "aa" or i % 16 == 0], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in Q.resample(docs, labels).collect()}
+    for lang in ("aa", "bb"):
+        assert np.mean([i in kept for i, x, bad in rows if x == lang and not bad]) > 0.95
+    assert np.mean([i in kept for i, _, bad in rows if bad]) < 0.1
 
 
 def test_kth_greatest_is_exact(spark):
     rng = random.Random(2)
     values = [rng.randrange(-(1 << 45), 1 << 45) for _ in range(300)] + [5] * 40 + [-(1 << 46), (1 << 46) - 1]
-    df = spark.createDataFrame([(v,) for v in values], "key long")
+    df = spark.createDataFrame([(m, v) for v in values for m in (0, 3)] + [(1, 8)], "model int, key long")
     for k in (1, 2, 50, 150, 342):
-        assert Q.kth_greatest(df, k) == sorted(values, reverse=True)[k - 1]
+        assert Q.kth_greatest(df, {0: k, 3: 343 - k, 1: 1}) == {0: sorted(values, reverse=True)[k - 1], 3: sorted(values)[k - 1], 1: 8}
 
 
 def test_top_k_of_gumbel_keys(spark, sf_dir):
