@@ -1,18 +1,20 @@
 """Maximum inner product search with score-aware (anisotropic) product quantisation.
 
-Vectors are cut into pairs of dimensions with 16 centroids each, so a code takes four bits a pair. Codebooks and codes minimise a loss in
-which the residual's part parallel to the vector weighs `eta` times the orthogonal part, since that part is what changes large inner products.
-A search scans the codes with one table of 16 entries a pair for each query (two pairs to a byte: 256 entries), keeps the best `rerank` of a
-block, or one in `SHARE` of its vectors if that is more, and reranks these by exact inner products in double precision.
-
-Codebooks are fitted on at most `sample` vectors, those least by hashed id; every vector is indexed. Queries meet all vectors in blocks: query
-blocks of `QUERY_BLOCK` rows times vector blocks by salt, so each task holds one block of either, and no broadcast grows with the data.
-Equal vectors have equal scores and codes, so each distinct vector is scanned and reranked once and stands for its k + 1 copies with the smallest
-ids, which it gives only then: the others can't be among the k nearest. Recall against brute force is measured in the tests.
-
-Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null vec_id or a length other than
-the most common one; repeated ids are separate candidates, but a query id is asked once, with its least vector; fewer candidates than k
-give them all; an empty table gives an empty result; extra columns are ignored.
+Vectors lie in cells around k-means centres. What is left of a vector without its centre is cut into pairs of dimensions with 16 centroids each, so a code
+takes four bits a pair. Codebooks and codes minimise a loss in which the residual's part parallel to the vector weighs `eta` times the orthogonal part, since
+that part is what changes large inner products. A search scans the codes of a cell with one table of 16 entries a pair for each query (two pairs
+to a byte: 256 entries), keeps the best `rerank` of it, or a share of its vectors if that is more, and reranks these by exact inner products in double precision.
+
+Centres and codebooks are fitted on at most `sample` vectors, those least by hashed id; every vector is indexed. There is a cell for each `CELL` vectors, `CELLS` at most. A query
+visits the cells with the greatest expected best score. How many cells, and the share of a cell to rerank, are what queries drawn from the sample need to find the share `FOUND` of their
+true neighbours in the sample: where vectors have no clusters that is all cells, where clusters are too tight for the codes it is the size of a cluster. A cell of over `VECTOR_BLOCK` vectors is scanned in blocks, and the queries that visit a cell come in parts of `QUERY_BLOCK`, so a task holds one
+block of either and no broadcast grows with the data. A vector is sent once for each part of its cell's queries, a query once for each cell that it visits: both
+are bounded as long as the number of visits is. Equal vectors have equal scores and codes, so each distinct vector is scanned and reranked once and stands for the k + 1 smallest ids
+that have it, which it gives only then: others can't be among the k nearest. Recall against brute force is measured in the tests.
+
+Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null vec_id. Vectors of each length are searched by the queries of
+that length. Equal rows are one candidate, rows that share an id but not the vector are several; a query id is asked once, with its least vector, and no row with its
+id is a candidate of it; fewer candidates than k give them all; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
 VECTOR_BLOCK = 32_768
-SAMPLE = 4_000
+CELL, CELLS = 1024, 1024
+SAMPLE = 20_000
+FIT = 4_000  # of the sample, for the codebook
+FOUND = 0.985
 RERANK = 64
-SHARE = 16  # recall at a fixed depth falls as blocks fill
 ETA = 4.0
 
 
@@ -36,17 +40,17 @@ def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the vectors that take part."""
     d = F.col("embedding")
     fine = F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(d, lambda x: x != 0)
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(fine)
-    size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
-    return rows.join(F.broadcast(size), F.size("embedding") == F.col("n")).select("vec_id", "embedding")
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(fine)
 
 
 class Codebook:
-    """16 centroids for each pair of dimensions, fitted and assigned under the anisotropic loss by coordinate descent."""
+    """16 centroids for each pair of dimensions, fitted and assigned under the anisotropic loss by coordinate descent.
 
-    def __init__(self, x: np.ndarray, eta: float = ETA, rounds: int = 6, seed: int = 5) -> None:
+    What is coded is `x` less its cell's centre; the loss's direction is that of `toward`, the whole vector (`x` itself if not given)."""
+
+    def __init__(self, x: np.ndarray, eta: float = ETA, rounds: int = 6, seed: int = 5, toward: np.ndarray | None = None) -> None:
         self.eta, self.dim = eta, x.shape[1]
-        x = self.padded(x)
+        x, unit = self.padded(x), self.directions(x if toward is None else toward)
         rng = np.random.default_rng(seed)
         pairs = x.shape[1] // 2
         self.centroids = np.zeros((pairs, 16, 2))
@@ -55,13 +59,17 @@ class Codebook:
             self.centroids[m] = part[rng.integers(0, len(part), 16)] + rng.normal(0, 1e-6, (16, 2))
         codes = self.nearest(x)
         for _ in range(rounds):
-            self.update(x, codes)
-            codes = self.encode(x, codes)
+            self.update(x, unit, codes)
+            codes = self.improved(x, unit, codes)
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         width = -(-x.shape[1] // 4) * 4
         return np.pad(np.asarray(x, np.float64), ((0, 0), (0, width - x.shape[1])))
 
+    def directions(self, x: np.ndarray) -> np.ndarray:
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return self.padded(x / np.where(size > 0, size, 1))
+
     def nearest(self, x: np.ndarray) -> np.ndarray:
         part = x.reshape(len(x), -1, 1, 2)
         return ((part - self.centroids[None]) ** 2).sum(-1).argmin(-1).astype(np.uint8)
@@ -69,9 +77,8 @@ class Codebook:
     def decoded(self, codes: np.ndarray) -> np.ndarray:
         return self.centroids[np.arange(codes.shape[1])[None], codes].reshape(len(codes), -1)
 
-    def update(self, x: np.ndarray, codes: np.ndarray) -> None:
+    def update(self, x: np.ndarray, unit: np.ndarray, codes: np.ndarray) -> None:
         """Each pair's centroids by weighted least squares, the other pairs' share of the parallel residual held fixed."""
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         y = self.decoded(codes)
         extra = self.eta - 1
         for m in range(len(self.centroids)):
@@ -86,10 +93,12 @@ class Codebook:
                     self.centroids[m, c] = np.linalg.solve(weight[mine].sum(0) + 1e-9 * np.eye(2), right[mine].sum(0))
             y[:, s] = self.centroids[m][codes[:, m]]
 
-    def encode(self, x: np.ndarray, codes: np.ndarray | None = None, sweeps: int = 2) -> np.ndarray:
-        x = self.padded(x) if x.shape[1] != 2 * len(self.centroids) else x
-        codes = self.nearest(x) if codes is None else codes.copy()
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    def encode(self, x: np.ndarray, toward: np.ndarray | None = None) -> np.ndarray:
+        unit, x = self.directions(x if toward is None else toward), self.padded(x)
+        return self.improved(x, unit, self.nearest(x))
+
+    def improved(self, x: np.ndarray, unit: np.ndarray, codes: np.ndarray, sweeps: int = 2) -> np.ndarray:
+        codes = codes.copy()
         along = ((x - self.decoded(codes)) * unit).sum(1)
         rows = np.arange(len(x))
         for _ in range(sweeps):
@@ -114,14 +123,73 @@ class Codebook:
         return (t[:, ::2, :, None] + t[:, 1::2, None, :]).reshape(len(queries), -1, 256).astype(np.float32)
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, eta: float = ETA) -> Codebook | None:
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    return Codebook(np.array([r.embedding for r in rows], np.float64), eta) if rows else None
-
-
-def depth(n: int, rerank: int = RERANK) -> int:
-    """How many of a block of `n` vectors get an exact score."""
-    return max(rerank, -(-n // SHARE))
+def centres_of(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 9) -> np.ndarray:
+    """k-means from centres drawn by squared distance from those before."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.integers(0, len(x), 1)]
+    far = ((x - centres[0]) ** 2).sum(1)
+    for _ in range(cells - 1):
+        new = x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else 0]
+        centres = np.concatenate([centres, new[None]])
+        far = np.minimum(far, ((x - new) ** 2).sum(1))
+    for _ in range(rounds if cells > 1 else 1):
+        at = assigned(x, centres)
+        n = np.bincount(at, minlength=cells)
+        total = np.zeros_like(centres)
+        np.add.at(total, at, x)
+        centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def assigned(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([((centres**2).sum(1) - 2 * (x[i : i + 8192] @ centres.T)).argmin(1) for i in range(0, len(x), 8192)]) if len(x) else np.empty(0, np.int64)
+
+
+class Index:
+    """Centres, codebook, and how many cells a query visits, from a sample of the `n` vectors."""
+
+    def __init__(self, sample: np.ndarray, n: int, k: int = 20, eta: float = ETA) -> None:
+        x = np.asarray(sample, np.float64)
+        self.centres = centres_of(x, max(1, min(CELLS, -(-n // CELL), len(x) // 40)))
+        at = assigned(x, self.centres)
+        left = x - self.centres[at]
+        square = np.bincount(at, weights=(left**2).sum(1), minlength=len(self.centres))
+        # The spread along a query's direction, three standard deviations out: where a large cell's best vector may be.
+        self.reach = 3 * np.sqrt(square / np.maximum(np.bincount(at, minlength=len(self.centres)), 1) / x.shape[1])
+        self.book = Codebook(left[:FIT], eta, toward=x[:FIT])
+        self.visits, self.share = self.needed(x, at, k)
+
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """Cells of each query, the most promising one first."""
+        return np.argsort(-(queries @ self.centres.T + np.linalg.norm(queries, axis=1, keepdims=True) * self.reach[None]), axis=1, kind="stable")
+
+    def needed(self, x: np.ndarray, at: np.ndarray, k: int) -> tuple[int, float]:
+        """(cells to visit, share of a cell to rerank)."""
+        asked = x[:: max(1, len(x) // 400)]
+        place = np.argsort(self.order(asked), axis=1)  # a cell's place in the order
+        k = min(k + 1, len(x))
+        best = np.argpartition(-(asked @ x.T), k - 1, axis=1)[:, :k]
+        rough = asked @ (self.centres[at] + self.book.decoded(self.book.encode(x - self.centres[at], toward=x))[:, : x.shape[1]]).T
+        share = np.zeros(best.shape)
+        for c in range(len(self.centres)):
+            mine, (i, j) = np.flatnonzero(at == c), np.nonzero(at[best] == c)
+            if len(i):
+                ranked = np.sort(rough[:, mine], axis=1)
+                for q in np.unique(i):
+                    of = j[i == q]
+                    share[q, of] = (len(mine) - np.searchsorted(ranked[q], rough[q, best[q, of]])) / len(mine)
+        at_share = lambda v: np.sort(v.ravel())[min(v.size - 1, int(FOUND * v.size))]
+        return int(at_share(np.take_along_axis(place, at[best], 1))) + 1, float(at_share(share))
+
+    def depth(self, n: int, rerank: int = RERANK) -> int:
+        """How many of a block of `n` vectors get an exact score."""
+        return min(n, max(rerank, int(np.ceil(n * self.share)))) + 1
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return assigned(x, self.centres)
+
+    def codes(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        return self.book.packed(self.book.encode(x - self.centres[cells], toward=x))
 
 
 def scan(book: Codebook, queries: np.ndarray, codes: np.ndarray, keep: int) -> np.ndarray:
@@ -144,35 +212,56 @@ def scan(book: Codebook, queries: np.ndarray, codes: np.ndarray, keep: int) -> n
     return out
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of `vectors` found for each of `queries`, its own id left out."""
-    spark = vectors.sparkSession
-    result = "query_id long, rank int, vec_id long, score double"
-    rows = usable(vectors)
-    copies = Window.partitionBy("embedding").orderBy("vec_id")
-    few = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
-    ids = F.sort_array(F.collect_list("vec_id"))
-    distinct = written(few.groupBy("embedding").agg(ids.alias("ids")).select(F.col("ids")[0].alias("vec_id"), "embedding", "ids"))
-    book = fit(distinct, sample)
-    if book is None:
-        return spark.createDataFrame([], result)
-    n = distinct.count()
-    blocks = -(-n // VECTOR_BLOCK)
-    asked = written(usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    rows, asked = usable(vectors), usable(queries)
+    # One row of the k + 1 smallest ids a vector; a third of all rows may hold the same.
+    few = rows.withColumn("copy", F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("copy") <= k + 1)
+    distinct = written(few.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vec_id"), "embedding", "ids", F.size("embedding").alias("n")))
+    asked = written(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("n", F.size("embedding")))
+    sizes = {r.n: r["count"] for r in distinct.groupBy("n").count().collect()}  # lengths of vectors, not vectors
+    lengths = sorted(sizes.keys() & {r.n for r in asked.select("n").distinct().collect()})
+    found = [_found(distinct.where(F.col("n") == n).drop("n"), asked.where(F.col("n") == n).drop("n"), sizes[n], k, rerank, sample) for n in lengths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], RESULT)
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found[0].withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
 
+def _found(distinct: DataFrame, asked: DataFrame, n: int, k: int, rerank: int, sample: int) -> DataFrame:
+    """(query_id, vec_id, score) of the best in each cell that a query visits; all vectors have one length."""
+    some = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
+    index = Index(np.array([r.embedding for r in some], np.float64), n, k)
     kind = distinct.schema["embedding"].dataType.simpleString()
 
-    def coded(batches):
+    def placed(batches):
         for b in batches:
             if len(b):
-                b["code"] = list(map(bytes, book.packed(book.encode(np.stack(b["embedding"]).astype(np.float64)))))
+                x = np.stack(b["embedding"]).astype(np.float64)
+                b["cell"] = index.cells(x).astype(np.int32)
+                b["code"] = list(map(bytes, index.codes(x, b["cell"].to_numpy())))
                 yield b
 
-    block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block")
-    part = F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(parts)).cast("int").alias("part")
-    coded_rows = distinct.mapInPandas(coded, f"vec_id long, embedding {kind}, ids array<long>, code binary").select(block, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "embedding", "ids", "code")
-    query_rows = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part, "vec_id", "embedding")
+    def visiting(batches):
+        for b in batches:
+            if len(b):
+                b["cells"] = list(index.order(np.stack(b["embedding"]).astype(np.float64))[:, : index.visits].astype(np.int32))
+                yield b
+
+    coded = written(distinct.mapInPandas(placed, f"vec_id long, embedding {kind}, ids array<long>, cell int, code binary"))
+    visits = written(asked.mapInPandas(visiting, f"vec_id long, embedding {asked.schema['embedding'].dataType.simpleString()}, cells array<int>").select("vec_id", "embedding", F.explode("cells").alias("cell")))
+    cells = coded.groupBy("cell").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))
+    parts = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
+    shape = F.broadcast(written(cells.join(parts, "cell")))  # CELLS rows at most
+    block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int").alias("block")
+    part = F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("parts")).cast("int").alias("part")
+    vector_rows = coded.join(shape, "cell").select("cell", block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "embedding", "ids", "code")
+    query_rows = visits.join(shape, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part, "vec_id", "embedding")
 
     def nearest(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
@@ -181,18 +270,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
         ids, copies, x = v["vec_id"].to_numpy(), v["ids"].to_list(), np.stack(v["embedding"]).astype(np.float64)
         codes = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), -1)
         asked_ids, asked_x = q["vec_id"].to_numpy(), np.stack(q["embedding"]).astype(np.float64)
-        found = scan(book, asked_x, codes, depth(len(v), rerank) + 1)
+        picked = scan(index.book, asked_x, codes, index.depth(len(v), rerank))
         out = []
-        for i, some in enumerate(found):
-            score = (x[some] * asked_x[i]).sum(1)
-            best = np.lexsort((ids[some], -score))[: k + 1]
-            each = [np.asarray(copies[j]) for j in some[best]]
+        for i, few in enumerate(picked):
+            score = (x[few] * asked_x[i]).sum(1)
+            best = np.lexsort((ids[few], -score))[: k + 1]
+            each = [np.asarray(copies[j]) for j in few[best]]
             score, each = np.repeat(score[best], list(map(len, each))), np.concatenate(each)
             score, each = score[each != asked_ids[i]], each[each != asked_ids[i]]
             best = np.lexsort((each, -score))[:k]
             out.append((np.full(len(best), asked_ids[i]), each[best], score[best]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    found = query_rows.groupBy("block", "part").cogroup(coded_rows.groupBy("block", "part")).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    unit = ("cell", "block", "part")
+    return query_rows.groupBy(*unit).cogroup(vector_rows.groupBy(*unit)).applyInPandas(nearest, "query_id long, vec_id long, score double")

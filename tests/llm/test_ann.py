@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from foliant.llm import ann
 
@@ -46,20 +47,66 @@ def test_codes_bound_recall_alone():
     assert recall[4.0] > 0.5
 
 
-def test_recall_of_a_full_block():
-    """Vectors like the driver's and Gaussian ones, as many as a block holds."""
+def clustered(rng, n, clusters, width):
+    x = rng.normal(size=(n, 64))
+    if clusters:
+        x = x * width + rng.normal(size=(clusters, 64))[rng.integers(0, clusters, n)]
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def index_search(x, queries, index):
+    """Rows found through cells, codes and exact reranking, as a search finds them."""
+    cells = index.cells(x)
+    codes, out = index.codes(x, cells), []
+    order = index.order(queries)[:, : index.visits]
+    for i, q in enumerate(queries):
+        seen = []
+        for c in order[i]:
+            rows = np.flatnonzero(cells == c)
+            if len(rows):
+                seen.append(rows[ann.scan(index.book, q[None], codes[rows], index.depth(len(rows)))[0]])
+        seen = np.concatenate(seen)
+        out.append(seen[np.argsort(-(x[seen] @ q), kind="stable")[:20]])
+    return out
+
+
+@pytest.mark.parametrize("clusters,width", [(10, 0.35), (50, 0.1), (200, 0.35), (1000, 0.1), (0, 1.0)])
+def test_recall_at_a_hundred_thousand_vectors(clusters, width):
+    """Through cells and against all rows: tight, many and no clusters."""
     rng = np.random.default_rng(2)
-    for clusters in (10, 0):
-        x = rng.normal(size=(ann.VECTOR_BLOCK, 64))
-        if clusters:
-            x = x * 0.35 + rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(x))]
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        q = x[:100]
-        true = np.argsort(-(q @ x.T), axis=1)[:, :20]
-        book = ann.Codebook(x[: ann.SAMPLE])
-        codes = book.packed(book.encode(x))
-        found = ann.scan(book, q, codes, ann.depth(len(x)) + 1)
-        assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(true, found, strict=True)]) >= 0.97, clusters
+    x = clustered(rng, 100_000, clusters, width)
+    index = ann.Index(x[: ann.SAMPLE], len(x))
+    assert len(index.centres) == 98 and (index.visits < 40 or not clusters)
+    q = x[rng.choice(len(x), 100, replace=False)]
+    true = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(true, index_search(x, q, index), strict=True)])
+    print(clusters, width, index.visits, index.share, recall)
+    assert recall >= 0.95
+
+
+def test_blocks_and_parts_and_cells(spark, monkeypatch):
+    """The distributed search against brute force, with many cells, blocks and parts."""
+    monkeypatch.setattr(ann, "CELL", 300)
+    monkeypatch.setattr(ann, "VECTOR_BLOCK", 150)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    rng = np.random.default_rng(5)
+    x = clustered(rng, 3000, 12, 0.35)
+    df = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found(ann.search(df, df.where("vec_id % 20 = 0"), 20))
+    assert len(got) == 150 and all(len(g) == 20 for g in got.values())
+    hits = 0
+    for q, some in got.items():
+        want = [v for v in np.argsort(-(x @ x[q]), kind="stable").tolist() if v != q][:20]
+        hits += len(set(want) & {v for v, _ in some})
+    assert hits >= 0.95 * 3000
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(20, [1.0, 2.0])] * 30 + [(100 + i, [1.0, 2.0]) for i in range(5)] + [(200, [1.0, 0.0]), (300, [3.0, 1.0]), (300, [0.0, 1.0]), (7, [1.0]), (40, [2.0]), (8, [4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = found(ann.search(df, df.where("vec_id % 20 = 0"), 20))
+    assert got[20] == [(100, 5.0), (101, 5.0), (102, 5.0), (103, 5.0), (104, 5.0), (300, 5.0), (300, 2.0), (200, 1.0)]
+    assert got[40] == [(8, 8.0), (7, 2.0)] and set(got) == {20, 40, 100, 200, 300}
 
 
 def test_groups_of_copies(spark):
