@@ -7,7 +7,8 @@ to a byte: 256 entries), keeps the best `rerank` of it, or a share of its vector
 
 Centres and codebooks are fitted on at most `sample` vectors, those least by hashed id; every vector is indexed. There is a cell for each `CELL` vectors, `CELLS` at most. A query
 visits the cells with the greatest expected best score. How many cells, and the share of a cell to rerank, are what queries drawn from the sample need to find the share `FOUND` of their
-true neighbours in the sample: where vectors have no clusters that is all cells, where clusters are too tight for the codes it is the size of a cluster. A cell of over `VECTOR_BLOCK` vectors is scanned in blocks, and the queries that visit a cell come in parts of `QUERY_BLOCK`, so a task holds one
+true neighbours in the sample: where vectors have no clusters that is all cells, where clusters are too tight for the codes it is the size of a cluster. The first cells, the
+root of their number, give each query its k-th best score so far, and from the others only what reaches it leaves a task. A cell of over `VECTOR_BLOCK` vectors is scanned in blocks, and the queries that visit a cell come in parts of `QUERY_BLOCK`, so a task holds one
 block of either and no broadcast grows with the data. A vector is sent once for each part of its cell's queries, a query once for each cell that it visits: both
 are bounded as long as the number of visits is. Equal vectors have equal scores and codes, so each distinct vector is scanned and reranked once and stands for the k + 1 smallest ids
 that have it, which it gives only then: others can't be among the k nearest. Recall against brute force is measured in the tests.
@@ -229,8 +230,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
         return vectors.sparkSession.createDataFrame([], RESULT)
     for more in found[1:]:
         found[0] = found[0].unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found[0].withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _best(found[0], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _found(distinct: DataFrame, asked: DataFrame, n: int, k: int, rerank: int, sample: int) -> DataFrame:
@@ -254,14 +254,30 @@ def _found(distinct: DataFrame, asked: DataFrame, n: int, k: int, rerank: int, s
                 yield b
 
     coded = written(distinct.mapInPandas(placed, f"vec_id long, embedding {kind}, ids array<long>, cell int, code binary"))
-    visits = written(asked.mapInPandas(visiting, f"vec_id long, embedding {asked.schema['embedding'].dataType.simpleString()}, cells array<int>").select("vec_id", "embedding", F.explode("cells").alias("cell")))
+    visits = asked.mapInPandas(visiting, f"vec_id long, embedding {asked.schema['embedding'].dataType.simpleString()}, cells array<int>")
+    visits = written(visits.select("vec_id", "embedding", F.posexplode("cells").alias("turn", "cell")))
+    first = int(np.ceil(np.sqrt(index.visits)))
+    near = written(_scanned(coded, visits.where(F.col("turn") < first).withColumn("least", F.lit(None).cast("double")), index, k, rerank))
+    if first == index.visits:
+        return near
+    least = _best(near, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    return near.unionByName(_scanned(coded, visits.where(F.col("turn") >= first).join(least, "vec_id", "left"), index, k, rerank))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _scanned(coded: DataFrame, visits: DataFrame, index: Index, k: int, rerank: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k best in each block that a query visits, of a score of `least` or more."""
     cells = coded.groupBy("cell").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))
     parts = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
     shape = F.broadcast(written(cells.join(parts, "cell")))  # CELLS rows at most
     block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int").alias("block")
     part = F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("parts")).cast("int").alias("part")
     vector_rows = coded.join(shape, "cell").select("cell", block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "embedding", "ids", "code")
-    query_rows = visits.join(shape, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part, "vec_id", "embedding")
+    query_rows = visits.join(shape, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part, "vec_id", "embedding", "least")
 
     def nearest(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
@@ -270,13 +286,15 @@ def _found(distinct: DataFrame, asked: DataFrame, n: int, k: int, rerank: int, s
         ids, copies, x = v["vec_id"].to_numpy(), v["ids"].to_list(), np.stack(v["embedding"]).astype(np.float64)
         codes = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), -1)
         asked_ids, asked_x = q["vec_id"].to_numpy(), np.stack(q["embedding"]).astype(np.float64)
+        least = q["least"].astype(float).fillna(-np.inf).to_numpy()
         picked = scan(index.book, asked_x, codes, index.depth(len(v), rerank))
         out = []
         for i, few in enumerate(picked):
             score = (x[few] * asked_x[i]).sum(1)
             best = np.lexsort((ids[few], -score))[: k + 1]
+            best = best[score[best] >= least[i]]
             each = [np.asarray(copies[j]) for j in few[best]]
-            score, each = np.repeat(score[best], list(map(len, each))), np.concatenate(each)
+            score, each = np.repeat(score[best], list(map(len, each))), np.concatenate([*each, np.empty(0, np.int64)])
             score, each = score[each != asked_ids[i]], each[each != asked_ids[i]]
             best = np.lexsort((each, -score))[:k]
             out.append((np.full(len(best), asked_ids[i]), each[best], score[best]))
