@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 from . import ann, best_fit_packing, chat_format, decontaminate, edit_counts, license_scan, quality_resample, simhash_dedup, suffix_dedup, url_filter
 
 # The rules that op5 judges by, as (host, path, verdict).
@@ -53,7 +53,8 @@ def sample_edits(docs: DataFrame, n: int = 4) -> DataFrame:
 
 
 def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_counts.count(sample_edits(table(spark, sf_dir, "documents")))
+    trees = written(edit_counts.build(table(spark, sf_dir, "documents")))
+    return edit_counts.apply(sample_edits(trees), keep=False)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

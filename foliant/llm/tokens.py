@@ -62,14 +62,18 @@ class Encoder:
 
     def parts(self, text: str) -> list[bytes]:
         """Ids of each pre-token, as little-endian unsigned 32-bit integers."""
+        return self.words(text)[1]
+
+    def words(self, text: str) -> tuple[list[str], list[bytes]]:
+        """Pre-tokens and their ids; a text with a special token's own string is one of them."""
         if END in text:
-            return [np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+            return [text], [np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
         words = self.split(text)
         found = list(map(self.memo.get, words))
         if None in found:
             one = self.one
             found = [x if x is not None else self.memo.get(w) or one(w) for x, w in zip(found, words, strict=True)]
-        return found
+        return words, found
 
     def ids(self, text: str) -> bytes:
         return b"".join(self.parts(text))
