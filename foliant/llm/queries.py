@@ -57,8 +57,15 @@ def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.apply(sample_edits(trees), keep=False)
 
 
+def license_probes() -> list[tuple[int, str]]:
+    """(id below 0, text) of each listed licence as it may be met: in capitals, on one line, behind a notice."""
+    return [(-1 - i, "Copyright (c) 2024 Jane Doe. All rights reserved. " + " ".join(t.upper().split())) for i, (_, t) in enumerate(sorted(license_scan.LICENCES.items()))]
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known(spark))
+    """All documents, and the probes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(license_probes(), "doc_id long, text string"))
+    return license_scan.scan(docs, license_scan.known(spark))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +73,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.render(table(spark, sf_dir, "conversations"))
+    """All conversations, and of every third a snapshot that was logged before its last turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    early = turns.where("conv_id % 3 = 0").join(last, "conv_id").where("turn < last").select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", "text")
+    return chat_format.render(turns.unionByName(early))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,19 +85,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _sql_canonical() -> str:
-    text = r"lower(coalesce(text, ''))"
-    text = rf"regexp_replace({text}, '(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$', ' ', 'g')"
-    text = rf"' ' || trim(regexp_replace({text}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
-    for spelling, one in license_scan.SPELLINGS:
-        if spelling != one:
-            text = f"replace({text}, ' {spelling} ', ' {one} ')"
-    return f"trim({text})"
+    """The canonical form in SQL: words stand between two blanks each, so that whole words and phrases can be replaced."""
+    mark, quoted = license_scan.MARK, lambda x: x.replace("'", "''")
+    low = "lower(coalesce(text, ''))"
+    joined = rf"regexp_replace({low}, '(?:{mark})\S*(?:\s+\S+){{0,{license_scan.HOLDER}}}?\s+({license_scan.GRANTS})', ' \1', 'g')"
+    lines = rf"regexp_replace({joined}, '(?m)^[ \t#*/;-]*(?:{mark})[^\n]*$', ' ', 'g')"
+    head = rf"regexp_replace({lines}, '^\s*copyright [^\n]*\n', ' ')"
+    bare = f"CASE WHEN contains({low}, 'copyright') OR contains({low}, '(c)') OR contains({low}, '©') THEN {head} ELSE {low} END"
+    text = rf"' ' || replace(trim(regexp_replace({bare}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ', '  ') || ' '"
+    one = [(x, y) for x, y in license_scan.SPELLINGS if " " not in x]
+    for spelling, by in [*one, (license_scan.RESERVED, ""), *(x for x in license_scan.SPELLINGS if x not in one)]:
+        text = f"replace({text}, ' {quoted(spelling).replace(' ', '  ')} ', ' {by} ')"
+    return f"trim(regexp_replace({text}, ' +', ' ', 'g'))"
 
 
 def oracle_sql() -> dict[str, str]:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rules = ", ".join(f"({', '.join(map(quoted, r))})" for r in URL_RULES)
-    listed = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in license_scan.LICENCES.items())
+    titled = [(k, f"{t}\n\n{license_scan.LICENCES[k]}") for k, t in license_scan.TITLES.items()]
+    listed = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in [*license_scan.LICENCES.items(), *titled])
+    digests = ", ".join(f"({quoted(v)}, {quoted(k)})" for k, v in license_scan.DIGESTS.items())
+    probes = ", ".join(f"({i}, {quoted(t)})" for i, t in license_probes())
     canonical = _sql_canonical()
     return {
         "op5_url_filter": rf"""
@@ -98,11 +117,15 @@ def oracle_sql() -> dict[str, str]:
                   FROM u JOIN rules ON (u.host = rules.host OR suffix(u.host, '.' || rules.host)) AND starts_with(u.path, rules.path))
             SELECT u.page_id, u.host, u.path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN h ON u.page_id = h.page_id AND k = 1""",
         "op8_license_scan": f"""
-            WITH known AS (SELECT sha256({canonical}) AS digest, min(license_id) AS license_id FROM (VALUES {listed}) AS t(license_id, text) GROUP BY 1),
-            d AS (SELECT doc_id, nullif({canonical}, '') AS body FROM documents)
+            WITH listed AS (SELECT sha256({canonical}) AS digest, license_id FROM (VALUES {listed}) AS t(license_id, text) UNION ALL VALUES {digests}),
+            known AS (SELECT digest, min(license_id) AS license_id FROM listed GROUP BY digest),
+            every AS (SELECT doc_id, text FROM documents UNION ALL VALUES {probes}),
+            d AS (SELECT doc_id, nullif({canonical}, '') AS body FROM every)
             SELECT doc_id, sha256(body) AS digest, license_id FROM d LEFT JOIN known ON sha256(body) = digest""",
         "op10_chat_format": """
-            WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+            WITH every AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+                SELECT -1 - conv_id, turn, role, text FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE conv_id % 3 = 0 AND turn < last),
+            t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM every WHERE conv_id IS NOT NULL),
             c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS l,
                   string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS chat FROM t GROUP BY conv_id),
             k AS (SELECT l, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY l)

@@ -17,11 +17,16 @@ from pyspark.sql import functions as F
 BROADCAST_RULES = 100_000
 
 
+def _lower(host: Column) -> Column:
+    """A-Z only, for URLs and rules alike."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """Between the first `://` and the next `/`, `?`, `#` or the end, A-Z in lower case; empty where there is none."""
     rest = F.substring(url, F.locate("://", url) + 3, F.length(url))
     host = F.regexp_extract(rest, r"(?s)^[^/?#]*", 0)
-    return F.when(F.locate("://", url) > 0, F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise("")
+    return F.when(F.locate("://", url) > 0, _lower(host)).otherwise("")
 
 
 def path_of(url: Column) -> Column:
@@ -35,7 +40,7 @@ def _digest(host: Column, path: Column) -> Column:
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each page; `rules` has host, path and verdict (allow or block)."""
-    known = rules.select(F.lower(F.coalesce("host", F.lit(""))).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict").where("rule_host <> ''")
+    known = rules.select(_lower(F.coalesce("host", F.lit(""))).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict").where("rule_host <> ''")
     known = known.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("rule_verdict"))  # block is the greater word
     known = known.withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", F.substring("digest", 1, 4))
     lengths = sorted(r[0] for r in known.select(F.length("rule_path")).distinct().collect())  # a bounded set: lengths, not rules

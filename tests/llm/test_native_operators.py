@@ -1,5 +1,9 @@
+import os
+import textwrap
+
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import chat_format, license_scan, queries, url_filter
 
@@ -31,9 +35,9 @@ def judged(url, rules):
 
 
 def test_url_cases(spark):
-    rules = [*queries.URL_RULES, ("a.b", "", "block"), ("a.b", "/x", "allow"), ("b", "/xy", "block")]
+    rules = [*queries.URL_RULES, ("a.b", "", "block"), ("a.b", "/x", "allow"), ("b", "/xy", "block"), ("É.net", "", "block")]
     urls = [None, "", "noscheme.net/", "http://NET/", "http://net", "https://WWW.Example.NET/en/a?x=/de/#y", "https://example.net/en", "ftp://x.org/fr/", "x://org/FR/", "http://notexample.com/de/", "http://example.com/de/", "http://u@example.com:80/de/"]
-    urls += ["http://a.b/xyz", "http://c.a.b", "http://a.b?q", "http://é.a.b/x", "http://..net/", "http://a.b./x", "http://a.b/xy\n", "http://?", "http://example.org/fr/x://y.net/", "http://" + "s." * 500 + "net/"]
+    urls += ["http://a.b/xyz", "http://c.a.b", "http://a.b?q", "http://é.a.b/x", "http://..net/", "http://a.b./x", "http://a.b/xy\n", "http://É.NET/x", "http://é.net/x", "http://?", "http://example.org/fr/x://y.net/", "http://" + "s." * 500 + "net/"]
     pages = spark.createDataFrame([(i // 2, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     df = spark.createDataFrame(rules, "host string, path string, verdict string")
     got = sorted((tuple(r) for r in url_filter.judge(pages, df).collect()), key=repr)
@@ -43,25 +47,57 @@ def test_url_cases(spark):
 
 
 def test_licence_cases(spark):
-    mit = license_scan.LICENCES["MIT"]
+    known = license_scan.LICENCES
+    mit, isc, bsd = known["MIT"], known["ISC"], known["BSD-3-Clause"]
+    one_line = lambda t: " ".join(t.split())
     texts = {
-        1: mit,
-        2: "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE").replace(",", " ;"),
-        3: mit + " and more",
-        4: None,
-        5: "",
-        6: "Copyright 2020 X",
-        7: "Released   under the M.I.T. licence",
-        8: "released under the mit LICENCE!",
-        9: mit.replace("COPYRIGHT HOLDERS", "copyright holders") * 2,
+        "plain": (mit, "MIT"),
+        "spelling and notice": ("Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE").replace(",", " ;"), "MIT"),
+        "more": (mit + " and more", None),
+        "null": (None, None),
+        "empty": ("", None),
+        "notice only": ("Copyright 2020 X", None),
+        "other words": ("Released   under the M.I.T. licence", None),
+        "line": ("released under the mit LICENCE!", "MIT-line"),
+        "twice": (mit * 2, None),
+        "one line": (one_line(isc), "ISC"),
+        "one line with notice": ("© 2019-2021, The Authors of a Thing " + one_line(isc), "ISC"),
+        "wrapped before copyright": (mit.replace("The above copyright notice", "The above\ncopyright notice"), "MIT"),
+        "narrow": ("\n".join(textwrap.wrap("Copyright (c) 2001, 2002 by some company whose name is long, Inc. All rights reserved. " + one_line(bsd), 30)), "BSD-3-Clause"),
+        "two notices": ("MIT License\n\n * Copyright (C) 1999 A\n * Copyright © 2003 B, C\n\n" + mit, "MIT"),
+        "head without year": ("Copyright Jane Doe and others\n" + known["BSD-2-Clause"], "BSD-2-Clause"),
+        "adjacent": ("licence licence per cent per cent", None),
     }
-    df = spark.createDataFrame([(k, v, "d") for k, v in texts.items()] + [(None, mit, "d")], "doc_id long, text string, digest string")
+    df = spark.createDataFrame([(i, t, "d") for i, (t, _) in enumerate(texts.values())] + [(None, mit, "d")], "doc_id long, text string, digest string")
     got = {r.doc_id: r for r in license_scan.scan(df, license_scan.known(spark)).collect()}
-    assert {k: r.license_id for k, r in got.items()} == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: None, 8: "MIT-line", 9: None, None: "MIT"}
-    assert got[4].digest is None and got[6].digest is None and got[3].digest is not None
+    assert {k: got[i].license_id for i, k in enumerate(texts)} == {k: want for k, (_, want) in texts.items()} and got[None].license_id == "MIT"
+    empty = [i for i, k in enumerate(texts) if k in ("null", "empty", "notice only")]
+    assert all((got[i].digest is None) == (i in empty) for i in range(len(texts)))
+    assert df.where("text LIKE 'licence%'").select(license_scan.canonical(F.col("text"))).first()[0] == "license license percent percent"
     assert license_scan.scan(df.limit(0), license_scan.known(spark)).collect() == []
 
 
+def test_every_listed_text_is_found_again(spark, sf_dir):
+    """The probes of the query, of which each is behind a notice and on one line."""
+    found = {r.doc_id: r.license_id for r in queries.op8_license_scan(spark, sf_dir).where("doc_id < 0").collect()}
+    assert found == {-1 - i: k for i, k in enumerate(sorted(license_scan.LICENCES))}
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="needs the texts")
+def test_digests_of_long_texts(spark):
+    files = {"GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0"}
+    read = lambda name: open(f"/usr/share/common-licenses/{name}", encoding="utf-8").read()
+    rows = [(k, f(read(name))) for k, name in files.items() for f in (str, lambda t: " ".join(t.split()), lambda t: "\n".join(textwrap.wrap(" ".join(t.split()), 44, break_long_words=False, break_on_hyphens=False)))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert all(r.license_id == r.doc_id for r in license_scan.scan(df, license_scan.known(spark)).collect())
+
+
+def test_the_chat_query_collapses_snapshots(spark, sf_dir):
+    out = queries.op10_chat_format(spark, sf_dir).collect()
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    assert len(out) < turns.select("conv_id").distinct().count() + turns.where("conv_id % 3 = 0").select("conv_id").distinct().count()
+
+
 def test_chat_cases(spark):
     logs = {1: "abc", 2: "ab", 3: "a", 4: "abd", 5: "abc", 6: "b", 7: "", 8: "abcx"}
     rows = [(i, n, "user" if n % 2 == 0 else "assistant", t, 9) for i, s in logs.items() for n, t in enumerate(s)]
