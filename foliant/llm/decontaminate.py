@@ -8,6 +8,8 @@ number and in parts.
 A window's slots are then compared: each benchmark value must stand for one value of the document and the other way round, whatever the values
 are, so that a re-parameterised question is caught and a chance agreement of templates is not. Windows that are mostly placeholders count
 only if their values agree as they are; equal names are no placeholders there. A changed opening needs `LITERALS` literal words beside it.
+The same must hold over the whole match, that is all windows of a document and an item that lie equally far apart in both: where a value stands for two, however
+far from each other, only windows whose values agree as they are count.
 
 Documents meet a bitmap of the benchmark's window hashes first, of a fixed 2 MB whatever the benchmark's size; only windows that may match leave the
 map task, and the join itself is on full 64-bit hashes, so no side needs to be small.
@@ -158,20 +160,24 @@ def _slots(token, lead, opens, start, end, data, at: int, width: int) -> list[di
     return out
 
 
-_OUT = "width int, window long, slots array<struct<kind:int,value:string,opens:boolean>>"
+_OUT = "width int, window long, slots array<struct<kind:int,value:string,opens:boolean>>, at int, cut int"
 _TYPE = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string()), ("opens", pa.bool_())]))
 
 
-def _rows(ids, name, width, hashes, slots, **more):
+def _rows(ids, name, width, hashes, slots, at, cut, **more):
+    """`at`: the window's first word in its text; `cut`: 1 if digits joined by a point or comma are one word there."""
     longs = {k: pa.array(np.asarray(v, np.uint64).view(np.int64)) for k, v in {"window": hashes, **more}.items()}
-    return pa.RecordBatch.from_pydict({name: pa.array(ids, pa.int64()), "width": pa.array(width, pa.int32()), "window": longs.pop("window"), "slots": pa.array(slots, _TYPE), **longs})
+    return pa.RecordBatch.from_pydict({name: pa.array(ids, pa.int64()), "width": pa.array(width, pa.int32()), "window": longs.pop("window"), "slots": pa.array(slots, _TYPE), "at": pa.array(at, pa.int32()), "cut": pa.array(cut, pa.int32()), **longs})
 
 
 def _item_windows(window: int):
     def run(batches):
         for b in chunks(batches):
-            ids, out = b.column("item_id").to_pylist(), ([], [], [], [], [])
-            for words in filter(None, (template(b.column("text"), whole) for whole in (False, True))):
+            ids, out = b.column("item_id").to_pylist(), tuple([] for _ in range(7))
+            for cut in (0, 1):
+                words = template(b.column("text"), bool(cut))
+                if words is None:
+                    continue
                 row, token, value, start, end, data, capital, first = words
                 for r in np.unique(row).tolist():
                     i = slice(*np.searchsorted(row, [r, r + 1]).tolist())
@@ -181,17 +187,17 @@ def _item_windows(window: int):
                     for which, at, h, form, lead in _forms(row[i], token[i], value[i], capital[i], first[i], width):
                         base = h if base is None else base
                         for n, a, x in zip(which.tolist(), at.tolist(), h.tolist(), strict=True):
-                            for k, v in zip(out, (ids[r], width, x, _slots(form, lead, opens, start[i], end[i], data, a, width), int(base[n])), strict=True):
+                            for k, v in zip(out, (ids[r], width, x, _slots(form, lead, opens, start[i], end[i], data, a, width), a, cut, int(base[n])), strict=True):
                                 k.append(v)
-            yield _rows(out[0], "item_id", out[1], out[2], out[3], base=out[4])
+            yield _rows(out[0], "item_id", *out[1:6], base=out[6])
 
     return run
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, width, window, slots, base) of the benchmark: a row for each form of a window; base is the window's first form."""
+    """(item_id, width, window, slots, at, cut, base) of the benchmark: a row for each form of a window; base is the window's first form."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInArrow(_item_windows(window), f"item_id long, {_OUT}, base long").dropDuplicates(["item_id", "width", "window", "slots", "base"])
+    return rows.mapInArrow(_item_windows(window), f"item_id long, {_OUT}, base long").dropDuplicates(["item_id", "width", "window", "slots", "at", "cut", "base"])
 
 
 def _bits(batches):
@@ -205,21 +211,25 @@ def _doc_windows(widths: list[int], cells: bytes):
         bitmap = np.unpackbits(np.frombuffer(cells, np.uint8)).astype(bool)
         for b in chunks(batches):
             ids = b.column("doc_id").to_pylist()
-            for words in filter(None, (template(b.column("text"), whole) for whole in (False, True))):
+            for cut in (0, 1):
+                words = template(b.column("text"), bool(cut))
+                if words is None:
+                    continue
                 row, token, value, start, end, data, capital, first = words
-                opens = capital & first
+                opens, begins = capital & first, np.searchsorted(row, np.arange(b.num_rows))
                 for width in widths:
                     for _, at, h, form, lead in _forms(row, token, value, capital, first, width):
                         hit = np.flatnonzero(bitmap[h >> np.uint64(64 - BITMAP_BITS)])
                         for i in range(0, len(hit), 5000):
                             some = hit[i : i + 5000]
-                            yield _rows([ids[r] for r in row[at[some]].tolist()], "doc_id", [width] * len(some), h[some], [_slots(form, lead, opens, start, end, data, a, width) for a in at[some].tolist()])
+                            places = at[some]
+                            yield _rows([ids[r] for r in row[places].tolist()], "doc_id", [width] * len(some), h[some], [_slots(form, lead, opens, start, end, data, a, width) for a in places.tolist()], places - begins[row[places]], [cut] * len(some))
 
     return run
 
 
 def doc_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, width, window, slots) of windows that may be in `known`."""
+    """(doc_id, width, window, slots, at, cut) of windows that may be in `known`."""
     cells = np.zeros(1 << BITMAP_BITS, bool)
     set_cells = known.select("width", F.shiftrightunsigned("window", 64 - BITMAP_BITS).alias("cell")).distinct()
     widths = sorted(r[0] for r in set_cells.select("width").distinct().collect())  # at most `window` of them
@@ -242,15 +252,24 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     """(doc_id, item_id, n_windows, n_reworded) for each pair of a document and a benchmark item with a common window; n_reworded counts
     the windows whose slots are consistent but nowhere equal."""
     known = item_windows(benchmark, window)
-    asked = known.select("item_id", "width", "window", "base", F.col("slots").alias("theirs"))
-    hits = doc_windows(docs, known).dropDuplicates(["doc_id", "width", "window", "slots"]).join(asked, ["width", "window"])
+    asked = known.select("item_id", "width", "window", "base", F.col("slots").alias("theirs"), F.col("at").alias("item_at"), F.col("cut").alias("item_cut"))
+    hits = doc_windows(docs, known).join(asked, ["width", "window"])
     same = F.zip_with("slots", "theirs", lambda m, t: (m["kind"] == t["kind"]) & (m["value"] == t["value"]))
     equal = (F.size("slots") == F.size("theirs")) & F.forall(same, lambda x: x)
     weight = F.size(F.filter(F.zip_with("slots", "theirs", lambda m, t: (m["kind"] == int(NAME)) & (m["value"] == t["value"])), lambda x: ~x))
     turned = F.exists(F.zip_with("slots", "theirs", lambda m, t: m["opens"] & (m["value"] != t["value"])), lambda x: x)
     full = (weight * 2 <= F.col("width")) & (~turned | (F.col("width") - F.size("slots") >= LITERALS))
     hits = hits.where(equal | (full & _consistent(F.col("slots"), F.col("theirs"))))
-    windows = hits.groupBy("doc_id", "item_id", "width", "base").agg(F.max(equal).alias("equal"))
+    # A match: all windows of a document and an item at one distance. It has as many pairs of values as the item has slots, at most.
+    plain = lambda x: F.struct(x["kind"], x["value"])
+    pairs = F.zip_with("slots", "theirs", lambda m, t: F.struct(plain(m).alias("m"), plain(t).alias("t")))
+    match = hits.groupBy("doc_id", "item_id", "width", "cut", "item_cut", (F.col("at") - F.col("item_at")).alias("apart")).agg(
+        F.collect_set(F.struct("base", equal.alias("equal"))).alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+    )
+    n = F.size("pairs")
+    sound = (n == F.size(F.array_distinct(F.col("pairs.m")))) & (n == F.size(F.array_distinct(F.col("pairs.t"))))
+    counted = match.select("doc_id", "item_id", "width", F.explode(F.filter("windows", lambda w: sound | w["equal"])).alias("w"))
+    windows = counted.groupBy("doc_id", "item_id", "width", "w.base").agg(F.max("w.equal").alias("equal"))
     return windows.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.sum(F.when(F.col("equal"), 0).otherwise(1)).alias("n_reworded"))
 
 

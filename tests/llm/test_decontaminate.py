@@ -1,4 +1,6 @@
+import collections
 import random
+import re
 
 from foliant.llm import decontaminate as D
 
@@ -77,3 +79,82 @@ def test_driver_tables_by_brute_force(spark, sf_dir):
         want |= {(r.doc_id, item) for n in {len(k) for k in windows} for i in range(len(w) - n + 1) for item in windows.get(tuple(w[i : i + n]), ())}
     assert want <= {(r.doc_id, r.item_id) for r in D.find(docs, bench).collect()}
     assert len({r.doc_id for r in D.find(docs, bench).collect()} - {d for d, _ in want}) == 0
+
+
+def reference(docs, items, width=13):
+    """Templates, windows, slots and matches by plain loops, for texts in which nothing opens a sentence."""
+
+    def words(text):
+        out = []
+        for w in re.findall(r"[0-9A-Za-z]+", text):
+            low = w.lower()
+            kind = 1 if re.search("[0-9]", w) else 3 if low in D.UNITS else 2 if w[0].isupper() and len(w) > 1 and w[1].islower() else 0
+            out.append((kind, low))
+        return out
+
+    def same_kind(a, b):
+        return all((x[0], "" if x[0] else x[1]) == (y[0], "" if y[0] else y[1]) for x, y in zip(a, b, strict=True))
+
+    def bijection(pairs):
+        pairs = set(pairs)
+        return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+    out = {}
+    for i, text in docs:
+        mine = words(text)
+        for j, item in items:
+            theirs = words(item)
+            k = min(width, len(theirs))
+            matches = collections.defaultdict(list)
+            for p in range(len(mine) - k + 1):
+                for q in range(len(theirs) - k + 1):
+                    a, b = mine[p : p + k], theirs[q : q + k]
+                    if [w for _, w in a] == [w for _, w in b]:
+                        matches[p - q].append((q, True, [] if not same_kind(a, b) else [(x, y) for x, y in zip(a, b, strict=True) if x[0]]))
+                    elif same_kind(a, b):
+                        pairs = [(x, y) for x, y in zip(a, b, strict=True) if x[0]]
+                        if 2 * sum(not (x[0] == 2 and x == y) for x, y in pairs) <= k and bijection(pairs):
+                            matches[p - q].append((q, False, pairs))
+            counted = collections.defaultdict(bool)
+            for some in matches.values():
+                sound = bijection(x for _, _, pairs in some for x in pairs)
+                for q, equal, _ in some:
+                    if sound or equal:
+                        counted[tuple((kind, "" if kind else w) for kind, w in theirs[q : q + k])] |= equal
+            if counted:
+                out[i, j] = (len(counted), sum(not e for e in counted.values()))
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng, vocabulary = random.Random(9), "the of and runs takes gives needs with from apples pears km kg Bob Alice Carol 3 12 7 99".split()
+    item = lambda n: "so " + " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, item(rng.choice([5, 12, 20, 40]))) for i in range(12)]
+    docs = []
+    for i in range(120):
+        text = items[rng.randrange(12)][1]
+        names = dict(zip(["3", "12", "7", "99", "Bob", "Alice", "Carol"], rng.sample(["3", "12", "7", "99", "4", "50", "8"], 4) + rng.sample(["Bob", "Alice", "Carol", "Dave", "Eve"], 3), strict=True))
+        if i % 3:
+            text = " ".join(names.get(w, w) for w in text.split())
+        if i % 4 == 3:  # one slot that does not follow
+            w = text.split()
+            slots = [k for k, x in enumerate(w) if x.isdigit()]
+            if slots:
+                w[rng.choice(slots)] = "1000"
+            text = " ".join(w)
+        docs.append((i, item(5) + " " + text + " " + item(3)))
+    got = D.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = reference(docs, items)
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.n_reworded) for r in got} == want
+    assert any(0 < b < a for a, b in want.values()) and len(want) > 60
+
+
+def test_slots_agree_over_the_whole_match(spark):
+    item = "we pay 12 apples for the old horse that stood all day behind the red barn near our river and then we sell 12 pears to them again before the night"
+    near, far = item.replace("12", "7"), item.replace("12", "7", 1).replace("12", "99")
+    half = item.replace("12 pears", "99 pears")
+    docs = spark.createDataFrame([(1, item), (2, near), (3, far), (4, half)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.n_reworded) for r in D.find(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    n = len(item.split()) - 12
+    assert got[1] == (n, 0) and got[2][0] == n and got[2][1] > 10
+    assert got[3][1] == got[4][1] == 0 and got[3][0] < got[4][0] < n
