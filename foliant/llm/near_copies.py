@@ -4,6 +4,8 @@ Shingles have a fixed order, seldom ones first as counted on a sample. Of two se
 shingles of either have one in common, so texts meet by these keys only. A pair that shares fewer keys than its sizes ask for can't reach 0.8
 and ends there; the others are confirmed on their whole texts. A Hamming budget on fingerprints would miss some pairs at any width.
 
+This is the exact half of `simhash_dedup.one_of_each`, which gives the links that its trie found; pairs within one of their groups are not asked again.
+
 Links are wanted, not all pairs: of a key with more than `SMALL` texts, neighbours by size are tried first, and in a second round all pairs of
 its texts that are not in one component yet. So a large group of near copies costs a chain, and no pair is left out.
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import byte_table, chunks, mix, prefix_hash, slice_hash, text_bytes
+from .rolling import byte_table, chunks, mix, prefix_hash, slice_hash, text_bytes, trimmed
 from .shared import components, written
 
 WIDTH = 5
@@ -70,7 +72,12 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _keys(common: np.ndarray, seen: np.ndarray):
     def run(batches):
+        had: set[int] = set()  # equal rows meet in one task
         for b in chunks(batches):
+            nodes = b.column("node").to_pylist()
+            b = b.filter(pa.array([not (n in had or had.add(n)) for n in nodes], pa.bool_()))
+            if not b.num_rows:
+                continue
             out, sizes = [], []
             for s in shingle_sets(b.column("text")):
                 rank = np.zeros(len(s), np.int64)
@@ -84,7 +91,7 @@ def _keys(common: np.ndarray, seen: np.ndarray):
             keys = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
             yield pa.RecordBatch.from_pydict({"key": keys, "node": np.repeat(nodes, times), "n": np.repeat(np.array(sizes, np.int32), times)})
 
-    return run
+    return trimmed(run)
 
 
 def _runs(batches, columns):
@@ -160,17 +167,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     some = written(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.select("a", "b").join(some.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return written(both.mapInArrow(_confirmed, "a long, b long"))
+    return written(both.mapInArrow(trimmed(_confirmed), "a long, b long"))
+
+
+def _apart(pairs: DataFrame, tree: DataFrame) -> DataFrame:
+    """Those of `pairs` whose ends are not in one component."""
+    root = lambda c: tree.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return both.where(F.col("root_a").isNull() | F.col("root_b").isNull() | (F.col("root_a") != F.col("root_b"))).drop("root_a", "root_b")
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """(a, b): links that connect whatever is near, of `texts` (node, text) where equal nodes have equal texts."""
+def links(texts: DataFrame, sure: DataFrame) -> DataFrame:
+    """(a, b): `sure`, which are links already, and more that connect whatever is near, of `texts` (node, text) where equal nodes have equal texts."""
     keys = texts.mapInArrow(_keys(*common_shingles(texts)), "key long, node long, n int")
     found = written(keys.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_small_pairs, PAIRS))
     # Common shingles are c of the keys, and beyond the keys of one side no more than it has left.
     rest = F.greatest(F.ceil(F.col("na") * 4 / 5), F.ceil(F.col("nb") * 4 / 5)) - 1
     pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"), F.count("key").alias("large"))
-    near = confirmed(written(pairs.where((F.col("large") > 0) | (F.col("c") + rest >= F.ceil((F.col("na") + F.col("nb")) * 4 / 9)))), texts)
+    reach = pairs.where((F.col("large") > 0) | (F.col("c") + rest >= F.ceil((F.col("na") + F.col("nb")) * 4 / 9)))
+    near = sure.unionByName(confirmed(written(_apart(reach, components(sure))), texts))
     members = found.where("b IS NULL").select("key", "a", "na")
     if members.isEmpty():
         return near

@@ -8,6 +8,10 @@ differ. Within a root the trie is joined with itself: pairs of nodes descend tog
 soon as these exceed the budget; a pair of nodes whose members are one group already ends too, since it can only repeat a link.
 Each root gives a spanning forest of its links, not all pairs, and `components` joins the forests.
 
+`one_of_each` keeps one document of each group of near copies, five-word shingles with a Jaccard similarity of 0.8 or more: the trie over five-word
+fingerprints gives links, which exact similarities confirm, and the pairs that a Hamming budget can't reach (a pair at 0.8 differs in about ten of 64 bits) come from `near_copies`, which
+looks among texts that are not in one group yet.
+
 A root's members are eight bytes each and distinct, so copies never meet in one. A root with more members than `SPLIT` is cut by further
 bits into child nodes, and each child is sent with the children within the budget, so one task holds a few children only.
 
@@ -26,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import chunks
+from . import near_copies
+from .rolling import chunks, trimmed
 from .shared import components, written
 
 SPLIT = 20_000
@@ -64,7 +69,7 @@ def _fingerprints(shingle: int, seed: int):
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): one row for each row of `docs`; fp is the fingerprint as a signed 64-bit integer."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(_fingerprints(shingle, seed)), "doc_id long, fp long")
 
 
 def blocks(budget: int) -> list[int]:
@@ -174,6 +179,32 @@ def groups(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: int = 4) -
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     tree = components(links(nodes.select("fp"), budget))
     named = nodes.join(tree, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join deals both sides anew and AQE can split a component of many fingerprints.
+    smallest = written(named.groupBy("root").agg(F.min("least").alias("component_id")))
     of = named.join(smallest, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_links(texts: DataFrame, budget: int = 4) -> DataFrame:
+    """(a, b): links that connect all near copies among `texts` (node, text), where equal nodes have equal texts."""
+    fps = written(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), near_copies.WIDTH).select(F.col("doc_id").alias("node"), "fp"))
+    heads = written(fps.groupBy("fp").agg(F.min("node").alias("head")))
+    same = fps.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    end = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    across = links(heads.select("fp"), budget).join(end("a"), "a").join(end("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    pairs = written(same.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return near_copies.links(texts, near_copies.confirmed(pairs, texts))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay when one document of each group of near copies does: that with the smallest id, a null id last. Documents are told
+    apart by id and text, so rows that share an id, or have none, go or stay by their texts. All columns stay.
+
+    Equal texts become one row by a join on narrow keys first, so a text that a third of all rows hold costs one row from there on."""
+    rows = docs.withColumn("_node", F.xxhash64("text"))
+    first = written(rows.groupBy("_node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")).select(F.col("_node").alias("_n"), F.col("first.doc_id").alias("_id")))
+    one = written(rows.join(first, (F.col("_node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
+    tree = components(near_links(one.select(F.col("_node").alias("node"), "text")))
+    group = first.join(tree, F.col("_n") == F.col("node"), "left").groupBy(F.coalesce("root", "_n").alias("root"))
+    kept = group.agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_n")).alias("first")).select(F.col("first._n").alias("_node"))
+    return one.join(kept, "_node", "left_semi").dropDuplicates(["_node"]).drop("_node")

@@ -57,3 +57,24 @@ def test_near_duplicates_of_the_given_tables(spark):
     text = {r.doc_id: r.text for r in docs.collect()}
     assert all(jaccard(text[i], text[j]) >= 0.8 for i, j in ((596, 917), (989, 7711), (4474, 6578))) and jaccard(text[2], text[1700]) < 0.8
     assert sorted(r.doc_id for r in C.near_duplicates(spark, docs, "").collect()) == [2, 596, 989, 1700, 4474]
+
+
+def test_links_of_the_trie_are_used(spark, monkeypatch):
+    """Close copies are linked by fingerprints alone: without the exact half they still become one."""
+    base = " ".join(f"w{i % 97}x{i}" for i in range(400))
+    texts = [base, base + " end", "start " + base, " ".join(reversed(base.split())), base.upper()]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(N, "links", lambda texts, sure: sure)
+    assert sorted(r.doc_id for r in C.near_duplicates(spark, df, "").collect()) == [0, 3]
+    monkeypatch.undo()
+    asked = []
+    confirmed = N.confirmed
+    monkeypatch.setattr(N, "confirmed", lambda pairs, texts: asked.append(pairs.count()) or confirmed(pairs, texts))
+    assert sorted(r.doc_id for r in C.near_duplicates(spark, df, "").collect()) == [0, 3]
+    assert asked[0] >= 3 and asked[1] == 0  # nothing is left to confirm
+
+
+def test_many_copies_and_equal_rows(spark):
+    rows = [(i, "the same words in each of these rows again") for i in range(500)] + [(None, "no id but equal words in all of them")] * 500 + [(None, "The same words in each of these rows again")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(8)
+    assert sorted(((r.doc_id, r.text) for r in C.near_duplicates(spark, df, "").collect()), key=str) == [(0, rows[0][1]), (None, rows[500][1])]

@@ -2,8 +2,6 @@
 
 import collections
 
-from test_simhash_dedup import slow_groups  # noqa: F401
-
 
 def brute_spans(texts, length):
     raws, count = [t.encode() for t in texts], collections.Counter()
