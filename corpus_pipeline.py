@@ -5,57 +5,57 @@ Each stage takes what the one before it wrote, and all but the last give the col
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import best_fit_packing, decontaminate, near_copies, quality_resample, suffix_dedup
-from foliant.llm.shared import components, written
+from foliant.llm import best_fit_packing, decontaminate, quality_resample, simhash_dedup, suffix_dedup
+from foliant.llm.shared import written
 from foliant.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-PASSAGE_BYTES = 200  # shorter than any passage of over 50 words
+PASSAGE_BYTES = 200  # most passages of over 50 words are longer; 51 words of three letters are not
 CAPACITY = 2048
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling keeps."""
+    """Documents that the importance resampling keeps. Repeated rows, and rows that share an id and a text, stay or go together; null and empty texts have weight 0 and
+    are sampled like any other; without labels all stay; an empty table stays empty."""
     ship(spark)
+    docs = docs.select(*COLUMNS)
     kept = quality_resample.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     return docs.join(kept, (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more: the one with the smallest id. Documents are told
-    apart by id and text, so rows that share an id, or have none, go or stay by their texts."""
+    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more: the one with the smallest id, a null id last. Documents are told
+    apart by id and text, so rows that share an id, or have none, go or stay by their texts; of equal rows one stays. Null, empty and blank texts are one group; an empty
+    table stays empty."""
     ship(spark)
-    rows = docs.withColumn("_node", F.xxhash64("text"))
-    tree = components(near_copies.links(rows.select(F.col("_node").alias("node"), "text")))
-    nodes = rows.groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("least"))
-    first = F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("first")
-    kept = nodes.join(tree, "node", "left").groupBy(F.coalesce("root", "node")).agg(first).select(F.col("first.least").alias("_id"), F.col("first.node").alias("_first"))
-    one = rows.join(kept, (F.col("_node") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_node"]).select(*COLUMNS)
+    return simhash_dedup.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that repeat; a document of which nothing is left goes."""
+    """Texts without the passages that repeat; a document of which nothing is left goes. Null and empty texts stay as they are, rows that share an id are told
+    apart by their texts, and repeated rows, which repeat one another, go if they are as long as a passage; an empty table stays empty."""
     ship(spark)
-    found = suffix_dedup.covered(docs, PASSAGE_BYTES, carry=("lang", "source", F.col("text").isNull().alias("was_null")))
+    found = suffix_dedup.covered(docs.select(*COLUMNS), PASSAGE_BYTES, carry=("lang", "source", F.col("text").isNull().alias("was_null")))
     kept = suffix_dedup.kept_texts(found).where(~F.col("cut") | (F.trim("kept") != ""))
     text = F.when(~F.col("carry.was_null"), F.col("kept"))
     return kept.select("doc_id", text.alias("text"), "carry.lang", "carry.source", F.length(text).cast("long").alias("n_chars"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark: rows that share an id, or have none, go or stay by their own texts, repeated rows together. Null and empty texts
+    stay; without a benchmark all stay; an empty table stays empty."""
     ship(spark)
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, packed into sequences."""
+    """Pieces of what is left, packed into sequences. Null and empty texts are a piece of the end mark alone; rows that share an id, repeated ones too, are packed
+    each; very long texts are cut; an empty table gives no pieces."""
     ship(spark)
-    return best_fit_packing.pack(docs, CAPACITY)
+    return best_fit_packing.pack(docs.select(*COLUMNS), CAPACITY)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("packing", packing)]
