@@ -6,8 +6,11 @@ and ends there; the others are confirmed on their whole texts. A Hamming budget
 
 This is the exact half of `simhash_dedup.one_of_each`, which gives the links that its trie found; pairs within one of their groups are not asked again.
 
-Links are wanted, not all pairs: of a key with more than `SMALL` texts, neighbours by size are tried first, and in a second round all pairs of
-its texts that are not in one component yet. So a large group of near copies costs a chain, and no pair is left out.
+Links are wanted, not all pairs. The members of a key with more than `SMALL` texts meet as sketches: bit h of a text's sketch is the parity of its shingles that
+fall on h, so the bits in which two sketches differ are no more than the shingles in which the sets differ, and a pair with more of them than 0.8 allows ends there. Sets of over
+`WHOLE` shingles are sketched by the shingles with l low zero bits, and a pair may differ by `SIGMAS` standard deviations more. First each key gives a spanning forest of
+what is left, the closest first, and these links are confirmed; then all that is left between texts that are not in one component yet. So a large group of near copies costs about a tree,
+and no pair is left out.
 
 Cases: null, empty and blank texts are alike; a text of fewer words than a shingle is one shingle; an empty table gives no links.
 """
@@ -26,6 +29,7 @@ WIDTH = 5
 SMALL = 32
 SAMPLE = 20_000
 COMMON = 1 << 17
+WHOLE, BITS, SIGMAS = 256, 1024, 7.0
 PAIRS = "a long, b long, na int, nb int, key long"
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -120,7 +124,7 @@ def _batch(node, n, i, j, key=None):
 
 
 def _small_pairs(batches):
-    """Pairs of small runs, with a null key; of large ones the neighbours by size, with their key, and (node, null) for each member."""
+    """Pairs of small runs, with a null key; (node, null, key) for each member of a large one."""
     for key, node, n in _runs(batches, ("key", "node", "n")):
         new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
         key, node, n = key[new], node[new], n[new]
@@ -128,30 +132,76 @@ def _small_pairs(batches):
         size = np.diff(np.r_[first, len(key)])
         large = np.repeat(size > SMALL, size)
         for d in range(1, SMALL):
-            i = np.flatnonzero((key[d:] == key[:-d]) & (d == 1 or ~large[d:]))
+            i = np.flatnonzero((key[d:] == key[:-d]) & ~large[d:])
             if not len(i):
                 break
             i = i[5 * n[i] >= 4 * n[i + d]]
-            for some, kept in ((i[~large[i]], None), (i[large[i]], key)):
-                if len(some):
-                    yield _batch(node, n, some, some + d, None if kept is None else kept[some])
+            if len(i):
+                yield _batch(node, n, i, i + d)
         if large.any():
             m = int(large.sum())
             yield pa.RecordBatch.from_arrays([pa.array(node[large]), pa.nulls(m, pa.int64()), pa.array(n[large], pa.int32()), pa.nulls(m, pa.int32()), pa.array(key[large])], ["a", "b", "na", "nb", "key"])
 
 
-def _large_pairs(batches):
-    """All pairs of a key's members in different components."""
-    for key, node, n, root in _runs(batches, ("key", "a", "na", "root")):
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
-            if (root[s:e] == root[s]).all():
-                continue
-            for i in range(s, e - 1):
-                stop = i + 1 + int(np.searchsorted(4 * n[i + 1 : e], 5 * n[i], "right"))
-                j = i + 1 + np.flatnonzero(root[i + 1 : stop] != root[i])
-                if len(j):
-                    yield _batch(node, n, np.full(len(j), i), j)
+def level(n: int) -> int:
+    """How many low bits of a shingle are zero, for about `WHOLE` of n shingles at most to be sketched."""
+    return max(0, int(np.ceil(np.log2(max(1, n) / WHOLE))))
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the set at its own level and at the next, which sets of like size may have."""
+    at, out = level(len(shingles)), []
+    for x in (at, at + 1):
+        some = shingles[(shingles & np.uint64((1 << x) - 1)) == 0] >> np.uint64(40)
+        out.append(np.packbits((np.bincount((some % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes())
+    return b"".join(out)
+
+
+def _sketches(batches):
+    for b in chunks(batches):
+        sets = shingle_sets(b.column("text"))
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([level(len(x)) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())], ["node", "level", "sketch"])
+
+
+def _reachable(n, levels, own, above, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the members j, not smaller than i: those that may be near it, and their distances in bits."""
+    higher = levels[j] > levels[i]
+    mine = np.where(higher[:, None], above[i][None], own[i][None])
+    apart = np.bitwise_count(mine ^ own[j]).sum(axis=1, dtype=np.int64)
+    most = (n[i] + n[j].astype(np.int64)) // 9  # shingles in which sets at 0.8 differ
+    share = most / np.exp2(levels[j])
+    fine = apart <= np.where(levels[j] == 0, most, share + SIGMAS * np.sqrt(share) + 3)
+    return j[fine], apart[fine]
+
+
+def _large_pairs(forest: bool):
+    """Of each key: pairs of members in different components that may be near; with `forest` only as many as join them."""
+
+    def run(batches):
+        for key, node, n, root, levels, sketches in _runs(batches, ("key", "a", "na", "root", "level", "sketch")):
+            bits = np.frombuffer(b"".join(sketches.tolist()), np.uint64).reshape(len(node), 2, -1)
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for s, e in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
+                size, deep, own, above = n[s:e], levels[s:e], bits[s:e, 0], bits[s:e, 1]
+                label = np.unique(root[s:e], return_inverse=True)[1]
+                found = []
+                for i in range(e - s - 1):
+                    stop = i + 1 + int(np.searchsorted(4 * size[i + 1 :].astype(np.int64), 5 * int(size[i]), "right"))
+                    j = i + 1 + np.flatnonzero(label[i + 1 : stop] != label[i])
+                    if not len(j):
+                        continue
+                    j, apart = _reachable(size, deep, own, above, i, j)
+                    if forest and len(j):
+                        j = j[np.argsort(apart, kind="stable")]
+                        j = j[np.sort(np.unique(label[j], return_index=True)[1])]
+                        label[np.isin(label, label[j])] = label[i]
+                    found.append((np.full(len(j), i), j))
+                if found:
+                    i, j = (np.concatenate(x) + s for x in zip(*found, strict=True))
+                    for at in range(0, len(i), 100_000):
+                        yield _batch(node, n, i[at : at + 100_000], j[at : at + 100_000])
+
+    return trimmed(run)
 
 
 def _confirmed(batches):
@@ -183,12 +233,16 @@ def links(texts: DataFrame, sure: DataFrame) -> DataFrame:
     found = written(keys.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_small_pairs, PAIRS))
     # Common shingles are c of the keys, and beyond the keys of one side no more than it has left.
     rest = F.greatest(F.ceil(F.col("na") * 4 / 5), F.ceil(F.col("nb") * 4 / 5)) - 1
-    pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"), F.count("key").alias("large"))
-    reach = pairs.where((F.col("large") > 0) | (F.col("c") + rest >= F.ceil((F.col("na") + F.col("nb")) * 4 / 9)))
+    pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"))
+    reach = pairs.where(F.col("c") + rest >= F.ceil((F.col("na") + F.col("nb")) * 4 / 9))
     near = sure.unionByName(confirmed(written(_apart(reach, components(sure))), texts))
     members = found.where("b IS NULL").select("key", "a", "na")
     if members.isEmpty():
         return near
-    placed = members.join(components(near), F.col("a") == F.col("node"), "left").select("key", "a", "na", F.coalesce("root", "a").alias("root"))
-    more = placed.repartition("key").sortWithinPartitions("key", "na", "a").mapInArrow(_large_pairs, PAIRS).select("a", "b").distinct()
-    return near.union(confirmed(written(more), texts))
+    asked = written(texts.join(members.select(F.col("a").alias("node")).distinct(), "node", "left_semi").mapInArrow(trimmed(_sketches), "node long, level int, sketch binary").dropDuplicates(["node"]))
+    sketched = written(members.join(asked, F.col("a") == F.col("node")).drop("node"))
+    for forest in (True, False):
+        placed = sketched.join(components(near), F.col("a") == F.col("node"), "left").select("key", "a", "na", F.coalesce("root", "a").alias("root"), "level", "sketch")
+        more = placed.repartition("key").sortWithinPartitions("key", "na", "a").mapInArrow(_large_pairs(forest), PAIRS).select("a", "b").distinct()
+        near = near.unionByName(confirmed(written(more), texts))
+    return near

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as C
@@ -78,3 +79,43 @@ def test_many_copies_and_equal_rows(spark):
     rows = [(i, "the same words in each of these rows again") for i in range(500)] + [(None, "no id but equal words in all of them")] * 500 + [(None, "The same words in each of these rows again")]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(8)
     assert sorted(((r.doc_id, r.text) for r in C.near_duplicates(spark, df, "").collect()), key=str) == [(0, rows[0][1]), (None, rows[500][1])]
+
+
+def test_sketches_reject_no_near_pair():
+    """Over sets of all sizes: a pair at 0.8 or more is never rejected, and most pairs well below are."""
+    rng, kept, far = np.random.default_rng(6), 0, 0
+    for t in range(600):
+        n = int(np.exp(rng.uniform(0, 9)))
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        share = rng.uniform(0.5, 1.0)
+        other = np.unique(np.concatenate([base[rng.random(len(base)) < share], rng.integers(0, 1 << 63, int(len(base) * (1 - share) / 2), dtype=np.uint64)]))
+        x, y = sorted((base, other), key=len)
+        if not len(x) or 5 * len(x) < 4 * len(y):
+            continue
+        bits = np.frombuffer(N.sketch(x) + N.sketch(y), np.uint64).reshape(2, 2, -1)
+        sizes, levels = np.array([len(x), len(y)]), np.array([N.level(len(x)), N.level(len(y))])
+        fine = len(N._reachable(sizes, levels, bits[:, 0], bits[:, 1], 0, np.array([1]))[0])
+        both = len(np.intersect1d(x, y))
+        similarity = both / (len(x) + len(y) - both)
+        assert fine or similarity < 0.8, (len(x), len(y), similarity)
+        if similarity < 0.6 and n > 60:
+            far, kept = far + 1, kept + fine
+    assert far > 30 and kept < 0.2 * far
+
+
+def test_a_large_group_costs_about_a_tree(spark, monkeypatch):
+    """A group of near copies of one text, similarities on both sides of 0.8: what leaves the tasks grows like its size, and no link is lost."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(50)}x{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    asked, confirmed = [], N.confirmed
+    monkeypatch.setattr(N, "confirmed", lambda pairs, texts: asked.append(pairs.count()) or confirmed(pairs, texts))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    want = sorted(set(groups(texts)))
+    assert 1 <= len(want) < 150 and sorted(r.doc_id for r in C.near_duplicates(spark, df, "").collect()) == want
+    assert sum(asked) < 150 * 149 / 2 / 2
