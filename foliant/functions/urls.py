@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import REFUSED_HREFS
 from .text import strip
 
-_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
 _GROUPS = {"scheme": 1, "authority": 2, "path": 3, "query": 4}
@@ -21,7 +23,7 @@ def let(value: Column, f) -> Column:
 
 def part(url: Column, name: str) -> Column:
     """scheme (lower case), authority, path or query of a URL; empty if absent."""
-    found = F.regexp_extract(url, _SPLIT, _GROUPS[name])
+    found = F.regexp_extract(url, SPLIT, _GROUPS[name])
     return F.lower(found) if name == "scheme" else found
 
 
@@ -62,6 +64,51 @@ def _resolved(path: Column, base: Column) -> Column:
     return let(F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(joined), folded)
 
 
+_SPLIT = re.compile(SPLIT)
+_BLANK = "\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _without_dots(segments: list[str]) -> str:
+    """RFC 3986, 5.2.4, on the segments of a path."""
+    kept: list[str] = []
+    for x in segments:
+        if x == "..":
+            del kept[-1:]
+        elif x != ".":
+            kept.append(x)
+    return "/".join(kept + [""] * (segments[-1] in (".", ".."))) or "/"
+
+
+class Resolver:
+    """`absolute` for links of one page, for use where the page is parsed anyway."""
+
+    def __init__(self, base: str) -> None:
+        scheme, self.authority, self.path, self.query = (x or "" for x in _SPLIT.match(base).groups())
+        self.scheme = scheme.lower()
+        folder = self.path.split("/")
+        self.folder = folder[:-1] if folder[-1] else folder
+
+    def __call__(self, href: str | None) -> str | None:
+        if not href or href.startswith(tuple(REFUSED_HREFS)):
+            return None
+        parts = _SPLIT.match(href.strip(_BLANK).translate({9: None, 10: None, 13: None}))
+        scheme, authority, path, query = (x or "" for x in parts.groups())
+        scheme = scheme.lower() or self.scheme
+        if scheme == self.scheme and not authority:
+            authority, given = self.authority, path
+            if given.startswith("/"):
+                path = _without_dots(given.split("/"))
+            elif given:
+                way = [*self.folder, *given.split("/")]
+                path = _without_dots([x for i, x in enumerate(way) if x or i in (0, len(way) - 1)])
+            else:
+                path, query = self.path, query or self.query
+        if scheme not in ("http", "https") or not authority:
+            return None
+        path = f"/{path}" if path and not path.startswith("/") else path
+        return f"{scheme}://{authority}{path}" + (f"?{query}" if query else "")
+
+
 def absolute(href: Column, base: Column) -> Column:
     """An http(s) link of a page as an absolute URL without fragment; null for what is no such link."""
     refused = F.lit(False)

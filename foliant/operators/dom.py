@@ -18,7 +18,6 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import urls
 
@@ -148,8 +147,8 @@ def matches(node: Node, selector: str) -> bool:
     return False
 
 
-_FIELDS = [("grp", pa.string()), ("rank", pa.int32()), ("node_id", pa.int32()), ("scope", pa.int32()), ("tag", pa.string()), ("spaced", pa.string()), ("bare", pa.string()), ("size", pa.int32()), ("n_links", pa.int32()), ("href", pa.string()), ("content", pa.string())]
-SCHEMA = "grp string, rank int, node_id int, scope int, tag string, spaced string, bare string, size int, n_links int, href string, content string"
+_FIELDS = [("grp", pa.string()), ("rank", pa.int32()), ("node_id", pa.int32()), ("scope", pa.int32()), ("tag", pa.string()), ("spaced", pa.string()), ("bare", pa.string()), ("size", pa.int32()), ("n_links", pa.int32()), ("href", pa.string()), ("link", pa.string()), ("content", pa.string())]
+SCHEMA = "grp string, rank int, node_id int, scope int, tag string, spaced string, bare string, size int, n_links int, href string, link string, content string"
 
 
 def clean_size(node: Node) -> int:
@@ -173,7 +172,8 @@ def select(pages: DataFrame, groups: dict[str, list[str]], scopes: dict[str, str
     def wanted(adapter: str | None):
         return [(g, i, s) for g, some in groups.items() if adapter is None or g.rpartition(":")[2] in (g, adapter) for i, s in enumerate(some)]
 
-    def rows(html: str, asked: list):
+    def rows(html: str, asked: list, base: str | None):
+        resolve = urls.Resolver(base) if base else lambda href: None
         tree = Tree(html)
         holders = {g: {id(n): n.id for n in tree.nodes if matches(n, s)} for g, s in scopes.items() if any(a[0] == g for a in asked)}
         top: dict[str, tuple] = {}
@@ -195,15 +195,16 @@ def select(pages: DataFrame, groups: dict[str, list[str]], scopes: dict[str, str
                             inside.append(holders[g][id(at)])
                         at = at.parent
                 for scope in reversed(inside):
-                    yield g, i, node.id, scope, node.tag, " ".join(node.strings()), None, None, None, node.attrs.get("href"), node.attrs.get("content")
+                    yield g, i, node.id, scope, node.tag, " ".join(node.strings()), None, None, None, node.attrs.get("href"), resolve(node.attrs.get("href")), node.attrs.get("content")
         for g, (_, node, i, size, n_links) in top.items():
-            yield g, i, node.id, None, node.tag, None, "\n".join(node.strings(bare=True)), size, n_links, None, None
+            yield g, i, node.id, None, node.tag, None, "\n".join(node.strings(bare=True)), size, n_links, None, None, None
 
     def run(batches):
         asked = functools.lru_cache(maxsize=64)(wanted)
         for b in batches:
             htmls = b.column("html")
             adapters = b.column("adapter").to_pylist() if "adapter" in names else [None] * b.num_rows
+            bases = b.column("url").to_pylist() if "url" in names else [None] * b.num_rows
             at, found, held = [], [], 0
 
             def flush():
@@ -214,7 +215,7 @@ def select(pages: DataFrame, groups: dict[str, list[str]], scopes: dict[str, str
 
             for i in range(b.num_rows):
                 html = htmls[i].as_py()
-                for row in rows(html, asked(adapters[i])) if html else ():
+                for row in rows(html, asked(adapters[i]), bases[i]) if html else ():
                     at.append(i)
                     found.append(row)
                     held += len(row[5] or "") + len(row[6] or "")
@@ -224,8 +225,7 @@ def select(pages: DataFrame, groups: dict[str, list[str]], scopes: dict[str, str
             yield flush()
 
     ddl = ", ".join(f"`{k.name}` {k.dataType.simpleString()}" for k in keys)
-    picked = pages.select(*names, "html").mapInArrow(run, f"{ddl}, {SCHEMA}")
-    return picked.withColumn("link", urls.absolute(F.col("href"), F.col("url")) if "url" in names else F.lit(None).cast("string"))
+    return pages.select(*names, "html").mapInArrow(run, f"{ddl}, {SCHEMA}")
 
 
 def _links(node: Node):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, urls
 from ..functions.fixed import java
+from ..session import written
 from . import dialects, dom
 
 LAST = 1_000_000
@@ -51,10 +52,11 @@ def catalog_links(nodes: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "adapter", F.col("url").alias("page_url"), F.when(own, F.col("rank")).otherwise(LAST).alias("sel"), F.col("node_id").alias("pos"), text.clean_lines(F.col("spaced")).alias("title"), "link"
     )
     found = found.where(F.col("link").isNotNull() & urls.same_origin(F.col("link"), F.col("page_url")) & (F.length("title") <= 120))
-    found = found.where(is_chapter_link(F.col("title"), F.col("link"))).select(*keys, "adapter", "sel", "pos", "title", F.col("link").alias("url"))
+    # Narrow rows that several steps read: written once, so that pages are parsed once.
+    found = written(found.where(is_chapter_link(F.col("title"), F.col("link"))).select(*keys, "adapter", "sel", "pos", "title", F.col("link").alias("url")))
     unique = dedupe(found, [*keys, "sel"])
     sizes = unique.groupBy(*keys, "sel").count().where("count >= 2").groupBy(*keys).agg(F.min("sel").alias("sel"))
-    chosen = orient(unique.join(sizes, [*keys, "sel"]), keys).select(*keys, "adapter", "number", "title", "url")
+    chosen = written(orient(unique.join(sizes, [*keys, "sel"]), keys).select(*keys, "adapter", "number", "title", "url"))
     return chosen.where("adapter <> '23txxt'").unionByName(numbered_catalog(chosen.where("adapter = '23txxt'"), keys))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -15,6 +15,13 @@ CARDS = {
 }
 DEFAULT_LIMIT, MAX_LIMIT = 10, 100
 
+# Lines of a listing.
+LISTING_HEAD = "站内搜索结果（已查询并限定在 %s）"
+LISTING_TITLE = "[%d] %s"
+LISTING_SITE = "    站点：%s"
+LISTING_URL = "    链接：%s"
+LISTING_SNIPPET = "    摘要：%s"
+
 
 def hits(pages: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """(site_ord, adapter, rn, title, url, snippet) from result pages (site_ord, adapter, url, html): of each card the first link of the first rule that
@@ -73,3 +80,51 @@ def interleave(found: DataFrame, limit: int | None = None, keys: tuple[str, ...]
     if limit is None:
         return ranks.numbered(new, by, ["rn", "site_ord"], "place")
     return new.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("rn", "site_ord"))).where(F.col("place") <= limit)
+
+
+def requests(spark: SparkSession, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """(site_ord, adapter, url, data, response_encoding, filtered) of the search requests of all sites that have a search; the words sent are the query's longest, if it
+    has several. A blank query or a limit out of range raises."""
+    if not 1 <= limit <= MAX_LIMIT:
+        raise ValueError(f"limit must be from 1 to {MAX_LIMIT}")
+    keyword, filtered = spark.range(1).select(text.search_keyword(F.lit(query)).alias("k")).select("k.keyword", "k.filtered").first()
+    rows = [(r["site_ord"], r["adapter"], r["url"], r["data"], r["response_encoding"], filtered) for r in dialects.search_requests(keyword)]
+    return spark.createDataFrame(rows, "site_ord int, adapter string, url string, data binary, response_encoding string, filtered boolean")
+
+
+def outcomes(asked: DataFrame, responses: DataFrame) -> DataFrame:
+    """Requests with what came back (site_ord, html): adds html and status, `blocked` for a page that asks for verification, `missing` without a response."""
+    status = F.when(F.col("html").isNull(), "missing").when(text.is_verification_page(F.col("html")), "blocked").otherwise("ok")
+    return asked.join(responses.select("site_ord", "html"), "site_ord", "left").withColumn("status", status)
+
+
+def found_on_sites(came: DataFrame, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """Results of one search, of the rows of `outcomes`, by `place`: hits of sites that answered, whose titles have the whole query in them if just a part of it was
+    sent, merged by turns. Sites that failed give nothing and stop nothing."""
+    ok = came.where("status = 'ok'").select("site_ord", "adapter", "url", "html", "filtered")
+    some = hits(ok, limit)
+    flags = ok.select("site_ord", "filtered")
+    kept = title_filter(some, query).join(flags.where("filtered"), "site_ord", "left_semi").unionByName(some.join(flags.where("NOT filtered"), "site_ord", "left_semi"))
+    again = kept.withColumn("rn", F.row_number().over(Window.partitionBy("site_ord").orderBy("rn")))
+    return interleave(results(again), limit).select("place", "title", "url", "snippet", "site")
+
+
+def sites(found: DataFrame) -> DataFrame:
+    """(sites): the sites that results are from, sorted, as one line."""
+    return found.agg(F.array_join(F.array_sort(F.collect_set("site")), ", ").alias("sites"))
+
+
+def listing(found: DataFrame) -> DataFrame:
+    """(place, entry): results as they are shown, by number, below the sites that they are limited to at place 0."""
+    head = sites(found).select(F.lit(0).alias("place"), F.format_string(LISTING_HEAD, F.col("sites")).alias("entry"))
+    lines = F.array(F.format_string(LISTING_TITLE, F.col("place"), F.col("title")), F.format_string(LISTING_SITE, F.col("site")), F.format_string(LISTING_URL, F.col("url")))
+    note = F.when(F.col("snippet") != "", F.format_string(LISTING_SNIPPET, F.col("snippet")))
+    return head.unionByName(found.select("place", F.array_join(F.concat(lines, F.array_compact(F.array(note))), "\n").alias("entry")))
+
+
+def pick(found: DataFrame, number: int) -> DataFrame:
+    """The result with that number, from 1; a number that no result has raises."""
+    chosen = found.where(F.col("place") == number)
+    if chosen.isEmpty():
+        raise LookupError(f"the number must be from 1 to {found.count()}")
+    return chosen

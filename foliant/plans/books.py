@@ -12,10 +12,19 @@ from ..session import written
 
 
 def page_nodes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages with adapter, selected nodes) of captured pages (url, html), one for each normalised URL."""
-    one = pages.select(urls.normalize(F.col("url")).alias("url"), "html").groupBy("url").agg(F.max("html").alias("html"))
-    one = dialects.dispatch(one)
-    return written(one.select("url", "adapter")), written(dom.select(one, links.catalog_groups() | chapters.content_groups() | {"title": fixed.TITLE_SELECTORS}, best=chapters.content_scores()))
+    """(pages (url, adapter, blocked), selected nodes) of captured pages (url, html), one for each normalised URL: the one captured last, if there is a
+    column `captured`; of equal ones that with the greater hash. Captures are parsed before one of each URL is chosen, so HTML is never shuffled."""
+    captured = F.col("captured") if "captured" in pages.columns else F.lit(0)
+    every = dialects.dispatch(pages.select(urls.normalize(F.col("url")).alias("url"), captured.alias("captured"), F.xxhash64("html").alias("version"), "html"))
+    last = every.groupBy("url", "adapter").agg(F.max(F.struct("captured", "version", text.is_verification_page(F.coalesce("html", F.lit(""))).alias("blocked"))).alias("last"))
+    last = written(last.select("url", "adapter", "last.captured", "last.version", "last.blocked"))
+    groups = links.catalog_groups() | chapters.content_groups() | {"title": fixed.TITLE_SELECTORS}
+    nodes = dom.select(every, groups, best=chapters.content_scores())
+    own = (F.col("captured").eqNullSafe(F.col("_captured"))) & (F.col("version") == F.col("_version")) & (F.col("url") == F.col("_url"))
+    chosen = last.select(F.col("url").alias("_url"), F.col("captured").alias("_captured"), F.col("version").alias("_version"))
+    # Equal captures of a page give equal nodes.
+    nodes = nodes.join(chosen, own, "left_semi").dropDuplicates(["url", "grp", "rank", "node_id", "scope"]).drop("captured", "version")
+    return last.select("url", "adapter", "blocked"), written(nodes)
 
 
 def discover(pages: DataFrame, nodes: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,14 +52,15 @@ def discover(pages: DataFrame, nodes: DataFrame, inputs: DataFrame) -> tuple[Dat
 
 
 def fetch_chapters(pages: DataFrame, nodes: DataFrame, plans: DataFrame, found: DataFrame, max_pages: int = chapters.MAX_PAGES) -> DataFrame:
-    """(book, adapter, number, title, content, status) of links along their captured pages, cleaned. status is ok or the first thing that went wrong."""
+    """(book, adapter, number, title, content, status) of links along their captured pages, cleaned. status is ok or the first thing that went wrong; `blocked` is a page
+    that asks for verification."""
     todo = chapters.start_urls(found).withColumn("key", F.concat_ws("\x1f", "book", F.col("number").cast("string")))
     near = links.neighbours(nodes.withColumn("page_key", F.col("url")), ["page_key"])
     edges = pages.select("url").join(near.select(F.col("page_key").alias("url"), F.col("next_link").alias("next_url")), "url", "left")
     chain = written(chapters.follow(todo.select("key", F.col("start_url").alias("url")), written(edges), max_pages))
     body = written(chapters.contents(nodes, pages, ["url"]))
-    parts = chain.withColumnRenamed("status", "step_status").join(body, "url", "left")
-    state = F.when(F.col("step_status") != "ok", F.col("step_status")).otherwise(F.col("status"))
+    parts = chain.withColumnRenamed("status", "step_status").join(body, "url", "left").join(pages.select("url", "blocked"), "url", "left")
+    state = F.when(F.col("blocked"), "blocked").when(F.col("step_status") != "ok", F.col("step_status")).otherwise(F.col("status"))
     parts = parts.withColumn("state", state).join(todo.select("key", "book", F.col("number"), F.col("title").alias("link_title")), "key")
     wrong = parts.where("state <> 'ok'").groupBy("book", "number").agg(F.min_by("state", "step").alias("wrong"))
     whole = chapters.merged(parts.where("state = 'ok'").select("book", "number", "link_title", "step", "title", "content"), ["book"])

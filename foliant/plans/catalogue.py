@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, urls
-from ..operators import assemble, cache, chapters, dialects, dom, links, ranks, report, search
+from ..operators import assemble, cache, chapters, dialects, dom, links, ranks, report, sanitize, search
 from ..session import ship
+from . import books
 
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -169,10 +170,10 @@ def keyword_segments(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.search_keyword(F.col("p_name")).alias("k")).select("p_partkey", "k.keyword", "k.filtered")
 
 
-@query(f"SELECT p_partkey, p_name AS title FROM part WHERE contains({_key('p_name')}, {_key(chr(39) + 'Part 1' + chr(39))})")
+@query(f"SELECT p_partkey, p_name AS title FROM part WHERE contains({_key('p_name')}, 'redbolt')")
 def title_filter(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
-    return search.title_filter(part, "Part 1")
+    return search.title_filter(part, "Red  Bolt!")
 
 
 @query(r"""SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(text, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ' .'), 120), ''), '未命名小说') AS name FROM documents""")
@@ -364,3 +365,153 @@ def stale_keys(spark, sf_dir):
     common = customer.select(F.col("c_custkey").alias("k")).intersect(orders.select("o_custkey")).withColumn("common", F.lit(True))
     failed = customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("k")).union(orders.where("o_orderstatus = 'F'").select("o_custkey")).distinct().withColumn("failed", F.lit(True))
     return common.join(failed, "k", "full").select("k", F.coalesce("common", F.lit(False)).alias("common"), F.coalesce("failed", F.lit(False)).alias("failed"))
+
+
+_NUMBERED = """
+    o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders),
+    a AS (SELECT o_custkey, pos, CAST(o_orderkey % 23 AS INT) AS k, 'http://www.23txxt.com/bqg/' || o_custkey || '/' || (o_orderkey + 100) || '.html' AS url FROM o),
+    t AS (SELECT *, CASE WHEN k = 0 THEN '番外·' || pos WHEN k = 1 THEN '请假条' WHEN k = 2 THEN '开始阅读' WHEN k % 2 = 0 THEN k || '通用语' ELSE k || '.章' END AS title FROM a),
+    p AS (SELECT o_custkey FROM t GROUP BY o_custkey HAVING count(*) >= 2)"""
+
+
+def _numbered_pages(spark, sf_dir) -> DataFrame:
+    """A catalog page for each customer, with a link for each order: numbers in two forms, some twice, notes, extras and the start label."""
+    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
+    k = F.col("k").cast("string")
+    title = F.when(F.col("k") == 0, F.concat(F.lit("番外·"), F.col("pos").cast("string"))).when(F.col("k") == 1, "请假条").when(F.col("k") == 2, "开始阅读")
+    title = title.when(F.col("k") % 2 == 0, F.concat(k, F.lit("通用语"))).otherwise(F.concat(k, F.lit(".章")))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", pos.alias("pos"), (F.col("o_orderkey") % 23).cast("int").alias("k"))
+    anchor = F.format_string('<a href="%d.html#x"> %s </a>', F.col("o_orderkey") + 100, title)
+    body = rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", anchor.alias("a")))), lambda x: x["a"]), "\n").alias("body"))
+    return body.select("o_custkey", F.format_string("http://www.23txxt.com/bqg/%d/", "o_custkey").alias("url"), F.concat(F.lit("<div id='catalog'>"), F.col("body"), F.lit("</div>")).alias("html"))
+
+
+@query(f"""WITH {_NUMBERED},
+           kn AS (SELECT o_custkey, k - lag(k) OVER (PARTITION BY o_custkey ORDER BY pos) AS delta FROM t WHERE k > 2 AND k % 2 = 1),
+           rv AS (SELECT o_custkey, count(*) >= 3 AND coalesce(median(CASE WHEN delta <> 0 THEN delta END), 0) < 0 AS back FROM kn GROUP BY o_custkey),
+           c AS (SELECT t.o_custkey, k, title, url, CASE WHEN back THEN -pos ELSE pos END AS pos, CASE WHEN k > 2 AND k % 2 = 1 THEN 0 WHEN k > 2 THEN 1 WHEN k = 2 THEN 2 WHEN k = 0 THEN 3 END AS phase,
+                 CASE WHEN k = 2 THEN 1 WHEN k > 2 THEN k END AS n FROM t LEFT JOIN rv ON t.o_custkey = rv.o_custkey),
+           f AS (SELECT * FROM c WHERE phase < 3 QUALIFY row_number() OVER (PARTITION BY o_custkey, n ORDER BY phase, pos) = 1),
+           u AS (SELECT o_custkey, 0 AS late, n, pos, title, url FROM f UNION ALL SELECT o_custkey, 1, 0, pos, title, url FROM c WHERE phase = 3)
+           SELECT u.o_custkey, row_number() OVER (PARTITION BY u.o_custkey ORDER BY late, n, CASE WHEN late = 1 THEN pos END) AS number, title, url FROM u JOIN p ON u.o_custkey = p.o_custkey""")
+def site_catalogs(spark, sf_dir):
+    """Numbered catalogs read from pages: links, resolution, numbers, start label and extras."""
+    nodes = dom.select(dialects.dispatch(_numbered_pages(spark, sf_dir)), links.catalog_groups())
+    return longs(links.catalog_links(nodes, ["o_custkey"]).select("o_custkey", "number", "title", "url"), "number")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 4 AS form FROM orders)
+          SELECT o_orderkey, 'https://www.trxs.cc/tongren/' || o_custkey || '.html' AS catalog_link, CASE form
+                 WHEN 0 THEN 'https://www.trxs.cc/tongren/' || o_custkey || '/' || o_orderkey || '_2.html' WHEN 1 THEN NULL
+                 WHEN 2 THEN 'https://www.trxs.cc/next/' || o_orderkey END AS next_link FROM o WHERE form < 3
+          UNION ALL SELECT o_orderkey, NULL, 'http://www.23txxt.com/bqg/1/' || o_orderkey || '_' || (o_custkey % 3 + 2) || '.html' FROM o WHERE form = 3""")
+def page_neighbours(spark, sf_dir):
+    """Catalog and next page of chapter pages, in four forms: a next page, a long label, another path, and a site whose pages are told by numbers."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 4).alias("form"), (F.col("o_custkey") % 3).alias("shift"))
+    url = F.when(F.col("form") == 3, F.format_string("http://www.23txxt.com/bqg/1/%d%s.html", "o_orderkey", F.when(F.col("shift") == 0, "").otherwise(F.concat(F.lit("_"), (F.col("shift") + 1).cast("string")))))
+    url = url.otherwise(F.format_string("https://www.trxs.cc/tongren/%d/%d.html", "o_custkey", "o_orderkey"))
+    follow = F.when(F.col("form") == 0, F.format_string("<a href='%d_2.html'>下一页</a>", "o_orderkey")).when(F.col("form") == 1, F.format_string("<a href='%d_2.html'>下一页，请点击这里继续阅读全文</a>", "o_orderkey"))
+    follow = follow.when(F.col("form") == 2, F.format_string("<a href='//x.cc/1'>下一页</a><a href='../../next/%d'>继续阅读</a><a href='z.html'>下页</a>", "o_orderkey"))
+    pages_ = "".join(f"<a href='%1$d_{i}.html'>{i}</a>" for i in (5, 4, 3, 2))
+    follow = follow.otherwise(F.concat(F.format_string(pages_, "o_orderkey"), F.lit("<a href='/bqg/1/next.html'>下一页</a>")))
+    top = F.when(F.col("form") < 3, F.format_string("<a href='/tongren/%d.html'> 返回目录 </a><a href='/other'>目录</a>", "o_custkey")).otherwise("")
+    nodes = dom.select(dialects.dispatch(o.select("o_orderkey", url.alias("url"), F.concat(top, follow).alias("html"))), {"links": ["a[href]"]})
+    return links.neighbours(nodes, ["o_orderkey"]).select("o_orderkey", "catalog_link", "next_link")
+
+
+_CLEAN_TURN = "array_to_string(" + _line_list("text") + ", chr(10))"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, CAST(conv_id % 4 AS INT) AS site, turn + 2 AS n, role, text, {_CLEAN_TURN} AS body FROM conversations WHERE text IS NOT NULL)
+           SELECT conv_id, turn, CASE site WHEN 0 THEN '第' || n || '章 ' || role WHEN 1 THEN n || '.' || role WHEN 2 THEN '第' || n || '节' ELSE role END AS title,
+                  sha256(CASE WHEN site = 3 THEN text ELSE body END) AS content_sha FROM c""")
+def site_cleanup(spark, sf_dir):
+    """Chapters of four dialects with what their sites add, made of conversations, cleaned."""
+    n, t = (F.col("turn") + 2).cast("string"), F.col("text")
+    site = F.col("conv_id") % 4
+    heading = F.concat(F.lit("第"), n, F.lit("章"))
+    content = F.when(site == 0, F.concat(F.lit("书 "), heading, F.lit("\n正文卷\n"), heading, F.lit(" "), F.col("role"), F.lit("\n"), t))
+    page = lambda i: F.concat(n, F.lit("."), F.col("role"), F.lit(f" (第{i}/2页)\n"))
+    content = content.when(site == 1, F.concat(page(1), t, F.lit("\n（本章未完，请点击下一页继续阅读）\n"), page(2)))
+    content = content.when(site == 2, F.concat(F.lit("第"), n, F.lit("节\n"), t, F.lit("\n ?9 提供最快 "))).otherwise(t)
+    title = F.when(site == 0, F.concat(F.lit("书 "), heading)).when(site == 2, F.concat(F.lit("书 第"), n, F.lit("节"))).otherwise(F.col("role"))
+    adapter = F.when(site == 0, "trxs_cc").when(site == 1, "23txxt").when(site == 2, "bixiange").otherwise("generic")
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", adapter.alias("adapter"), F.lit("书").alias("book_title"), (F.col("turn") + 2).cast("int").alias("number"), title.alias("title"), content.alias("content"))
+    return sanitize.sanitize(rows).select("conv_id", "turn", "title", F.sha2("content", 256).alias("content_sha"))
+
+
+_FOUND_SQL = """
+    n AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS rn FROM part),
+    h AS (SELECT site_ord, site, p_partkey, p_name || suffix AS title, base || p_partkey || '.html' AS url, snippet, row_number() OVER (PARTITION BY site_ord ORDER BY rn) AS rn FROM n,
+          (VALUES (0, 'trxs.cc', 'https://www.trxs.cc/tongren/', '', '作者：无名'), (2, 'bixiange.top', 'https://www.bixiange.top/a/', ' (1-10)', '')) AS s(site_ord, site, base, suffix, snippet) WHERE site_ord = 0 OR p_partkey % 2 = 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY site_ord ORDER BY rn) AS turn FROM h WHERE rn <= 100 AND contains(lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')), 'redbolt')),
+    f AS (SELECT row_number() OVER (ORDER BY turn, site_ord) AS place, * FROM k QUALIFY place <= 100)"""
+
+
+def _responses(spark, sf_dir) -> DataFrame:
+    """What two sites answer to a search: a card for each part, on the second site for every other one."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    one = F.format_string("<div class='bk'><h3><a href='/tongren/%d.html'>%s</a></h3><div class='booknews'>作者：无名</div><p>x</p></div><div class='bk'><h3><a href='https://example.com/%1$d'>x</a></h3></div>", "p_partkey", "p_name")
+    two = F.format_string("<li><div class='cover'><a href='/a/%d.html'><img></a></div><div class='info'><div class='title'><a href='/a/%1$d.html#t'>%s (1-10)</a></div></div></li>", "p_partkey", "p_name")
+    page = lambda rows, card, head: rows.agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("c")))), lambda x: x["c"]), ""), F.lit("</ul></div>")).alias("html"))
+    first = page(part, one, "<div><ul>").select(F.lit(0).alias("site_ord"), "html")
+    return first.unionByName(page(part.where("p_partkey % 2 = 0"), two, "<div class='list'><ul>").select(F.lit(2).alias("site_ord"), "html"))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT place, title, url, snippet, site FROM f")
+def search_flow(spark, sf_dir):
+    """A search on all sites, from requests to merged results; its query has two words, of which one is sent."""
+    came = search.outcomes(search.requests(spark, "Red, bolt", search.MAX_LIMIT), _responses(spark, sf_dir))
+    return longs(search.found_on_sites(came, "Red, bolt", search.MAX_LIMIT), "place")
+
+
+@query(f"""WITH {_FOUND_SQL}, g AS (SELECT row_number() OVER (ORDER BY turn) AS place, title, site, url, snippet FROM k WHERE site_ord = 0)
+           SELECT 0 AS place, '站内搜索结果（已查询并限定在 ' || (SELECT string_agg(DISTINCT site, ', ' ORDER BY site) FROM g) || '）' AS entry
+           UNION ALL SELECT place, '[' || place || '] ' || title || chr(10) || '    站点：' || site || chr(10) || '    链接：' || url || chr(10) || '    摘要：' || snippet FROM g""")
+def search_listing(spark, sf_dir):
+    """The listing of a search of which one site asked for verification."""
+    blocked = _responses(spark, sf_dir).withColumn("html", F.when(F.col("site_ord") == 2, "<title>Just a moment...</title>").otherwise(F.col("html")))
+    came = search.outcomes(search.requests(spark, "Red, bolt", search.MAX_LIMIT), blocked)
+    return longs(search.listing(search.found_on_sites(came, "Red, bolt", search.MAX_LIMIT)), "place")
+
+
+_BOOK_SQL = """
+    b AS (SELECT n_nationkey, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS number, s_suppkey % 7 = 3 AS lost, s_suppkey % 5 = 1 AS two, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    e AS (SELECT n_nationkey, count(*) AS n FROM b GROUP BY n_nationkey HAVING count(*) >= 2)"""
+
+
+def _book_pages(spark, sf_dir) -> DataFrame:
+    """A book for each nation and a chapter for each of its suppliers: some of two pages, some not captured."""
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    rows = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("number", F.row_number().over(Window.partitionBy("n_nationkey").orderBy("s_suppkey")))
+    link = F.format_string("<dd><a href='/tongren/%d/%d.html'>第%d章</a></dd>", "n_nationkey", "s_suppkey", "number")
+    lists = rows.groupBy("n_nationkey", "n_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", link.alias("a")))), lambda x: x["a"]), "").alias("a"))
+    catalogs = lists.select(F.format_string("https://www.trxs.cc/tongren/%d.html", "n_nationkey").alias("url"), F.concat(F.lit("<title>"), F.translate("n_name", "_", " "), F.lit(" 的书(全集)_同人小说网</title><div id='list'><dl>"), "a", F.lit("</dl></div>")).alias("html"))
+    body = lambda i, more: F.concat(F.format_string("<h1>第%d章</h1><div class='read_chapterDetail'>", "number"), F.lit("<p>"), F.col("s_name"), F.lit(f" 的第{i}页正文内容。</p>"), more, F.lit("</div>"))
+    follow = F.when(F.col("s_suppkey") % 5 == 1, F.format_string("<a href='%d_2.html'>下一页</a>", "s_suppkey")).otherwise("")
+    kept = rows.where("s_suppkey % 7 <> 3")
+    first = kept.select(F.format_string("https://www.trxs.cc/tongren/%d/%d.html#top", "n_nationkey", "s_suppkey").alias("url"), body(1, follow).alias("html"))
+    second = kept.where("s_suppkey % 5 = 1").select(F.format_string("https://www.trxs.cc/tongren/%d/%d_2.html", "n_nationkey", "s_suppkey").alias("url"), body(2, F.lit("")).alias("html"))
+    return catalogs.unionByName(first).unionByName(second)
+
+
+@query(f"""WITH {_BOOK_SQL}
+           SELECT 'https://www.trxs.cc/tongren/' || b.n_nationkey || '.html' AS book, any_value(replace(n_name, '_', ' ')) || ' 的书.txt' AS file_name, count(*) FILTER (NOT lost) AS n_chapters,
+                  coalesce(string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) FILTER (lost), '') AS failed,
+                  sha256(string_agg('第' || number || '章' || chr(10) || chr(10) || s_name || ' 的第1页正文内容。' || CASE WHEN two THEN chr(10) || s_name || ' 的第2页正文内容。' ELSE '' END, chr(10) || chr(10) ORDER BY number) FILTER (NOT lost) || chr(10)) AS text_sha
+           FROM b JOIN e ON b.n_nationkey = e.n_nationkey GROUP BY b.n_nationkey""")
+def book_flow(spark, sf_dir):
+    """From captured pages to books: discovery, chapters along their pages, clean-up, assembly."""
+    inputs = table(spark, sf_dir, "nation").select(F.format_string("https://www.trxs.cc/tongren/%d.html", "n_nationkey").alias("book"))
+    out = books.books(_book_pages(spark, sf_dir), inputs)
+    return longs(out.select("book", "file_name", "n_chapters", F.array_join(F.transform("failed", lambda x: x.cast("string")), ",").alias("failed"), F.sha2("text", 256).alias("text_sha")), "n_chapters")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS book, l_linenumber AS number, l_returnflag = 'R' AS failed FROM lineitem),
+          r AS (SELECT book, count(*) FILTER (NOT failed) AS total_chapters, coalesce(string_agg(DISTINCT CAST(number AS VARCHAR), ',') FILTER (failed), '') AS f, count(*) FILTER (number > 3) AS skipped_chapters, bool_or(failed) AS bad FROM l GROUP BY book)
+          SELECT book, total_chapters, array_to_string(list_sort(string_split(f, ',')), ',') AS failed_chapters, skipped_chapters, CASE WHEN total_chapters = 0 THEN 1 WHEN bad THEN 2 ELSE 0 END AS exit_code FROM r""")
+def run_reports(spark, sf_dir):
+    """Reports of runs: orders as books, their lines as chapters, returned ones as failed."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("number"), (F.col("l_returnflag") == "R").alias("failed"))
+    out = report.run_report(rows, rows.where("NOT failed"), cache.first_chapters(rows, ["book"], 3), ["book"])
+    return longs(out.select("book", "total_chapters", F.array_join(F.transform("failed_chapters", lambda x: x.cast("string")), ",").alias("failed_chapters"), "skipped_chapters", "exit_code"), "total_chapters", "skipped_chapters", "exit_code")

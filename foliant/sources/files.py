@@ -49,6 +49,11 @@ def write_cache(chapters: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site", "cache_key").parquet(path)
 
 
+def read_cache_table(spark: SparkSession, path: str) -> DataFrame:
+    """(site, cache_key, number, text) of a cache that `write_cache` wrote."""
+    return spark.read.schema("number int, text string, site string, cache_key string").parquet(path).select("site", "cache_key", "number", "text")
+
+
 def read_plans(spark: SparkSession, path: str) -> DataFrame:
     """(catalog_url, title, number, chapter_title, url) of `book.json` files; a file that can't be read gives one row of nulls with `corrupt`."""
     plans = spark.read.schema(PLAN_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)

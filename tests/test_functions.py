@@ -119,9 +119,12 @@ REFERENCES = {
 
 
 def test_references(spark):
-    df = spark.createDataFrame([(h, BASE) for h in REFERENCES] + [("x", "http://h"), ("../x", "http://h/"), ("?z", "http://u@h/a/b")], "h string, b string")
+    rng = random.Random(2)
+    more = [("".join(rng.choice(["a", "b", "/", "/", "..", ".", "?", "#", ":", "http:", "//", " ", "\u3000"]) for _ in range(rng.randrange(9))), rng.choice(["http://h", "https://h/a/b/", "http://h/a//b?q"])) for _ in range(500)]
+    df = spark.createDataFrame([(h, BASE) for h in REFERENCES] + [("x", "http://h"), ("../x", "http://h/"), ("?z", "http://u@h/a/b")] + more, "h string, b string")
     got = {(r.h, r.b): r.u for r in df.select("h", "b", urls.absolute(F.col("h"), F.col("b")).alias("u")).collect()}
-    assert got == {(h, BASE): u for h, u in REFERENCES.items()} | {("x", "http://h"): "http://h/x", ("../x", "http://h/"): "http://h/x", ("?z", "http://u@h/a/b"): "http://u@h/a/b?z"}
+    assert got == {(h, b): urls.Resolver(b)(h) for h, b in got}
+    assert {k: u for k, u in got.items() if k not in more} == {(h, BASE): u for h, u in REFERENCES.items()} | {("x", "http://h"): "http://h/x", ("../x", "http://h/"): "http://h/x", ("?z", "http://u@h/a/b"): "http://u@h/a/b?z"}
 
 
 def test_same_document_and_catalog_guess(spark):

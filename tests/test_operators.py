@@ -206,6 +206,29 @@ def test_search_requests():
         dialects.search_requests(" \n")
 
 
+def test_a_search_with_a_blocked_site(spark):
+    card = "<div class='bk'><h3><a href='/tongren/%d.html'>示例小说%s</a></h3><p>%s</p></div>"
+    good = card % (1, "续篇 (1-10)", "摘要") + card % (2, "", "") + card % (3, "，续篇", "")
+    responses = spark.createDataFrame([(0, good), (2, "<title>Just a moment...</title>")], "site_ord int, html string")
+    asked = search.requests(spark, "示例小说，续篇")
+    assert [(r.site_ord, r.adapter, r.filtered) for r in asked.orderBy("site_ord").collect()] == [(0, "trxs_cc", True), (2, "bixiange", True)]
+    came = search.outcomes(asked, responses)
+    assert {r.adapter: r.status for r in came.collect()} == {"trxs_cc": "ok", "bixiange": "blocked"}
+    found = search.found_on_sites(came, "示例小说，续篇")
+    assert [(r.place, r.title, r.site) for r in found.orderBy("place").collect()] == [(1, "示例小说续篇 (1-10)", "trxs.cc"), (2, "示例小说，续篇", "trxs.cc")]
+    assert search.pick(found, 2).first().url == "https://www.trxs.cc/tongren/3.html"
+    for wrong in (0, 3):
+        with pytest.raises(LookupError, match="1 to 2"):
+            search.pick(found, wrong)
+    entries = [r.entry for r in search.listing(found).orderBy("place").collect()]
+    assert entries == ["站内搜索结果（已查询并限定在 trxs.cc）", "[1] 示例小说续篇 (1-10)\n    站点：trxs.cc\n    链接：https://www.trxs.cc/tongren/1.html\n    摘要：摘要", "[2] 示例小说，续篇\n    站点：trxs.cc\n    链接：https://www.trxs.cc/tongren/3.html"]
+    plain = search.found_on_sites(search.outcomes(search.requests(spark, "示例小说"), responses.where("site_ord = 0")), "示例小说")
+    assert plain.count() == 3
+    for query, limit in ((" ", 10), ("x", 0), ("x", 101)):
+        with pytest.raises(ValueError):
+            search.requests(spark, query, limit)
+
+
 def merge_loop(lists, limit):
     out, seen, i = [], set(), 0
     while len(out) < limit:
