@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import byte_table, chunks, mix, prefix_hash, slice_hash, text_bytes
+from .rolling import byte_table, chunks, mix, prefix_hash, slice_hash, text_bytes, trimmed
 
 WINDOW = 13
 BITMAP_BITS = 24
@@ -238,7 +238,7 @@ def doc_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
     for page, some in packed.toLocalIterator():
         cells[(page << 12) + np.array(some)] = True
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_doc_windows(widths, np.packbits(cells).tobytes()), f"doc_id long, {_OUT}")
+    return rows.mapInArrow(trimmed(_doc_windows(widths, np.packbits(cells).tobytes())), f"doc_id long, {_OUT}")
 
 
 def _consistent(mine, theirs):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import byte_table, chunks, mix, prefix_hash, slice_hash, text_bytes, trimmed
+from .rolling import byte_table, chunks, gathered, mix, prefix_hash, slice_hash, text_bytes, trimmed
 from .shared import components, written
 
 WIDTH = 5
@@ -67,7 +67,7 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, how often each was seen) of shingles that several texts of a sample share; only the order of keys depends on it."""
     step = max(1, -(-texts.count() // SAMPLE))
     some = texts.where(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).dropDuplicates(["node"]).select("text")
-    seen = some.mapInArrow(_shingles, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
+    seen = some.mapInArrow(trimmed(_shingles), "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
     key, n = (np.asarray(seen.column(i).combine_chunks()) for i in (0, 1))
     key = key.astype(np.int64).view(np.uint64)
     order = np.argsort(key)
@@ -101,7 +101,7 @@ def _keys(common: np.ndarray, seen: np.ndarray):
 def _runs(batches, columns):
     """Whole runs of equal keys as arrays, of batches sorted by key."""
     held = None
-    for b in batches:
+    for b in gathered(batches):
         if not b.num_rows:
             continue
         part = [np.asarray(b.column(c)) for c in columns]

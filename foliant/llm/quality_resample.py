@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import byte_table, chunks, mix, prefix_hash, slice_hash, text_bytes
+from .rolling import byte_table, chunks, mix, prefix_hash, slice_hash, text_bytes, trimmed
 from .shared import written
 
 BITS = 17
@@ -124,7 +124,7 @@ def model(docs: DataFrame, labels: DataFrame, most: int = LABELS, by: str = "lan
     whole = sum(r.good for r in marked) / max(1, sum(r.n for r in marked))
     shares = {m: whole for m in range(len(languages) + 1)} | {r.model: (r.good + PRIOR * whole) / (r.n + PRIOR) for r in marked} if whole else {}
     groups = len(languages) + 1
-    counts = rows.select("text", "good", model_of(F.col("language"), languages).alias("model")).mapInArrow(_counts(groups), "bucket long, raw long, target long")
+    counts = rows.select("text", "good", model_of(F.col("language"), languages).alias("model")).mapInArrow(trimmed(_counts(groups)), "bucket long, raw long, target long")
     total = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # a row a bucket and model at most
     raw, target = np.zeros(groups * BUCKETS), np.zeros(groups * BUCKETS)
     at = np.asarray(total.column("bucket"))
@@ -159,7 +159,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, languages: list, by: str = "lang
     """(doc_id, text_hash, n_words, log_weight, model) for each row of `docs`."""
     language = F.col(by).cast("string") if by in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", model_of(language, languages).alias("model"))
-    return rows.mapInArrow(_weights(ratio), "doc_id long, text_hash long, n_words long, log_weight double, model int")
+    return rows.mapInArrow(trimmed(_weights(ratio)), "doc_id long, text_hash long, n_words long, log_weight double, model int")
 
 
 def noise(seed: int) -> Column:

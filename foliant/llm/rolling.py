@@ -49,6 +49,19 @@ def trimmed(run):
     return to_end
 
 
+def gathered(batches, rows: int = 16_384):
+    """Arrow batches put together until they have that many rows, for streams of narrow rows: batches are cut small, since rows may hold whole texts."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n).bit_length())
     up, down = _powers(size)

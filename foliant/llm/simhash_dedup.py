@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .rolling import chunks, trimmed
+from .rolling import chunks, gathered, trimmed
 from .shared import components, written
 
 SPLIT = 20_000
@@ -137,7 +137,7 @@ def _joined(budget: int):
 
     def run(batches):
         name, held = None, []
-        for batch in batches:
+        for batch in gathered(batches):
             if not batch.num_rows:
                 continue
             roots, fps = (np.asarray(batch.column(c)) for c in ("root", "fp"))

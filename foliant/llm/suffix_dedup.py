@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rolling import byte_table, chunks, mix, prefix_hash, slice_hash, sliding_min, text_bytes, trimmed
+from .rolling import byte_table, chunks, gathered, mix, prefix_hash, slice_hash, sliding_min, text_bytes, trimmed
 from .shared import given_id, scratch, with_key, written
 
 STEP = 16
@@ -90,7 +90,7 @@ def _merge_scan(merged: list[int], rank: int):
 
     def run(batches):
         held, hot = None, False  # rows of the last key, which may go on; whether some of its rows are told already
-        for b in batches:
+        for b in gathered(batches):
             if not b.num_rows:
                 continue
             x = [np.asarray(b.column(c)) for c in (*COLUMNS, "rank")]
