@@ -29,7 +29,7 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors once for each application, so that Python functions of it load there."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default, made for narrow rows; texts are long
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         here = os.path.dirname(os.path.abspath(__file__))
