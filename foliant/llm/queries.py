@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with oracle SQL where SQL can express them."""
+"""The operators as queries over whole tables, with oracle SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from . import ann, best_fit_packing, chat_format, decontaminate, edit_counts, license_scan, quality_resample, simhash_dedup, suffix_dedup, url_filter
+from . import ann, best_fit_packing, chat_format, conversation_repair, decontaminate, edit_counts, fill_middle, license_scan, quality_resample, simhash_dedup, suffix_dedup, url_filter
 
 # The rules that op5 judges by, as (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -80,8 +80,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render(turns.unionByName(early))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, one row in four damaged first."""
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(turns, conversation_repair.damaged(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_ann, op3_quality_resample, op4_simhash_dedup, op5_url_filter, op6_best_fit_packing, op7_edit_counts, op8_license_scan, op9_decontaminate, op10_chat_format)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_ann, op3_quality_resample, op4_simhash_dedup, op5_url_filter, op6_best_fit_packing, op7_edit_counts, op8_license_scan, op9_decontaminate, op10_chat_format, op12_fill_middle, op13_conversation_repair)}
 
 
 def _sql_canonical() -> str:
@@ -122,6 +132,15 @@ def oracle_sql() -> dict[str, str]:
             every AS (SELECT doc_id, text FROM documents UNION ALL VALUES {probes}),
             d AS (SELECT doc_id, nullif({canonical}, '') AS body FROM every)
             SELECT doc_id, sha256(body) AS digest, license_id FROM d LEFT JOIN known ON sha256(body) = digest""",
+        "op12_fill_middle": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+            u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS l, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+            c AS (SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b FROM u),
+            p AS (SELECT *, array_to_string(l[1:a], '') AS prefix, array_to_string(l[a + 1:b], '') AS middle, array_to_string(l[b + 1:n], '') AS suffix,
+                  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+            SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+                   sha256(text) AS restored_sha256 FROM p""",
         "op10_chat_format": """
             WITH every AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
                 SELECT -1 - conv_id, turn, role, text FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE conv_id % 3 = 0 AND turn < last),
