@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from . import ann, best_fit_packing, chat_format, conversation_repair, decontaminate, edit_counts, fill_middle, license_scan, quality_resample, simhash_dedup, suffix_dedup, url_filter
+from . import ann, best_fit_packing, chat_format, conversation_repair, decontaminate, edit_counts, fill_middle, license_scan, quality_resample, simhash_dedup, suffix_dedup, toxicity, url_filter
 
 # The rules that op5 judges by, as (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -80,6 +80,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render(turns.unionByName(early))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents")))
 
@@ -91,7 +95,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_ann, op3_quality_resample, op4_simhash_dedup, op5_url_filter, op6_best_fit_packing, op7_edit_counts, op8_license_scan, op9_decontaminate, op10_chat_format, op12_fill_middle, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_ann, op3_quality_resample, op4_simhash_dedup, op5_url_filter, op6_best_fit_packing, op7_edit_counts, op8_license_scan, op9_decontaminate, op10_chat_format, op11_toxicity, op12_fill_middle, op13_conversation_repair)}
 
 
 def _sql_canonical() -> str:
