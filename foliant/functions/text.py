@@ -119,16 +119,9 @@ def numbered(number: Column, unit: str = "章") -> Column:
     return F.concat(F.lit("第"), number.cast("string"), F.lit(unit))
 
 
-def book_title(text: Column, adapter: Column) -> Column:
+def book_title(text: Column) -> Column:
     """A title text without site and chapter suffixes, at most 120 characters; null if under two are left."""
     text = F.when(F.length(text) >= 2, text)
     text = strip(F.regexp_replace(text, java(fixed.TITLE_SITE_SUFFIX), ""))
     text = strip(F.regexp_replace(text, java(fixed.TITLE_CHAPTER_SUFFIX), ""))
     return F.left(F.when(F.length(text) >= 2, text), F.lit(120))
-
-
-def site_title(title: Column, adapter: Column) -> Column:
-    """What a site appends to its book titles goes."""
-    note = strip(F.regexp_replace(title, java(fixed.TITLE_NOTE_SUFFIX), ""))
-    span = strip(F.regexp_replace(title, java(fixed.TITLE_RANGE_SUFFIX), ""))
-    return F.when(adapter == "trxs_cc", note).when(adapter == "bixiange", span).otherwise(title)

@@ -153,24 +153,3 @@ def site_name(url: Column, adapter: Column) -> Column:
 def host_matches(url: Column, host: Column) -> Column:
     authority = F.lower(part(url, "authority"))
     return (authority == host) | F.endswith(authority, F.concat(F.lit("."), host))
-
-
-def guess_catalog(url: Column, adapter: Column) -> Column:
-    """The table of contents that a chapter's address points to by its shape; null for sites without such shapes."""
-    shape = r"(?i)^/([^/]+)/([^/]+)/(?:index/)?\d+\.html?$"
-
-    def guess(p: Column) -> Column:
-        book = F.nullif(F.regexp_extract(p["path"], r"/tongren/([^/]+)(?:/[^/]*)?/?$", 1), F.lit(""))
-        trxs = F.concat(F.lit("/tongren/"), F.regexp_replace(book, r"(?i)\.html?$", ""), F.lit(".html"))
-        bqg = F.concat(F.lit("/bqg/"), F.nullif(F.regexp_extract(p["path"], r"/bqg/([^/]+)/", 1), F.lit("")), F.lit("/"))
-        trimmed = F.regexp_replace(p["path"], "/+$", "")
-        section = F.when(trimmed.rlike(shape), F.concat(F.lit("/"), F.regexp_extract(trimmed, shape, 1), F.lit("/"), F.regexp_extract(trimmed, shape, 2), F.lit("/")))
-        path = F.when(adapter == "trxs_cc", trxs).when(adapter == "23txxt", bqg).when(adapter == "bixiange", section)
-        return let(path, lambda x: F.when(x.isNotNull(), build(p["scheme"], p["authority"], x, F.lit(""))))
-
-    return let(parts(url), guess)
-
-
-def canonical_chapter(url: Column, adapter: Column) -> Column:
-    shorter = lambda p: F.when(adapter == "23txxt", F.regexp_replace(p["path"], r"(?i)_\d+(?=\.html?$)", "")).otherwise(p["path"])
-    return let(parts(url), lambda p: let(shorter(p), lambda x: build(p["scheme"], p["authority"], x, p["query"])))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions.fixed import java
+from . import dialects
 
 
 def sessions(lines: DataFrame, keys: list[str], first_titles: DataFrame, order: list[str]) -> DataFrame:
@@ -35,13 +36,12 @@ def chapter_lines(chapters: DataFrame, keys: list[str], heading: Column | None =
 
 
 def assemble(chapters: DataFrame, keys: list[str]) -> DataFrame:
-    """Chapters of a book (*keys, adapter, number, title, content) in their final form: re-cut at real headings for the dialect whose parts
-    are mere sections, as they are for the others."""
-    cut = chapters.where("adapter = 'bixiange'")
-    section = F.col("title").rlike(java(fixed.SECTION_HEADING)) | (F.col("title") == "")
-    first = cut.groupBy(*keys).agg(F.min_by(F.struct(F.when(~section, F.col("title")).alias("t")), "number").alias("f")).select(*keys, F.col("f.t").alias("first_title"))
-    whole = chapters.where("adapter <> 'bixiange'").select(*keys, "number", "title", "content")
-    return whole.unionByName(sessions(chapter_lines(cut, keys), keys, first, ["number", "line_pos"]))
+    """Chapters of a book (*keys, adapter, number, title, content) in their final form: put together as their dialect says, or as they are."""
+    own = {d.name: rows for d in dialects.known() if (rows := d.assemble(chapters.where(F.col("adapter") == d.name), keys)) is not None}
+    out = (chapters.where(~F.col("adapter").isin(*own)) if own else chapters).select(*keys, "number", "title", "content")
+    for rows in own.values():
+        out = out.unionByName(rows)
+    return out
 
 
 def joined(chapters: DataFrame, keys: list[str]) -> DataFrame:

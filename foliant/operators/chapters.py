@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text, urls
-from ..functions.fixed import java
+from ..functions import fixed, text
 from ..session import written
 from . import dialects
 
@@ -15,7 +14,7 @@ MAX_PAGES = 50
 
 
 def content_groups() -> dict[str, list[str]]:
-    return {f"content:{d.name}": [*d.content, *fixed.GENERIC_CONTENT_SELECTORS] for d in dialects.ALL} | {"chapter_title": [", ".join(fixed.CHAPTER_TITLE_SELECTORS)]}
+    return {f"content:{d.name}": [*d.content, *fixed.GENERIC_CONTENT_SELECTORS] for d in dialects.known()} | {"chapter_title": [", ".join(fixed.CHAPTER_TITLE_SELECTORS)]}
 
 
 def block_score(size, n_links, priority):
@@ -29,7 +28,7 @@ def content_scores() -> dict:
     def of(n_own: int):
         return lambda rank, size, n_links: block_score(size, n_links, rank) if size >= (MIN_OWN if rank < n_own else MIN_GENERIC) else None
 
-    return {f"content:{d.name}": of(len(d.content)) for d in dialects.ALL}
+    return {f"content:{d.name}": of(len(d.content)) for d in dialects.known()}
 
 
 def best_block(candidates: DataFrame, keys: list[str], length: str, n_links: str, priority: str, order: str) -> DataFrame:
@@ -42,14 +41,13 @@ def best_block(candidates: DataFrame, keys: list[str], length: str, n_links: str
 def contents(nodes: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, title, content, status) of each page: `ok`, or `extract_error` where no block is found or too little of it is left. The title is the
     first heading's in document order, null if there is none; `nodes` has the groups of `content_groups`, with `content_scores`."""
-    sizes = F.create_map(*(x for d in dialects.ALL for x in (F.lit(d.name), F.lit(len(d.content)))))
+    sizes = F.create_map(*(x for d in dialects.known() for x in (F.lit(d.name), F.lit(len(d.content)))))
     best = nodes.where(F.col("grp") == F.concat(F.lit("content:"), F.col("adapter")))
     best = best.select(*keys, text.clean_lines(F.col("bare")).alias("content"), (F.col("rank") < sizes[F.col("adapter")]).alias("own"))
     titles = nodes.where("grp = 'chapter_title'").groupBy(*keys).agg(F.min_by(text.clean_lines(F.col("spaced")), "node_id").alias("title"))
     out = pages.select(*keys, "adapter").join(best, keys, "left").join(titles, keys, "left")
     fine = F.length("content") >= F.when(F.col("own"), MIN_LEFT_OWN).otherwise(MIN_LEFT_GENERIC)
-    page_heading = F.get(F.filter(F.split("content", "\n"), lambda x: x.rlike(java(fixed.PAGE_HEADING))), F.lit(0))
-    better = F.when(F.col("adapter") == "23txxt", F.nullif(text.clean_lines(F.regexp_extract(page_heading, java(fixed.PAGE_HEADING), 1)), F.lit("")))
+    better = dialects.hook(F.col("adapter"), lambda d: d.page_title(F.col("content")), F.lit(None).cast("string"))
     status = F.when(F.coalesce(fine, F.lit(False)), "ok").otherwise("extract_error")
     return out.select(*keys, F.coalesce(better, "title").alias("title"), F.when(status == "ok", F.col("content")).alias("content"), status.alias("status"))
 
@@ -89,4 +87,4 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def start_urls(links: DataFrame) -> DataFrame:
     """`links` with the address that a chapter's first page has."""
-    return links.withColumn("start_url", urls.canonical_chapter(F.col("url"), F.col("adapter")))
+    return links.withColumn("start_url", dialects.canonical_chapter(F.col("url"), F.col("adapter")))

@@ -41,7 +41,7 @@ def is_chapter_link(title: Column, url: Column) -> Column:
 
 
 def catalog_groups() -> dict[str, list[str]]:
-    return {f"catalog:{d.name}": list(d.catalog) for d in dialects.ALL} | {"links": ["a[href]"]}
+    return {f"catalog:{d.name}": list(d.catalog) for d in dialects.known()} | {"links": ["a[href]"]}
 
 
 def catalog_links(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,28 +57,11 @@ def catalog_links(nodes: DataFrame, keys: list[str]) -> DataFrame:
     unique = dedupe(found, [*keys, "sel"])
     sizes = unique.groupBy(*keys, "sel").count().where("count >= 2").groupBy(*keys).agg(F.min("sel").alias("sel"))
     chosen = written(orient(unique.join(sizes, [*keys, "sel"]), keys).select(*keys, "adapter", "number", "title", "url"))
-    return chosen.where("adapter <> '23txxt'").unionByName(numbered_catalog(chosen.where("adapter = '23txxt'"), keys))
-
-
-def numbered_catalog(links: DataFrame, keys: list[str]) -> DataFrame:
-    """A catalog by the numbers in its titles: the first link of each number (those with a full chapter number before those with a bare leading
-    one, `开始阅读` as number 1 if there is no other), then extras in page order; the rest is dropped."""
-    number = text.chapter_number(F.col("title"))
-    bare = F.when(number <= 0, text.leading_number(F.col("title")))
-    phased = links.withColumn("_full", F.when(number > 0, number)).withColumn("_bare", bare).withColumn("_start", text.strip(F.col("title")) == fixed.START_LABEL)
-    rows = phased.select(*keys, "adapter", "title", "url", F.col("number").alias("ord"), F.coalesce("_full", "_bare").alias("n"), F.when(F.col("_full").isNotNull(), 0).otherwise(1).alias("phase"), "_start")
-    given = rows.where("n IS NOT NULL")
-    first = Window.partitionBy(*keys).orderBy("ord")
-    starts = rows.where("_start").withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k").withColumn("n", F.lit(1)).withColumn("phase", F.lit(2)).withColumn("ord", F.lit(-1))
-    best = Window.partitionBy(*keys, "n").orderBy("phase", "ord")
-    numbered = given.unionByName(starts).withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
-    # A bare number that is taken already may still be an extra.
-    taken = numbered.select(*keys, "ord", F.lit(True).alias("_taken"))
-    bare_rows = rows.where("n IS NULL OR phase = 1").join(taken, [*keys, "ord"], "left").where("_taken IS NULL").drop("_taken")
-    special = bare_rows.where(~F.col("_start") & text.is_extra_title(F.col("title")))
-    both = numbered.select(*keys, "adapter", "title", "url", F.lit(0).alias("late"), "n", "ord").unionByName(special.select(*keys, "adapter", "title", "url", F.lit(1).alias("late"), F.lit(0).alias("n"), "ord"))
-    order = Window.partitionBy(*keys).orderBy("late", "n", "ord")
-    return both.withColumn("number", F.row_number().over(order)).select(*keys, "adapter", "number", "title", "url")
+    own = {d.name: rows for d in dialects.known() if (rows := d.chapter_list(chosen.where(F.col("adapter") == d.name), keys)) is not None}
+    out = chosen.where(~F.col("adapter").isin(*own)) if own else chosen
+    for rows in own.values():
+        out = out.unionByName(rows)
+    return out
 
 
 def book_titles(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,7 +69,7 @@ def book_titles(nodes: DataFrame, keys: list[str]) -> DataFrame:
     first = Window.partitionBy(*keys, "rank").orderBy("node_id")
     own = nodes.where("grp = 'title'").withColumn("_k", F.row_number().over(first)).where("_k = 1")
     raw = text.clean_lines(F.when(F.col("tag") == "meta", F.coalesce("content", F.lit(""))).otherwise(F.col("spaced")))
-    found = own.withColumn("title", text.book_title(raw, F.col("adapter"))).where("title IS NOT NULL")
+    found = own.withColumn("title", text.book_title(raw)).where("title IS NOT NULL")
     return found.groupBy(*keys).agg(F.min_by("title", "rank").alias("title"))
 
 
@@ -94,34 +77,25 @@ def with_title(pages: DataFrame, titles: DataFrame, keys: list[str]) -> DataFram
     """`pages` with `title`, from the URL's last path segment where no title was found."""
     tail = F.nullif(F.element_at(F.split(F.regexp_replace(urls.part(F.col("url"), "path"), "/+$", ""), "/"), -1), F.lit(""))
     out = pages.join(titles.withColumnRenamed("title", "_title"), keys, "left")
-    return out.withColumn("title", text.site_title(F.coalesce("_title", tail, F.lit(fixed.DEFAULT_TITLE)), F.col("adapter"))).drop("_title")
-
-
-def _marked(markers: list[str], c: Column) -> Column:
-    found = F.lit(False)
-    for m in markers:
-        found = found | F.contains(c, F.lit(m))
-    return found
+    return out.withColumn("title", dialects.site_title(F.coalesce("_title", tail, F.lit(fixed.DEFAULT_TITLE)), F.col("adapter"))).drop("_title")
 
 
 def neighbours(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, catalog_link, next_link) of each page with links: the first link to a table of contents, and the page that continues it."""
     own = nodes.where("grp = 'links'").select(*keys, "adapter", "node_id", F.col("url").alias("_page_url"), text.clean_lines(F.col("spaced")).alias("label"), "link")
     own = own.where(F.col("link").isNotNull() & urls.same_origin(F.col("link"), F.col("_page_url")))
-    ahead = (F.length("label") <= 12) & _marked(fixed.NEXT_MARKERS, F.col("label"))
-    shape = r"(?is)^(.*?)(?:_(\d+))?\.html?$"
+    ahead = (F.length("label") <= 12) & dialects.marked(fixed.NEXT_MARKERS, F.col("label"))
     path, target = urls.part(F.col("_page_url"), "path"), urls.part(F.col("link"), "path")
-    page_number = F.coalesce(F.nullif(F.regexp_extract(path, shape, 2), F.lit("")).cast("int"), F.lit(1))
-    stem = F.regexp_extract(path, shape, 1)
-    own_tail = F.when(path.rlike(shape) & F.startswith(F.lower(target), F.lower(stem)), F.substring(target, F.length(stem) + 1, F.length(target)))
-    n = F.nullif(F.regexp_extract(own_tail, r"(?i)^_(\d+)\.html?$", 1), F.lit("")).cast("int")
+    page_number = F.coalesce(F.nullif(F.regexp_extract(path, fixed.PAGE_STEM, 2), F.lit("")).cast("int"), F.lit(1))
+    stem = F.regexp_extract(path, fixed.PAGE_STEM, 1)
+    own_tail = F.when(path.rlike(fixed.PAGE_STEM) & F.startswith(F.lower(target), F.lower(stem)), F.substring(target, F.length(stem) + 1, F.length(target)))
+    n = F.nullif(F.regexp_extract(own_tail, fixed.PAGE_TAIL, 1), F.lit("")).cast("int")
     facts = own.groupBy(*keys).agg(
-        F.min_by("link", F.when(_marked(fixed.CATALOG_MARKERS, F.col("label")), F.col("node_id"))).alias("catalog_link"),
+        F.min_by("link", F.when(dialects.catalog_label(F.col("label"), F.col("adapter")), F.col("node_id"))).alias("catalog_link"),
         F.min_by("link", F.when(ahead, F.col("node_id"))).alias("_linked"),
         F.min(F.when(n > page_number, F.struct(n.alias("n"), F.col("link")))).alias("_next"),
         F.first("adapter").alias("_adapter"),
         F.first("_page_url").alias("_page"),
     )
-    same = (urls.normalize(F.col("_linked")) != urls.normalize(F.col("_page"))) & (urls.canonical_chapter(F.col("_linked"), F.col("_adapter")) == urls.canonical_chapter(F.col("_page"), F.col("_adapter")))
-    own_next = F.when(F.col("_adapter") != "23txxt", F.col("_linked")).when(F.coalesce(same, F.lit(False)), F.col("_linked")).otherwise(F.col("_next.link"))
+    own_next = dialects.hook(F.col("_adapter"), lambda d: d.next_page(F.col("_linked"), F.col("_next.link"), F.col("_page")), F.col("_linked"))
     return facts.select(*keys, "catalog_link", own_next.alias("next_link"))

@@ -9,15 +9,18 @@ SPAN = 4096
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "number", span: int = SPAN) -> DataFrame:
-    """Adds `name`: the row's number within `keys` by `order`, whose first column is a whole number. A key's rows are numbered within ranges of `span` values of
-    that column and moved on by the sizes of the ranges before, so no task gets more than a range, however many rows a key has."""
-    dealt = rows.withColumn("_range", F.floor(F.col(order[0]) / span))
-    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*(F.col(k).alias(f"_start_{i}") for i, k in enumerate(keys)), F.col("_range").alias("_start_range"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
-    same = F.col("_range") == F.col("_start_range")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_start_{i}"))
+    """Adds `name`: the row's number within `keys` by `order`, whose first column is a whole number, nulls first. A key's rows are numbered within ranges of `span` values of
+    that column, and moved on by the sizes of the ranges before. So no task gets more than the rows of a range of values, however many a key has; rows of one value stay together."""
+    # Ranges have numbers of their own: that of the null values is before all others.
+    given = F.col(order[0]).isNotNull()
+    dealt = rows.withColumn("_given", given).withColumn("_range", F.coalesce(F.floor(F.col(order[0]) / span), F.lit(0)))
+    unit = [*keys, "_given", "_range"]
+    sizes = dealt.groupBy(*unit).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_given", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*(F.col(k).alias(f"_start_{i}") for i, k in enumerate(unit)), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(*unit).orderBy(*order)))
+    same = F.lit(True)
+    for i, k in enumerate(unit):
+        same = same & (F.col(k).eqNullSafe(F.col(f"_start_{i}")) if k in keys else F.col(k) == F.col(f"_start_{i}"))
     out = own.join(starts, same).withColumn("_number", (F.col("_start") + F.col("_rank")).cast("int"))
     return out.select(*rows.columns, F.col("_number").alias(name))

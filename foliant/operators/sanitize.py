@@ -1,72 +1,24 @@
-"""Chapter clean-up by dialect: notices, labels and repeated titles go, headings become titles. Column expressions on arrays of lines."""
+"""Chapter clean-up by dialect: notices, labels and repeated titles go, headings become titles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
-from ..functions.fixed import java
-
-EDGE = " ：:—-_"
-
-
-def _from_first(lines: Column, pattern: str) -> Column:
-    """The lines from the first one that fits the pattern, or all of them."""
-    at = F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), F.lit(True))
-    return F.when(at > 0, F.slice(lines, at.cast("int"), F.size(lines))).otherwise(lines)
-
-
-def _heading(lines: Column, pattern: str) -> Column:
-    """Place (1 or 2) of a heading in the first two lines, or 0."""
-    return F.array_position(F.transform(F.slice(lines, 1, 2), lambda x: x.rlike(pattern)), F.lit(True)).cast("int")
-
-
-def _without_first(lines: Column, line: Column) -> Column:
-    at = F.array_position(lines, line).cast("int")
-    return F.filter(lines, lambda x, i: i != at - 1)
-
-
-def _after_book(title: Column, book: Column) -> Column:
-    return F.when((book != "") & F.startswith(title, book), F.btrim(F.substring(title, F.length(book) + 1, F.length(title)), F.lit(EDGE))).otherwise(title)
+from ..functions import text
+from ..functions.urls import let
+from . import dialects
 
 
 def sanitize(chapters: DataFrame) -> DataFrame:
-    """`chapters` (adapter, book_title, number, title, content) with title and content cleaned; the first chapter is the one numbered 1. Applying it
-    twice gives the same. The generic dialect leaves chapters as they are."""
-    first = F.col("number") == 1
-    df = chapters.withColumn("_t", text.clean_lines(F.col("title"))).withColumn("_lines", text.line_list(F.col("content")))
-    book = F.col("book_title")
-
-    # trxs_cc
-    heading = java(fixed.NUMBERED_HEADING)
-
-    def repeated(x: Column) -> Column:
-        bare = F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+", "")
-        return F.startswith(bare, book) & F.substring(bare, F.length(book) + 1, F.length(bare)).rlike(heading)
-
-    df = df.withColumn("_a", F.filter("_lines", lambda x: ~repeated(x) & ~x.isin(fixed.BODY_LABELS)))
-    df = df.withColumn("_a", F.when(first, _from_first(F.col("_a"), heading)).otherwise(F.col("_a"))).withColumn("_ah", _heading(F.col("_a"), heading))
-    bare_title = F.when(F.startswith(F.col("_t"), book), F.btrim(F.substring(F.col("_t"), F.length(book) + 1, F.length("_t")), F.lit(EDGE))).otherwise(F.col("_t"))
-    a_title = F.when(F.col("_ah") > 0, F.get("_a", F.col("_ah") - 1)).otherwise(bare_title)
-    a_title = F.when((a_title == "") | (a_title == book), text.numbered(F.col("number"))).otherwise(a_title)
-    a_lines = F.when(F.col("_ah") > 0, _without_first(F.col("_a"), F.get("_a", F.col("_ah") - 1))).otherwise(F.col("_a"))
-
-    # 23txxt
-    page, notice = java(fixed.PAGE_HEADING), java(fixed.CONTINUATION_NOTICE)
-    df = df.withColumn("_ph", F.get(F.filter("_lines", lambda x: x.rlike(page)), F.lit(0)))
-    page_title = F.nullif(text.clean_lines(F.regexp_extract("_ph", page, 1)), F.lit(""))
-    b_title = F.coalesce(page_title, F.nullif(F.when(F.col("_t") == fixed.SITE_TITLE, text.numbered(F.col("number"))).otherwise(F.col("_t")), F.lit("")), text.numbered(F.col("number")))
-    b_lines = F.filter("_lines", lambda x: ~x.rlike(page) & ~x.rlike(notice))
+    """`chapters` (adapter, book_title, number, title, content) with title and content cleaned as their dialect says; the first chapter is the one numbered 1. Applying it
+    twice gives the same. A dialect without a rule leaves chapters as they are."""
+    book, number = F.col("book_title"), F.col("number")
 
-    # bixiange
-    section, pollution, start = java(fixed.SECTION_HEADING), java(fixed.POLLUTION_LINE), java(fixed.CHAPTER_HEADING)
-    df = df.withColumn("_c", F.filter("_lines", lambda x: ~x.rlike(section) & ~x.rlike(pollution)))
-    df = df.withColumn("_c", F.when(first, _from_first(F.col("_c"), start)).otherwise(F.col("_c"))).withColumn("_ch", F.when(first, _heading(F.col("_c"), start)).otherwise(0))
-    c_title = F.when(F.col("_ch") > 0, F.get("_c", F.col("_ch") - 1)).otherwise(_after_book(F.col("_t"), text.clean_lines(book)))
-    c_title = F.coalesce(F.nullif(c_title, F.lit("")), text.numbered(F.col("number"), "节"))
-    c_lines = F.when(F.col("_ch") > 0, F.filter("_c", lambda x, i: i != F.col("_ch") - 1)).otherwise(F.col("_c"))
+    def cleaned(clean_title, lines):
+        chapter = dialects.Chapter(F.col("title"), clean_title, lines, number, book, number == 1)
+        as_it_is = F.struct(F.col("title").alias("title"), F.col("content").alias("content"))
+        return dialects.hook(F.col("adapter"), lambda d: d.clean(chapter), as_it_is)
 
-    by = lambda a, b, c, other: F.when(F.col("adapter") == "trxs_cc", a).when(F.col("adapter") == "23txxt", b).when(F.col("adapter") == "bixiange", c).otherwise(other)
-    join = lambda x: F.array_join(x, "\n")
-    return df.withColumn("title", by(a_title, b_title, c_title, F.col("title"))).withColumn("content", by(join(a_lines), join(b_lines), join(c_lines), F.col("content"))).drop("_t", "_lines", "_a", "_ah", "_ph", "_c", "_ch")
+    bound = let(text.clean_lines(F.col("title")), lambda t: let(text.line_list(F.col("content")), lambda lines: cleaned(t, lines)))
+    return chapters.withColumn("_clean", bound).withColumn("title", F.col("_clean.title")).withColumn("content", F.col("_clean.content")).drop("_clean")

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from . import dialects, dom, ranks
 
-# What a hit is on each site: the card, links to try in it, title nodes, snippets.
-CARDS = {
-    "trxs_cc": ("div.bk", ["h3 a[href]", "a[href]"], ["h3"], [".booknews, p"]),
-    "bixiange": (".list li", [".info .title a[href]", ".cover a[href]", "a[href]"], [".info .title a[href]"], [".descript, .tips"]),
-}
 DEFAULT_LIMIT, MAX_LIMIT = 10, 100
 
 # Lines of a listing.
@@ -29,9 +24,9 @@ def hits(pages: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be from 1 to {MAX_LIMIT}")
     groups, scopes = {}, {}
-    for name, (card, links, titles, snippets) in CARDS.items():
-        for kind, some in (("link", links), ("title", titles), ("snippet", snippets)):
-            groups[f"{kind}:{name}"], scopes[f"{kind}:{name}"] = some, card
+    for d in dialects.sites():
+        for kind, some in (("link", d.hits.links), ("title", d.hits.titles), ("snippet", d.hits.snippets)) if d.hits else ():
+            groups[f"{kind}:{d.name}"], scopes[f"{kind}:{d.name}"] = list(some), d.hits.card
     keys = ["site_ord", "adapter", "url"]
     nodes = dom.select(pages.select(*keys, "html"), groups, scopes)
     kind = F.substring_index("grp", ":", 1)

@@ -16,6 +16,7 @@ def page_nodes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     column `captured`; of equal ones that with the greater hash. Captures are parsed before one of each URL is chosen, so HTML is never shuffled."""
     captured = F.col("captured") if "captured" in pages.columns else F.lit(0)
     every = dialects.dispatch(pages.select(urls.normalize(F.col("url")).alias("url"), captured.alias("captured"), F.xxhash64("html").alias("version"), "html"))
+    every = every.withColumn("url", dialects.normalize(F.col("url"), F.col("adapter")))
     last = every.groupBy("url", "adapter").agg(F.max(F.struct("captured", "version", text.is_verification_page(F.coalesce("html", F.lit(""))).alias("blocked"))).alias("last"))
     last = written(last.select("url", "adapter", "last.captured", "last.version", "last.blocked"))
     groups = links.catalog_groups() | chapters.content_groups() | {"title": fixed.TITLE_SELECTORS}
@@ -33,7 +34,7 @@ def discover(pages: DataFrame, nodes: DataFrame, inputs: DataFrame) -> tuple[Dat
     way to one), empty_catalog (the page has none), or missing (not captured)."""
     keyed = pages.select("url", "adapter")
     start = inputs.select("book", urls.normalize(F.col("book")).alias("url")).join(keyed, "url", "left")
-    guess = urls.guess_catalog(F.col("url"), F.col("adapter"))
+    guess = dialects.guess_catalog(F.col("url"), F.col("adapter"))
     start = start.withColumn("guess", guess).withColumn("chapter", F.coalesce(urls.normalize(F.col("guess")) != F.col("url"), F.lit(False)))
     lists = written(links.catalog_links(nodes.withColumn("page", F.col("url")), ["page"]))
     has = lists.select(F.col("page").alias("url")).distinct().withColumn("has", F.lit(True))

@@ -5,6 +5,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from foliant.functions import fixed, text, urls
+from foliant.operators import dialects
 
 PIECES = ["第", "12", "１２", "章", "节", "　", "\xa0", " ", "\x1c", " ", "\r", "\n", "a", "Chapter", "序章", "番外", "、", ".", "：", "（", "）", "/", "2", "页", "ß", "Σ", "ſ", "_", "-", "小说", "二", "é", "²", "本章未完，请点击下一页继续阅读", "8点更"]
 
@@ -146,9 +147,9 @@ def test_same_document_and_catalog_guess(spark):
         ("generic", "http://x.com/tongren/1", None),
     ]
     df = spark.createDataFrame(guesses, "adapter string, url string, want string")
-    assert df.where(~urls.guess_catalog(F.col("url"), F.col("adapter")).eqNullSafe(F.col("want"))).count() == 0
+    assert df.where(~dialects.guess_catalog(F.col("url"), F.col("adapter")).eqNullSafe(F.col("want"))).count() == 0
     chapter = spark.createDataFrame([("23txxt", "http://23txxt.com/b/1_2.html#x"), ("trxs_cc", "http://trxs.cc/b/1_2.html#x")], "adapter string, url string")
-    assert [r[0] for r in chapter.select(urls.canonical_chapter(F.col("url"), F.col("adapter"))).collect()] == ["http://23txxt.com/b/1.html", "http://trxs.cc/b/1_2.html"]
+    assert [r[0] for r in chapter.select(dialects.canonical_chapter(F.col("url"), F.col("adapter"))).collect()] == ["http://23txxt.com/b/1.html", "http://trxs.cc/b/1_2.html"]
 
 
 def test_verification_pages(spark):
