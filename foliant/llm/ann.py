@@ -193,8 +193,8 @@ class Index:
         return self.book.packed(self.book.encode(x - self.centres[cells], toward=x))
 
 
-def scan(book: Codebook, queries: np.ndarray, codes: np.ndarray, keep: int) -> np.ndarray:
-    """Rows of the `keep` best approximate scores of each query, ties to earlier rows; codes is rows x bytes."""
+def scan(book: Codebook, queries: np.ndarray, codes: np.ndarray, keep: int, without: list[np.ndarray] | None = None) -> np.ndarray:
+    """Rows of the `keep` best approximate scores of each query, ties to earlier rows; codes is rows x bytes. The rows that `without` has for a query come last."""
     keep = min(keep, len(codes))
     out = np.empty((len(queries), keep), np.int64)
     columns = np.ascontiguousarray(codes.T)
@@ -206,6 +206,8 @@ def scan(book: Codebook, queries: np.ndarray, codes: np.ndarray, keep: int) -> n
         if keep == len(codes):
             out[i : i + 64] = np.arange(keep)
             continue
+        for j, rows in enumerate(without[i : i + 64] if without else ()):
+            score[j, rows] = -np.inf
         least = np.partition(score, len(codes) - keep, axis=1)[:, len(codes) - keep]
         for j in range(len(score)):
             over, ties = np.flatnonzero(score[j] > least[j]), np.flatnonzero(score[j] == least[j])
@@ -287,9 +289,15 @@ def _scanned(coded: DataFrame, visits: DataFrame, index: Index, k: int, rerank:
         codes = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), -1)
         asked_ids, asked_x = q["vec_id"].to_numpy(), np.stack(q["embedding"]).astype(np.float64)
         least = q["least"].astype(float).fillna(-np.inf).to_numpy()
-        picked = scan(index.book, asked_x, codes, index.depth(len(v), rerank))
+        alone: dict[int, list[int]] = {}  # vectors that one id has for itself: no candidates of its own query
+        for row, held in enumerate(copies):
+            if len(held) == 1:
+                alone.setdefault(int(held[0]), []).append(row)
+        own = [np.array(alone.get(int(x), ()), np.int64) for x in asked_ids]
+        picked = scan(index.book, asked_x, codes, index.depth(len(v), rerank), own)
         out = []
         for i, few in enumerate(picked):
+            few = few[~np.isin(few, own[i])] if len(own[i]) else few
             score = (x[few] * asked_x[i]).sum(1)
             best = np.lexsort((ids[few], -score))[: k + 1]
             best = best[score[best] >= least[i]]

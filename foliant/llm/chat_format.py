@@ -1,7 +1,7 @@
 """Logged conversation snapshots reduced to the maximal ones, then rendered.
 
 A chat is often logged after each turn, so that one conversation is a prefix of a later one. The turns of a conversation are chained:
-prefix hash i is the SHA-256 of prefix hash i-1, the role and the text. A conversation whose last hash is an inner prefix hash of another is
+prefix hash i is the SHA-256 of prefix hash i-1, the role and the text, with the lengths of both, so that no text reads as another split. A conversation whose last hash is an inner prefix hash of another is
 dropped by an anti-join, and of equal conversations the one with the smallest conv_id stays.
 
 Cases: rows without a conv_id belong to no conversation and are left out; a null role or text counts as empty; turns go by (turn, role,
@@ -23,7 +23,7 @@ def chains(turns: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), text("role"), text("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.array_distinct(F.collect_list("t"))).alias("turns"))
-    link = lambda last, t: F.sha2(F.concat_ws("\x1f", last, t["role"], F.length(t["text"]).cast("string"), t["text"]), 256)
+    link = lambda last, t: F.sha2(F.concat_ws("\x1f", last, F.length(t["role"]).cast("string"), t["role"], t["text"]), 256)
     grown = F.aggregate("turns", F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")), lambda acc, t: F.struct(link(acc["last"], t).alias("last"), F.concat(acc["all"], F.array(link(acc["last"], t))).alias("all")), lambda acc: acc["all"])
     return whole.select("conv_id", "turns", grown.alias("prefixes"))
 

@@ -14,8 +14,8 @@ far from each other, only windows whose values agree as they are count.
 Documents meet a bitmap of the benchmark's window hashes first, of a fixed 2 MB whatever the benchmark's size; only windows that may match leave the
 map task, and the join itself is on full 64-bit hashes, so no side needs to be small.
 
-Cases: null and empty texts match nothing; benchmark items with no words are left out; a doc_id that several rows share is one document;
-a null doc_id is one too; empty tables give an empty result; extra columns are ignored; an item that says the same window twice counts it once.
+Cases: null and empty texts match nothing; benchmark items with no words are left out; texts that share a doc_id, or have none, are matched each by itself, and what is found is
+given under their id, once for all of them, as it is for repeated rows; empty tables give an empty result; extra columns are ignored; an item that says the same window twice counts it once.
 """
 
 from __future__ import annotations
@@ -210,7 +210,7 @@ def _doc_windows(widths: list[int], cells: bytes):
     def run(batches):
         bitmap = np.unpackbits(np.frombuffer(cells, np.uint8)).astype(bool)
         for b in chunks(batches):
-            ids = b.column("doc_id").to_pylist()
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
             for cut in (0, 1):
                 words = template(b.column("text"), bool(cut))
                 if words is None:
@@ -223,13 +223,14 @@ def _doc_windows(widths: list[int], cells: bytes):
                         for i in range(0, len(hit), 5000):
                             some = hit[i : i + 5000]
                             places = at[some]
-                            yield _rows([ids[r] for r in row[places].tolist()], "doc_id", [width] * len(some), h[some], [_slots(form, lead, opens, start, end, data, a, width) for a in places.tolist()], places - begins[row[places]], [cut] * len(some))
+                            found = _rows([ids[r] for r in row[places].tolist()], "doc_id", [width] * len(some), h[some], [_slots(form, lead, opens, start, end, data, a, width) for a in places.tolist()], places - begins[row[places]], [cut] * len(some))
+                            yield found.append_column("text_hash", pa.array([texts[r] for r in row[places].tolist()], pa.binary()))
 
     return run
 
 
 def doc_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, width, window, slots, at, cut) of windows that may be in `known`."""
+    """(doc_id, width, window, slots, at, cut, text_hash) of windows that may be in `known`; doc_id and text_hash, 128 bits, tell texts apart."""
     cells = np.zeros(1 << BITMAP_BITS, bool)
     set_cells = known.select("width", F.shiftrightunsigned("window", 64 - BITMAP_BITS).alias("cell")).distinct()
     widths = sorted(r[0] for r in set_cells.select("width").distinct().collect())  # at most `window` of them
@@ -237,8 +238,8 @@ def doc_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
     packed = set_cells.select("cell").distinct().groupBy(F.shiftright("cell", 12).alias("page")).agg(F.collect_list((F.col("cell").bitwiseAND(F.lit(4095))).cast("int")).alias("cells"))
     for page, some in packed.toLocalIterator():
         cells[(page << 12) + np.array(some)] = True
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(trimmed(_doc_windows(widths, np.packbits(cells).tobytes())), f"doc_id long, {_OUT}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_hash"))
+    return rows.mapInArrow(trimmed(_doc_windows(widths, np.packbits(cells).tobytes())), f"doc_id long, {_OUT}, text_hash binary")
 
 
 def _consistent(mine, theirs):
@@ -248,9 +249,8 @@ def _consistent(mine, theirs):
     return (F.size(mine) == F.size(theirs)) & (n == F.size(F.array_distinct(mine))) & (n == F.size(F.array_distinct(theirs)))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_reworded) for each pair of a document and a benchmark item with a common window; n_reworded counts
-    the windows whose slots are consistent but nowhere equal."""
+def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, text_hash, item_id, width, base, equal) for each window of a benchmark item that a text has, `equal` where its values agree as they are."""
     known = item_windows(benchmark, window)
     asked = known.select("item_id", "width", "window", "base", F.col("slots").alias("theirs"), F.col("at").alias("item_at"), F.col("cut").alias("item_cut"))
     hits = doc_windows(docs, known).join(asked, ["width", "window"])
@@ -263,18 +263,24 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     # A match: all windows of a document and an item at one distance. It has as many pairs of values as the item has slots, at most.
     plain = lambda x: F.struct(x["kind"], x["value"])
     pairs = F.zip_with("slots", "theirs", lambda m, t: F.struct(plain(m).alias("m"), plain(t).alias("t")))
-    match = hits.groupBy("doc_id", "item_id", "width", "cut", "item_cut", (F.col("at") - F.col("item_at")).alias("apart")).agg(
+    match = hits.groupBy("doc_id", "text_hash", "item_id", "width", "cut", "item_cut", (F.col("at") - F.col("item_at")).alias("apart")).agg(
         F.collect_set(F.struct("base", equal.alias("equal"))).alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
     n = F.size("pairs")
     sound = (n == F.size(F.array_distinct(F.col("pairs.m")))) & (n == F.size(F.array_distinct(F.col("pairs.t"))))
-    counted = match.select("doc_id", "item_id", "width", F.explode(F.filter("windows", lambda w: sound | w["equal"])).alias("w"))
-    windows = counted.groupBy("doc_id", "item_id", "width", "w.base").agg(F.max("w.equal").alias("equal"))
+    counted = match.select("doc_id", "text_hash", "item_id", "width", F.explode(F.filter("windows", lambda w: sound | w["equal"])).alias("w"))
+    return counted.groupBy("doc_id", "text_hash", "item_id", "width", "w.base").agg(F.max("w.equal").alias("equal"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_reworded) for each pair of a document and a benchmark item with a common window; n_reworded counts
+    the windows whose slots are consistent but nowhere equal. Texts that share an id, or have none, are matched each, and a window that several of them have counts once."""
+    windows = matched(docs, benchmark, window).groupBy("doc_id", "item_id", "width", "base").agg(F.max("equal").alias("equal"))
     return windows.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.sum(F.when(F.col("equal"), 0).otherwise(1)).alias("n_reworded"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs` without a window of the benchmark: rows that share an id, or have none, each by its own text."""
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    leaks = find(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, window).select(F.col("doc_id").alias("_leak")).distinct()
-    return keyed.join(leaks, F.col("_key") == F.col("_leak"), "left_anti").drop("_key")
+    """The rows of `docs` without a window of the benchmark: rows that share an id, or have none, each by its own text. All columns stay."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
+    leaks = matched(docs.select(F.lit(0).alias("doc_id"), "text"), benchmark, window).select(F.col("text_hash").alias("leak")).distinct()
+    return rows.join(leaks, F.col("key") == F.col("leak"), "left_anti").select("row.*")

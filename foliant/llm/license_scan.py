@@ -3,8 +3,8 @@
 A text is canonical after: lower case; copyright notices dropped; everything but letters and digits turned to single spaces; equivalent spellings made
 one. Its SHA-256 digest is joined with the digests of known licence texts, so only a text that is a licence as a whole is found.
 
-A notice is a mark (`copyright`, `(c)`, `©`) with a year or a second mark, and what follows: up to words that begin a grant, if they follow within `HOLDER` words,
-so that neither a joined nor a wrapped text matters, else the rest of its line if it begins the line. A first line that begins with `copyright` is one too, and
+A notice is a mark (`copyright`, `(c)`, `©`) with a year or a second mark, and what follows: up to words that begin a grant, however many holders are named before them,
+if no other sentence stands between than further notices and `all rights reserved`, so that neither a joined nor a wrapped text matters; else the rest of its line if it begins the line. A first line that begins with `copyright` is one too, and
 `all rights reserved` goes anywhere. Other sentences that speak of copyright stay, wherever lines break.
 
 Cases: null, empty and blank texts, and texts of notices only, are canonically empty and match nothing; repeated rows are each
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ..functions.urls import let
 
 BROADCAST_LICENCES = 100_000
-HOLDER = 30
 
 # Marks of a notice, words that begin a grant, and a phrase without meaning for the licence.
 _SIGN = r"(?:copyright|\(c\)|©)"
@@ -28,6 +27,10 @@ _YEAR = r"(?:[12][0-9]{3}|<years?>|\[yyyy\])"
 MARK = rf"{_SIGN}(?:\s*{_SIGN})*\s*{_YEAR}|{_SIGN}(?:\s*{_SIGN})+"
 GRANTS = r"permission |redistribution |licensed |released |distributed |use of this |this (?:software|work|program|is|license|licence|library|source)|the above |to the extent |everyone is |you may |unless |boost software |apache license|mit license|bsd |isc license|zlib license|mozilla ".replace(" ", r"\s+")
 RESERVED = "all rights reserved"
+# Words whose full stop ends no sentence; so does that of a single letter.
+SHORT = "inc|ltd|co|corp|llc|gmbh|jr|sr|dr|mr|mrs|ms|st|bros|al|dept|univ|[a-z]"
+NOTICE = rf"(?:{MARK})\S*[^.!?]*"
+JOINED = rf"{NOTICE}?(?:[.!?]\s+(?:{RESERVED}|{NOTICE}))*[.!?]?\s+({GRANTS})"
 
 # Spellings that licence matching guidelines treat as one, as (canonical words, replacement).
 SPELLINGS = [
@@ -265,7 +268,9 @@ TITLES = {
 
 
 def _notices_dropped(low: Column) -> Column:
-    joined = F.regexp_replace(low, rf"(?:{MARK})\S*(?:\s+\S+){{0,{HOLDER}}}?\s+({GRANTS})", " $1")
+    # Stops that end no sentence become blanks, which the canonical form has in their place anyway.
+    bare = F.regexp_replace(F.regexp_replace(low, r"[.!?](\S)", " $1"), rf"(^|[^\p{{L}}\p{{N}}])({SHORT})\.", "$1$2 ")
+    joined = F.regexp_replace(bare, JOINED, " $1")
     lines = F.regexp_replace(joined, rf"(?md)^[ \t#*/;-]*(?:{MARK})[^\n]*$", " ")
     return F.regexp_replace(lines, r"^\s*copyright [^\n]*\n", " ")
 

@@ -1,4 +1,4 @@
-"""Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, without a miss.
+"""Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Shingles have a fixed order, seldom ones first as counted on a sample. Of two sets that reach the similarity, the first n - ceil(0.8 n) + 1
 shingles of either have one in common, so texts meet by these keys only. A pair that shares fewer keys than its sizes ask for can't reach 0.8
@@ -7,10 +7,13 @@ and ends there; the others are confirmed on their whole texts. A Hamming budget
 This is the exact half of `simhash_dedup.one_of_each`, which gives the links that its trie found; pairs within one of their groups are not asked again.
 
 Links are wanted, not all pairs. The members of a key with more than `SMALL` texts meet as sketches: bit h of a text's sketch is the parity of its shingles that
-fall on h, so the bits in which two sketches differ are no more than the shingles in which the sets differ, and a pair with more of them than 0.8 allows ends there. Sets of over
-`WHOLE` shingles are sketched by the shingles with l low zero bits, and a pair may differ by `SIGMAS` standard deviations more. First each key gives a spanning forest of
-what is left, the closest first, and these links are confirmed; then all that is left between texts that are not in one component yet. So a large group of near copies costs about a tree,
-and no pair is left out.
+fall on h, so the bits in which two sketches differ are no more than the shingles in which the sets differ, and a pair with more of them than 0.8 allows ends there: no pair is missed. Sets of over
+`WHOLE` shingles are sketched by the shingles with l low zero bits, and a pair may differ by `SIGMAS` standard deviations more: of such pairs about one in 10 ** 11 is missed there.
+
+Members of large keys meet in three rounds, of which each leaves out what the ones before have joined. In the first each text has its least large key only, which near copies mostly share, so a group of
+them meets once, not once for each key; in the others every key whose members are in more than one component. The first two give a forest of each key, the closest texts first; the last all that may be
+near and is in different components still. Links are confirmed after each round. So a large group of near copies costs about a tree, in rows and in comparisons: members in a key's largest component are
+compared with those outside only.
 
 Cases: null, empty and blank texts are alike; a text of fewer words than a shingle is one shingle; an empty table gives no links.
 """
@@ -174,32 +177,42 @@ def _reachable(n, levels, own, above, i: int, j: np.ndarray) -> tuple[np.ndarray
     return j[fine], apart[fine]
 
 
+def _met(size, deep, own, above, label, forest: bool):
+    """Of the members of one key, smaller ones first: pairs (i, j) in different components that may be near; with `forest` only as many as join them."""
+    kinds, count = np.unique(label, return_counts=True)
+    outside = np.flatnonzero(label != kinds[count.argmax()])  # members of the largest component meet nobody else
+    out, left = np.zeros(len(size), bool), len(kinds)
+    out[outside] = True
+    for i in range(len(size) - 1):
+        if forest and left == 1:
+            return
+        stop = i + 1 + int(np.searchsorted(4 * size[i + 1 :].astype(np.int64), 5 * int(size[i]), "right"))
+        j = np.arange(i + 1, stop) if out[i] else outside[np.searchsorted(outside, i, "right") : np.searchsorted(outside, stop)]
+        j = j[label[j] != label[i]]
+        if not len(j):
+            continue
+        j, apart = _reachable(size, deep, own, above, i, j)
+        if forest and len(j):
+            j = j[np.argsort(apart, kind="stable")]
+            j = j[np.sort(np.unique(label[j], return_index=True)[1])]
+            label[np.isin(label, label[j])] = label[i]
+            left -= len(j)
+        if len(j):
+            yield np.full(len(j), i), j
+
+
 def _large_pairs(forest: bool):
-    """Of each key: pairs of members in different components that may be near; with `forest` only as many as join them."""
+    """Pairs of the members of each key, of batches sorted by key and size."""
 
     def run(batches):
         for key, node, n, root, levels, sketches in _runs(batches, ("key", "a", "na", "root", "level", "sketch")):
             bits = np.frombuffer(b"".join(sketches.tolist()), np.uint64).reshape(len(node), 2, -1)
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for s, e in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
-                size, deep, own, above = n[s:e], levels[s:e], bits[s:e, 0], bits[s:e, 1]
                 label = np.unique(root[s:e], return_inverse=True)[1]
-                found = []
-                for i in range(e - s - 1):
-                    stop = i + 1 + int(np.searchsorted(4 * size[i + 1 :].astype(np.int64), 5 * int(size[i]), "right"))
-                    j = i + 1 + np.flatnonzero(label[i + 1 : stop] != label[i])
-                    if not len(j):
-                        continue
-                    j, apart = _reachable(size, deep, own, above, i, j)
-                    if forest and len(j):
-                        j = j[np.argsort(apart, kind="stable")]
-                        j = j[np.sort(np.unique(label[j], return_index=True)[1])]
-                        label[np.isin(label, label[j])] = label[i]
-                    found.append((np.full(len(j), i), j))
-                if found:
-                    i, j = (np.concatenate(x) + s for x in zip(*found, strict=True))
-                    for at in range(0, len(i), 100_000):
-                        yield _batch(node, n, i[at : at + 100_000], j[at : at + 100_000])
+                if len(label) and label.max() > 0:
+                    for i, j in _met(n[s:e], levels[s:e], bits[s:e, 0], bits[s:e, 1], label, forest):
+                        yield _batch(node, n, i + s, j + s)
 
     return trimmed(run)
 
@@ -240,9 +253,15 @@ def links(texts: DataFrame, sure: DataFrame) -> DataFrame:
     if members.isEmpty():
         return near
     asked = written(texts.join(members.select(F.col("a").alias("node")).distinct(), "node", "left_semi").mapInArrow(trimmed(_sketches), "node long, level int, sketch binary").dropDuplicates(["node"]))
-    sketched = written(members.join(asked, F.col("a") == F.col("node")).drop("node"))
-    for forest in (True, False):
-        placed = sketched.join(components(near), F.col("a") == F.col("node"), "left").select("key", "a", "na", F.coalesce("root", "a").alias("root"), "level", "sketch")
-        more = placed.repartition("key").sortWithinPartitions("key", "na", "a").mapInArrow(_large_pairs(forest), PAIRS).select("a", "b").distinct()
+    members = written(members)
+    least = members.groupBy("a").agg(F.min("key").alias("key"), F.first("na").alias("na"))
+    sketches = asked.select(F.col("node").alias("a"), "level", "sketch")
+    for some, forest in ((least, True), (members, True), (members, False)):
+        placed = some.join(components(near), F.col("a") == F.col("node"), "left").select("key", "a", "na", F.coalesce("root", "a").alias("root"))
+        if some is members:
+            mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+            placed = placed.join(mixed, "key", "left_semi")
+        met = placed.join(sketches, "a").select("key", "a", "na", "root", "level", "sketch")
+        more = met.repartition("key").sortWithinPartitions("key", "na", "a").mapInArrow(_large_pairs(forest), PAIRS).select("a", "b").distinct()
         near = near.unionByName(confirmed(written(more), texts))
     return near

@@ -102,7 +102,8 @@ def _sql_canonical() -> str:
     """The canonical form in SQL: words stand between two blanks each, so that whole words and phrases can be replaced."""
     mark, quoted = license_scan.MARK, lambda x: x.replace("'", "''")
     low = "lower(coalesce(text, ''))"
-    joined = rf"regexp_replace({low}, '(?:{mark})\S*(?:\s+\S+){{0,{license_scan.HOLDER}}}?\s+({license_scan.GRANTS})', ' \1', 'g')"
+    stops = rf"regexp_replace(regexp_replace({low}, '[.!?](\S)', ' \1', 'g'), '(^|[^\p{{L}}\p{{N}}])({license_scan.SHORT})\.', '\1\2 ', 'g')"
+    joined = rf"regexp_replace({stops}, '{license_scan.JOINED}', ' \1', 'g')"
     lines = rf"regexp_replace({joined}, '(?m)^[ \t#*/;-]*(?:{mark})[^\n]*$', ' ', 'g')"
     head = rf"regexp_replace({lines}, '^\s*copyright [^\n]*\n', ' ')"
     bare = f"CASE WHEN contains({low}, 'copyright') OR contains({low}, '(c)') OR contains({low}, '©') THEN {head} ELSE {low} END"

@@ -135,3 +135,17 @@ def test_cases(spark):
     few = df.where("vec_id in (0, 7)")
     assert found(ann.search(few, few.where("vec_id = 0"), 20)) == {0: [(7, 0.5)]}
     assert ann.search(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_many_vectors_under_the_id_of_a_query(spark):
+    """However many vectors an id has, they take no place among its own neighbours."""
+    rng = np.random.default_rng(6)
+    mine = rng.normal(size=(400, 8)) + 3
+    others = rng.normal(size=(300, 8))
+    rows = [(20, v.tolist()) for v in mine] + [(1000 + 20 * (i % 7 == 0) + i, v.tolist()) for i, v in enumerate(others)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.search(vectors, vectors.where("vec_id = 20"), 20).orderBy("rank").collect()
+    assert len(out) == 20 and [r.rank for r in out] == list(range(1, 21))
+    asked = np.array(min(v.tolist() for v in mine))
+    want = sorted((float((asked * np.array(v)).sum()) for _, v in rows[400:]), reverse=True)[:20]
+    assert sum(abs(a.score - b) < 1e-9 for a, b in zip(out, want, strict=True)) >= 18

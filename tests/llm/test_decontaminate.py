@@ -158,3 +158,25 @@ def test_slots_agree_over_the_whole_match(spark):
     n = len(item.split()) - 12
     assert got[1] == (n, 0) and got[2][0] == n and got[2][1] > 10
     assert got[3][1] == got[4][1] == 0 and got[3][0] < got[4][0] < n
+
+
+def test_texts_that_share_an_id_or_have_none_are_matched_each(spark):
+    item = "Anna buys 12 apples for 3 dollars and sells 7 pears to her brother Juan in Madrid after 4 days of rain."
+    copies = [item.replace("12", "31").replace("Juan", "Pedro"), item.replace("12", "44").replace("Juan", "Luis").replace("Madrid", "Sevilla")]
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+
+    def counts(ids):
+        docs = spark.createDataFrame(list(zip(ids, copies, strict=True)), "doc_id long, text string")
+        return {r.doc_id: (r.n_windows, r.n_reworded) for r in D.find(docs, bench).collect()}
+
+    apart = counts([1, 2])
+    assert set(apart) == {1, 2} and all(w > 0 for w, _ in apart.values())
+    for shared in (7, None):
+        together = counts([shared, shared])
+        assert set(together) == {shared} and together[shared][0] >= max(w for w, _ in apart.values())
+
+
+def test_all_columns_stay(spark):
+    bench = spark.createDataFrame([(0, "one two three four five six seven eight nine ten eleven twelve thirteen")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "something else", "k", 5, "t"), (2, bench.first().text, "k", 6, "t")], "doc_id long, text string, _key string, key int, row string")
+    assert [tuple(r) for r in D.clean(docs, bench).collect()] == [(1, "something else", "k", 5, "t")] and D.clean(docs, bench).columns == docs.columns

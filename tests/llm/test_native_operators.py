@@ -110,3 +110,26 @@ def test_chat_cases(spark):
     assert chat_format.render(df.limit(0)).collect() == []
     same = spark.createDataFrame([(i, 0, "user", "hi") for i in range(50)], "conv_id long, turn long, role string, text string")
     assert [(r.conv_id, r.copies) for r in chat_format.render(same).collect()] == [(0, 50)]
+
+
+def test_a_notice_names_any_number_of_holders(spark):
+    body = license_scan.LICENCES["MIT"]
+    at = body.lower().index("permission is hereby")
+    names = ", ".join(f"Given{i} Q. Family{i}" for i in range(400))
+    novel = "It was a long night. " * 300
+    texts = {
+        1: f"Copyright (c) 2024 {names} {body[at:]}",
+        2: f"Copyright (c) 2024 Jane Doe, Inc. All rights reserved. Copyright 2020-2023 by {names}. {body[at:]}",
+        3: f"(c) 2024 Jane Doe {novel} {body[at:]}",
+        4: f"Copyright 2019 J. Doe Co. Ltd.\n{body[at:]}",
+        5: f"Copyright 2019 example.com!\n{body[at:]}",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.license_id for r in license_scan.scan(docs, license_scan.known(spark)).collect()}
+    assert found == {1: "MIT", 2: "MIT", 3: None, 4: "MIT", 5: "MIT"}
+
+
+def test_roles_with_separators_are_no_other_turns(spark):
+    rows = [(1, 0, "x", "1\x1fy"), (2, 0, "x\x1f3", "y"), (3, 0, "x", "1\x1fy"), (4, 0, "x\x1f1", "y")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted((r.conv_id, r.copies) for r in chat_format.render(turns).collect()) == [(1, 2), (2, 1), (4, 1)]

@@ -96,3 +96,56 @@ def test_components_of_a_long_chain(spark):
     order = random.Random(3).sample(range(n), n)
     edges = spark.createDataFrame([*zip(order, order[1:], strict=False), (500, 501), (501, 501)], "a long, b long")
     assert {r.node: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(n)}, 500: 500, 501: 500}
+
+
+def test_one_of_each_keeps_all_columns(spark):
+    from foliant.llm import simhash_dedup
+
+    names = "_n int, _node string, node int, key string, row string, id int, root string, least int"
+    docs = spark.createDataFrame([(i, t, i, "x", 2, "k", "r", 3, "o", 4) for i, t in [(3, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (4, ""), (5, "other words are here too ok")]], f"doc_id long, text string, {names}")
+    out = simhash_dedup.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(tuple(r)[:3] for r in out.collect()) == [(1, "a b c d e f", 1), (2, None, 2), (5, "other words are here too ok", 5)]
+
+
+def test_the_descent_looks_at_few_pairs(spark):
+    """On the given fingerprints the trie visits a small share of all pairs, and what it prunes it may prune."""
+    from foliant.llm.shared import written
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = np.unique(np.array([r.fp for r in written(M.fingerprints(docs)).select("fp").distinct().collect()], np.int64).view(np.uint64))
+    seen = []
+    found = [(x % (1 << 64), y % (1 << 64)) for x, y in M.trie_join(fps, 4, 0, seen)]
+    every = len(fps) * (len(fps) - 1) // 2
+    assert seen[0] < 0.3 * every
+    near = []
+    for i in range(len(fps)):
+        near += [(int(fps[i]), int(fps[j])) for j in i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4)]
+    assert classes(fps.tolist(), found) == classes(fps.tolist(), near)
+    # With one block's bits as first levels, where nothing may differ, the five tries together look at far fewer.
+    seen, links = [], []
+    for turn, same in M.blocks(4):
+        turned = (fps << np.uint64(turn) | fps >> np.uint64(64 - turn)) if turn else fps
+        back = lambda x, k=turn: ((x >> k) | (x << (64 - k))) % (1 << 64)
+        links += [(back(x % (1 << 64)), back(y % (1 << 64))) for x, y in M.trie_join(turned, 4, same, seen)]
+    assert sum(seen) < 0.02 * every and classes(fps.tolist(), links) == classes(fps.tolist(), near)
+
+
+def test_a_cluster_costs_no_square():
+    """Members that are one group already are not paired again."""
+    rng = np.random.default_rng(3)
+    at = np.uint64(0x0123456789ABCDEF)
+    flips = np.array([(1 << int(a)) | (1 << int(b)) for a, b in rng.integers(0, 64, (20_000, 2))], np.uint64)
+    values = np.unique(at ^ flips)
+    seen = []
+    found = M.trie_join(values, 4, 0, seen)
+    assert len(found) == len(values) - 1 and seen[0] < 0.06 * len(values) * (len(values) - 1) / 2
+
+
+def test_subtrees_are_dealt_by_counts(spark, monkeypatch):
+    monkeypatch.setattr(M, "TASK", 50)
+    values = clustered(3000, 12)
+    near = [(a, b) for a, b in combinations(values.view(np.int64).tolist(), 2) if ((a ^ b) % (1 << 64)).bit_count() <= 4]
+    df = spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "fp long")
+    found = [(r.a, r.b) for r in M.links(df).collect()]
+    assert classes(values.view(np.int64).tolist(), found) == classes(values.view(np.int64).tolist(), near)
+    assert M.links(df.limit(0)).collect() == []
