@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, urls
 from ..operators import assemble, cache, chapters, dialects, dom, links, ranks, report, sanitize, search
-from ..session import ship
+from ..session import scratch, ship
+from ..sources import files
+from ..sources.snapshots import Snapshots
 from . import books
 
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -515,3 +517,63 @@ def run_reports(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("number"), (F.col("l_returnflag") == "R").alias("failed"))
     out = report.run_report(rows, rows.where("NOT failed"), cache.first_chapters(rows, ["book"], 3), ["book"])
     return longs(out.select("book", "total_chapters", F.array_join(F.transform("failed_chapters", lambda x: x.cast("string")), ",").alias("failed_chapters"), "skipped_chapters", "exit_code"), "total_chapters", "skipped_chapters", "exit_code")
+
+
+_FILED_SQL = f"""
+    f AS (SELECT 's' || conv_id % 5 AS site, substr(sha256(CAST(conv_id AS VARCHAR)), 1, 20) AS cache_key, turn + 1 AS number,
+          {_stripped("CASE WHEN turn % 3 = 0 THEN '' ELSE role END || chr(10) || chr(10) || text")} AS t FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL),
+    k AS (SELECT *, strpos(t, chr(10) || chr(10)) AS gap FROM f WHERE t <> '')"""
+
+
+def _filed(spark, sf_dir) -> DataFrame:
+    """Conversations as chapters of five sites; of three in turn the first has no title, so no empty line."""
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL")
+    site = F.concat(F.lit("s"), (F.col("conv_id") % 5).cast("string"))
+    title = F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role"))
+    return rows.select(site.alias("site"), text.cache_key(F.col("conv_id").cast("string")).alias("cache_key"), (F.col("turn") + 1).cast("int").alias("number"), title.alias("title"), F.col("text").alias("content"))
+
+
+@query(f"""WITH {_FILED_SQL}
+           SELECT site, cache_key, number, CASE WHEN gap > 0 THEN {_stripped("left(t, gap - 1)")} ELSE '第' || number || '章' END AS title, sha256(CASE WHEN gap > 0 THEN {_stripped("substr(t, gap + 2)")} ELSE t END) AS content_sha
+           FROM k WHERE site IN ('s1', 's3') AND number >= 2""")
+def cache_files(spark, sf_dir):
+    """Chapters written as files of a cache, and those of two sites from number 2 on read back: no other folder or file is opened."""
+    folder = scratch(spark)
+    files.write_cache_files(_filed(spark, sf_dir), folder)
+    have = files.read_cache_files(spark, folder, sites=["s1", "s3"], first=2)
+    found = cache.read_blocks(have, ["site", "cache_key"])
+    return longs(found.select("site", "cache_key", "number", "title", F.sha2("content", 256).alias("content_sha")), "number")
+
+
+@query(f"""WITH {_FILED_SQL},
+           b AS (SELECT site, string_agg(t, chr(10) || chr(10) ORDER BY cache_key, number) || chr(10) AS whole FROM f GROUP BY site)
+           SELECT '书 ' || CASE WHEN site = 's0' THEN '' ELSE '(' || (CAST(site[2:] AS INT) + 1) || ')' END AS file, sha256(whole) AS text_sha FROM b""")
+def book_files(spark, sf_dir):
+    """Books written as single files, chapter by chapter, and read back; all have one title, so that numbers tell them apart."""
+    folder = scratch(spark)
+    rows = _filed(spark, sf_dir).withColumn("order", F.struct("cache_key", "number"))
+    rows = ranks_by_site(rows)
+    files.write_book_files(rows, rows.select("site").distinct().withColumn("book_title", F.lit("书")), ["site"], folder)
+    read = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
+    name = F.regexp_replace(F.regexp_replace("name", "%20", " "), r"\.txt$", "")
+    return read.select(F.when(F.contains(name, F.lit("(")), name).otherwise(F.concat(F.lit("书"), F.lit(" "))).alias("file"), F.sha2("value", 256).alias("text_sha"))
+
+
+def ranks_by_site(rows: DataFrame) -> DataFrame:
+    """Chapters numbered through their site, in the order of keys and numbers."""
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy("site").orderBy("order"))).drop("order")
+
+
+@query("""WITH v AS (SELECT doc_id % 50 AS number, source AS site, doc_id // 50 AS turn, text FROM documents WHERE text IS NOT NULL),
+          w AS (SELECT site, number, turn % 3 AS write, max(text) AS text FROM v GROUP BY site, number, turn % 3)
+          SELECT site, number, sha256(text) AS text_sha, write FROM w QUALIFY row_number() OVER (PARTITION BY site, number ORDER BY write DESC) = 1""")
+def cache_versions(spark, sf_dir):
+    """A cache after three writes, of which the last one to have a chapter counts, and a compaction."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    kept = Snapshots(spark, scratch(spark))
+    rows = docs.select(F.col("source").alias("site"), F.lit("k").alias("cache_key"), (F.col("doc_id") % 50).cast("int").alias("number"), F.col("text"), F.floor(F.floor(F.col("doc_id") / 50) % 3).cast("int").alias("write"))
+    for i in range(3):
+        kept.write(rows.where(F.col("write") == i).groupBy("site", "cache_key", "number").agg(F.max("text").alias("best")).select("site", "cache_key", "number", F.concat(F.lit(str(i)), "best").alias("text")))
+    kept.compact()
+    found = kept.read().select("site", F.col("number").cast("long").alias("number"), F.sha2(F.substring(F.col("text"), F.lit(2), F.length("text")), 256).alias("text_sha"), F.substring("text", 1, 1).cast("long").alias("write"))
+    return found

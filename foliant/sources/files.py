@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import assemble
+from . import datasource
 
 PLAN_SCHEMA = "title string, catalog_url string, chapters array<struct<number:int,title:string,url:string>>, _corrupt_record string"
 
@@ -44,7 +47,8 @@ def read_cache(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_cache(chapters: DataFrame, path: str) -> None:
-    """Chapters (site, cache_key, number, title, content) as cache rows, a folder for each book; a commit is atomic."""
+    """Chapters (site, cache_key, number, title, content) as cache rows, a folder for each book. Each book's folder is replaced by itself, so a reader may see some books as they
+    were and others as they are; `snapshots.Snapshots` gives whole versions."""
     rows = chapters.select("site", "cache_key", "number", F.concat(text.block(F.col("title"), F.col("content")), F.lit("\n")).alias("text"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site", "cache_key").parquet(path)
 
@@ -74,5 +78,31 @@ def write_books(chapters: DataFrame, keys: list[str], path: str) -> None:
 
 
 def cache_columns(plans: DataFrame) -> DataFrame:
-    """Adds the key and the file name that a plan's cache has."""
+    """Adds the key and the site that a plan's cache has."""
     return plans.withColumn("cache_key", text.cache_key(F.col("catalog_url"))).withColumn("site", urls.site_name(F.col("catalog_url"), F.lit("generic")))
+
+
+def write_cache_files(chapters: DataFrame, path: str) -> None:
+    """Chapters (site, cache_key, number, title, content) as site/key/chapters/000001.txt, each file whole or not there; of rows that repeat a chapter the greatest text counts."""
+    chapters.sparkSession.dataSource.register(datasource.TextFiles)
+    name = F.concat_ws("/", "site", "cache_key", F.lit("chapters"), F.concat(text.six_digits(F.col("number")), F.lit(".txt")))
+    one = chapters.groupBy(name.alias("file")).agg(F.max(text.block(F.col("title"), F.col("content"))).alias("text"))
+    one.select("file", F.lit(0).cast("long").alias("place"), "text").write.format("foliant_text_files").option("path", path).mode("append").save()
+
+
+def read_cache_files(spark: SparkSession, path: str, sites: list[str] | None = None, keys: list[str] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(site, cache_key, number, text) of such files, of these sites, keys and numbers only, if given: no other folder or file is opened."""
+    spark.dataSource.register(datasource.CacheFiles)
+    some = {"sites": sites, "keys": keys, "first": first, "last": last}
+    return spark.read.format("foliant_cache").option("path", path).options(**{k: json.dumps(v) for k, v in some.items() if v is not None}).load()
+
+
+def write_book_files(chapters: DataFrame, titles: DataFrame, keys: list[str], path: str) -> None:
+    """Each book's chapters (*keys, number, title, content) in one file that is named for its title (*keys, book_title): blocks with an empty line between, a line end at the last. Books that
+    share a name are told apart by a number in the order of their keys. A book is written chapter by chapter, and is there as a whole or not at all."""
+    chapters.sparkSession.dataSource.register(datasource.TextFiles)
+    named = titles.select(*keys, text.file_name(F.col("book_title")).alias("name"))
+    turn = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(*keys))
+    names = named.withColumn("turn", turn).select(*keys, F.concat("name", F.when(F.col("turn") > 1, F.format_string(" (%d)", "turn")).otherwise(""), F.lit(".txt")).alias("file"))
+    rows = chapters.join(names, keys).select("file", F.col("number").cast("long").alias("place"), text.block(F.col("title"), F.col("content")).alias("text"))
+    rows.repartition("file").sortWithinPartitions("file", "place").write.format("foliant_text_files").option("path", path).mode("append").save()
