@@ -10,23 +10,37 @@ from ..functions.fixed import java
 from . import dialects
 
 
-def sessions(lines: DataFrame, keys: list[str], first_titles: DataFrame, order: list[str]) -> DataFrame:
+SPAN = 256
+
+
+def sessions(lines: DataFrame, keys: list[str], first_titles: DataFrame, order: list[str], span: int = SPAN) -> DataFrame:
     """(*keys, number, title, content) from `lines` (*keys, *order, is_heading, line): each heading starts a chapter. Lines before the first heading
     belong to a chapter titled `first_title` (from `first_titles`); where that is null they go to the first headed chapter, and without any heading
-    there is no chapter at all."""
-    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = lines.withColumn("sid", F.sum(F.col("is_heading").cast("int")).over(run)).join(first_titles, keys)
+    there is no chapter at all.
+
+    Headings are counted within ranges of `span` values of the first column of `order`, a whole number, and moved on by the sums of the ranges before, so that a book of any
+    length is many tasks; a chapter's number follows from the count."""
+    block = F.floor(F.col(order[0]) / span)
+    dealt = lines.withColumn("_block", block)
+    sums = dealt.groupBy(*keys, "_block").agg(F.sum(F.col("is_heading").cast("long")).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    run = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = dealt.withColumn("_own", F.sum(F.col("is_heading").cast("long")).over(run)).join(starts, [*keys, "_block"])
+    numbered = counted.withColumn("sid", F.col("_start") + F.col("_own")).join(first_titles, keys)
     numbered = numbered.withColumn("sid", F.when((F.col("sid") == 0) & F.col("first_title").isNull(), 1).otherwise(F.col("sid")))
     line = F.struct(*order, "line")
     grouped = numbered.groupBy(*keys, "sid").agg(
         F.max(F.when(F.col("is_heading"), F.col("line"))).alias("heading"),
         F.array_sort(F.collect_list(F.when(~F.col("is_heading"), line))).alias("body"),
     )
-    # The first title has a chapter even if no line stands before the first heading.
-    opening = first_titles.where("first_title IS NOT NULL").select(*keys, F.lit(0).cast("long").alias("sid"), F.col("first_title"))
-    every = grouped.join(opening, [*keys, "sid"], "full").withColumn("title", F.coalesce("heading", "first_title")).where("title IS NOT NULL")
+    # The first title has a chapter even if no line stands before the first heading; it is number 1 then.
+    opening = first_titles.where("first_title IS NOT NULL").select(*keys, F.lit(True).alias("opens"), "first_title")
+    first = opening.select(*keys, F.lit(0).cast("long").alias("sid"), "first_title")
+    every = grouped.join(first, [*keys, "sid"], "full").withColumn("title", F.coalesce("heading", "first_title")).where("title IS NOT NULL").drop("first_title")
     content = F.array_join(F.transform(F.coalesce("body", F.array().cast(grouped.schema["body"].dataType)), lambda x: x["line"]), "\n")
-    return every.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("sid"))).select(*keys, "number", "title", content.alias("content"))
+    number = F.col("sid") + F.when(F.col("opens"), 1).otherwise(0)
+    return every.join(opening.drop("first_title"), keys, "left").select(*keys, number.cast("int").alias("number"), "title", content.alias("content"))
 
 
 def chapter_lines(chapters: DataFrame, keys: list[str], heading: Column | None = None) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text, urls
+from ..functions import charsets, fixed, text, urls
 from ..operators import assemble, cache, chapters, dialects, dom, links, ranks, report, sanitize, search
 from ..session import scratch, ship
 from ..sources import files
@@ -577,3 +578,24 @@ def cache_versions(spark, sf_dir):
     kept.compact()
     found = kept.read().select("site", F.col("number").cast("long").alias("number"), F.sha2(F.substring(F.col("text"), F.lit(2), F.length("text")), 256).alias("text_sha"), F.substring("text", 1, 1).cast("long").alias("write"))
     return found
+
+
+@query("""WITH d AS (SELECT doc_id, text, regexp_matches(text, '[^\x00-\x7f]') AS wide, doc_id % 4 AS kind FROM documents WHERE text IS NOT NULL)
+          SELECT doc_id, CASE WHEN kind = 1 THEN 'utf-16' WHEN NOT wide OR kind = 0 THEN 'utf-8' WHEN kind = 2 THEN 'gb18030' ELSE 'cp1252' END AS charset, sha256(text) AS text_sha FROM d""")
+def page_charsets(spark, sf_dir):
+    """Documents as bytes in four charsets, told apart and read back."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", (F.col("doc_id") % 4).cast("int").alias("kind"))
+    wide = F.array(*map(F.lit, ("utf-8", "utf-16", "gb18030", "cp1252")))
+    raw = docs.select("doc_id", encoded(F.col("text"), F.get(wide, F.col("kind"))).alias("raw"))
+    found = raw.select("doc_id", charsets.decoded(F.col("raw"), F.lit(None).cast("string")).alias("d"))
+    return found.select("doc_id", "d.charset", F.sha2("d.text", 256).alias("text_sha"))
+
+
+def encoded(value, charset):
+    """Bytes of a text in a charset that Python knows."""
+
+    @F.pandas_udf("binary")
+    def encode(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([t.encode(n) for t, n in zip(texts, names, strict=True)], dtype=object)
+
+    return encode(value, charset)

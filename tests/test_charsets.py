@@ -1,0 +1,48 @@
+"""Charsets told from bytes."""
+
+import codecs
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from foliant.functions import charsets
+
+CHINESE = "第一章 示例章节\n他说：“我们今天要去城里看一看，你跟不跟我们一起去？”她想了想，没有回答。天上的云很白，地上的路很长。"
+TRADITIONAL = "第一章 示例章節\n他說：「我們今天要去城裡看一看，你跟不跟我們一起去？」她想了想，沒有回答。天上的雲很白，地上的路很長。"
+WESTERN = "Où est passé l’été ? Die Größe überrascht niemanden; el niño pequeño soñó mañana. Ça va déjà très bien."
+
+
+@pytest.mark.parametrize("text, charset, names", [
+    (CHINESE, "utf-8", ("utf-8",)), (CHINESE, "gb18030", ("gb18030",)), (CHINESE, "gb2312", ("gb18030",)), (TRADITIONAL, "big5", ("big5hkscs",)), (TRADITIONAL, "gb18030", ("gb18030",)),
+    (WESTERN, "cp1252", ("cp1252",)), (WESTERN, "gb18030", ("gb18030",)), (WESTERN, "utf-8", ("utf-8",)), (CHINESE, "utf-16", ("utf-16",)), (WESTERN, "utf-16-le", ("utf-16-le",)), (WESTERN, "utf-16-be", ("utf-16-be",)),
+    ("plain words", "ascii", ("utf-8",)), ("", "ascii", ("utf-8",)),
+])
+def test_without_a_declaration(text, charset, names):
+    raw = text.encode(charset)
+    assert charsets.detect(raw) in names and raw.decode(charsets.detect(raw)) == text
+
+
+def test_short_pieces_of_chinese():
+    rng, right = random.Random(1), 0
+    for _ in range(400):
+        at = rng.randrange(len(CHINESE) - 12)
+        for text, charset, name in ((CHINESE, "gb18030", "gb18030"), (TRADITIONAL, "big5", "big5hkscs")):
+            right += charsets.detect(text[at : at + 12].encode(charset)) == name
+    assert right > 0.97 * 800
+
+
+def test_declarations_and_marks():
+    page = "<html><head><meta charset='gb2312'></head>" + "锟斤拷".encode("gb18030").decode("latin-1")
+    assert charsets.detect(page.encode("latin-1")) == "gb18030"
+    assert charsets.detect(WESTERN.encode(), "gb2312") in ("utf-8", "gb18030")
+    assert charsets.detect(CHINESE.encode(), "utf-8") == "utf-8" and charsets.detect(CHINESE.encode(), "no-such-charset") == "utf-8"
+    assert charsets.detect(TRADITIONAL.encode("big5"), "Big5") == "big5hkscs"
+    assert charsets.detect(CHINESE.encode("gb18030"), "ISO-8859-1") == "gb18030"  # what servers say by default
+    assert charsets.detect(codecs.BOM_UTF8 + b"x", "gb2312") == "utf-8-sig" and charsets.detect(b"\xff") in ("utf-8", "cp1252")
+
+
+def test_columns(spark):
+    rows = [(CHINESE.encode("gb18030"), None), (WESTERN.encode("cp1252"), "iso-8859-1"), (None, None), (b"", None), (b"\x81", None)]
+    out = spark.createDataFrame(rows, "b binary, c string").select(charsets.decoded(F.col("b"), F.col("c")).alias("d")).select("d.*").collect()
+    assert [tuple(r) for r in out] == [("gb18030", CHINESE), ("cp1252", WESTERN), (None, None), ("utf-8", ""), ("utf-8", "�")]
