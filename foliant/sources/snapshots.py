@@ -5,6 +5,8 @@ folder, and then its manifest under the next number. The manifest is written und
 writer was first, and the write is tried again on top of that version, without writing the rows again. The greatest number is the current version, so a write that ends
 half way leaves a folder that no version names and changes nothing; `vacuum` removes such folders and those of old versions.
 
+A row without a text deletes its chapter. A write may carry the number of a stream's batch, which its version keeps, so that a batch that comes again can be told.
+
 Each write adds small files; `compact` rewrites a version as one folder, sorted by site and key, as a new version with the same rows.
 
 Manifests are read and written by the driver through Hadoop's file systems, so a table may lie wherever Spark reads and writes.
@@ -79,13 +81,18 @@ class Snapshots:
         rows.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return {"path": name, "rows": self.spark.read.parquet(f"{self.path}/{name}").count(), "bytes": self.fs.getContentSummary(self._path(name)).getLength()}
 
-    def write(self, rows: DataFrame) -> int:
-        """Adds chapters (site, cache_key, number, text), in place of those with the same number; gives the version. Of rows that repeat a chapter the greatest text counts."""
+    def batch(self) -> int:
+        """The number of the last batch that was written, or -1."""
+        return self.manifest().get("batch", -1)
+
+    def write(self, rows: DataFrame, batch: int | None = None) -> int:
+        """Adds chapters (site, cache_key, number, text), in place of those with the same number; gives the version. Of rows that repeat a chapter the greatest text counts, and one without a
+        text deletes."""
         one = rows.groupBy(*(F.col(k).cast(t).alias(k) for k, t in zip(KEYS, ("string", "string", "int"), strict=True))).agg(F.max("text").alias("text"))
         folder = self._folder(one)
         for _ in range(TRIES):
             last = self.manifest()
-            if self._commit({"version": last["version"] + 1, "folders": [*last["folders"], folder]}):
+            if self._commit({"version": last["version"] + 1, "folders": [*last["folders"], folder], "batch": last.get("batch", -1) if batch is None else batch}):
                 return last["version"] + 1
         raise RuntimeError("other writers were first every time")
 
@@ -103,7 +110,7 @@ class Snapshots:
                 out = out.unionByName(rows.join(named, same[0] & same[1] & same[2], "left_anti"))
                 newer = newer.unionByName(rows.select(*KEYS))
             n_newer += folder["rows"]
-        return self.spark.createDataFrame([], SCHEMA) if out is None else out
+        return self.spark.createDataFrame([], SCHEMA) if out is None else out.where("text IS NOT NULL")
 
     def read(self, version: int | None = None) -> DataFrame:
         """The chapters of a version, by default the current one."""
@@ -122,7 +129,7 @@ class Snapshots:
             later = [f for f in now["folders"] if f["path"] not in done]
             if len(later) != len(now["folders"]) - len(done):
                 return now["version"]  # compacted by another writer
-            if self._commit({"version": now["version"] + 1, "folders": [folder, *later]}):
+            if self._commit({"version": now["version"] + 1, "folders": [folder, *later], "batch": now.get("batch", -1)}):
                 return now["version"] + 1
         raise RuntimeError("other writers were first every time")
 

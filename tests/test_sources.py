@@ -138,3 +138,12 @@ def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(one, "manifest", late)
     assert one.write(cache(spark, [("s", "k", 1, "one")])) == 2
     assert state(two.read()) == {("s", "k", 1): "one", ("s", "k", 2): "two"}
+
+
+def test_a_row_without_a_text_deletes(spark, tmp_path):
+    table = Snapshots(spark, str(tmp_path))
+    table.write(cache(spark, [("s", "k", n, "a") for n in (1, 2, 3)]), 4)
+    table.write(cache(spark, [("s", "k", 2, None), ("s", "k", 5, None)]))
+    assert state(table.read()) == {("s", "k", 1): "a", ("s", "k", 3): "a"} and table.batch() == 4
+    table.compact()
+    assert state(table.read()) == {("s", "k", 1): "a", ("s", "k", 3): "a"} and table.batch() == 4
