@@ -18,16 +18,17 @@ LISTING_URL = "    链接：%s"
 LISTING_SNIPPET = "    摘要：%s"
 
 
-def hits(pages: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """(site_ord, adapter, rn, title, url, snippet) from result pages (site_ord, adapter, url, html): of each card the first link of the first rule that
-    finds one. Foreign hosts, repeated links and blank titles are dropped; at most `limit` of each page. A site without rules gives none."""
+def hits(pages: DataFrame, limit: int = DEFAULT_LIMIT, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, site_ord, adapter, rn, title, url, snippet) from result pages (*by, site_ord, adapter, url, html): of each card the first link of the first rule that
+    finds one. Foreign hosts, repeated links and blank titles are dropped; at most `limit` of each page. A site without rules gives none. `by` tells searches apart, of which there may be any
+    number: each has a page of a site at most."""
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be from 1 to {MAX_LIMIT}")
     groups, scopes = {}, {}
     for d in dialects.sites():
         for kind, some in (("link", d.hits.links), ("title", d.hits.titles), ("snippet", d.hits.snippets)) if d.hits else ():
             groups[f"{kind}:{d.name}"], scopes[f"{kind}:{d.name}"] = list(some), d.hits.card
-    keys = ["site_ord", "adapter", "url"]
+    keys = [*by, "site_ord", "adapter", "url"]
     nodes = dom.select(pages.select(*keys, "html"), groups, scopes)
     kind = F.substring_index("grp", ":", 1)
     spaced = text.clean_lines(F.col("spaced"))
@@ -37,12 +38,12 @@ def hits(pages: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
         F.min_by(spaced, F.when(kind == "title", F.col("node_id"))).alias("title"),
         F.min_by(spaced, F.when((kind == "snippet") & (spaced != ""), F.col("node_id"))).alias("snippet"),
     )
-    found = cards.select("site_ord", "adapter", F.col("scope").alias("pos"), F.coalesce("title", "link.label").alias("title"), F.col("link.href").alias("url"), F.coalesce("snippet", F.lit("")).alias("snippet"))
+    found = cards.select(*by, "site_ord", "adapter", F.col("scope").alias("pos"), F.coalesce("title", "link.label").alias("title"), F.col("link.href").alias("url"), F.coalesce("snippet", F.lit("")).alias("snippet"))
     own = found.where((dialects.adapter_of(F.col("url")) == F.col("adapter")) & (F.col("title") != ""))
-    first = Window.partitionBy("site_ord", "url").orderBy("pos")
+    first = Window.partitionBy(*by, "site_ord", "url").orderBy("pos")
     own = own.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    ranked = own.withColumn("rn", F.row_number().over(Window.partitionBy("site_ord").orderBy("pos")))
-    return ranked.where(F.col("rn") <= limit).select("site_ord", "adapter", "rn", "title", "url", "snippet")
+    ranked = own.withColumn("rn", F.row_number().over(Window.partitionBy(*by, "site_ord").orderBy("pos")))
+    return ranked.where(F.col("rn") <= limit).select(*by, "site_ord", "adapter", "rn", "title", "url", "snippet")
 
 
 def title_filter(found: DataFrame, query: str) -> DataFrame:
@@ -51,10 +52,10 @@ def title_filter(found: DataFrame, query: str) -> DataFrame:
     return found.where((F.length(wanted) >= 3) & F.contains(text.match_key(F.col("title")), wanted))
 
 
-def results(found: DataFrame) -> DataFrame:
+def results(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Hits as results: url without fragment, stripped title and snippet, and the site they are on."""
     url = urls.normalize(F.col("url"))
-    out = found.select("site_ord", "rn", text.strip(F.col("title")).alias("title"), url.alias("url"), text.strip(F.col("snippet")).alias("snippet"), urls.site_name(url, F.col("adapter")).alias("site"))
+    out = found.select(*by, "site_ord", "rn", text.strip(F.col("title")).alias("title"), url.alias("url"), text.strip(F.col("snippet")).alias("snippet"), urls.site_name(url, F.col("adapter")).alias("site"))
     return out.where((F.col("title") != "") & urls.part(F.col("url"), "scheme").isin("http", "https") & (urls.part(F.col("url"), "authority") != ""))
 
 

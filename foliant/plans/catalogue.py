@@ -13,7 +13,7 @@ from ..operators import assemble, cache, chapters, dialects, dom, links, ranks,
 from ..session import scratch, ship
 from ..sources import files
 from ..sources.snapshots import Snapshots
-from . import books
+from . import books, run
 
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -599,3 +599,75 @@ def encoded(value, charset):
         return pd.Series([t.encode(n) for t, n in zip(texts, names, strict=True)], dtype=object)
 
     return encode(value, charset)
+
+
+@query(f"""WITH {_BOOK_SQL},
+           k AS (SELECT n_nationkey, any_value(n_name) AS n_name, count(*) AS n_links, min(s_suppkey) FILTER (NOT lost) AS kept, min(s_suppkey) FILTER (lost) AS gone FROM b GROUP BY n_nationkey)
+           SELECT 'https://www.trxs.cc/tongren/' || n_nationkey || '/' || kept || '.html' AS book, 'https://www.trxs.cc/tongren/' || n_nationkey || '.html' AS catalog_url, replace(n_name, '_', ' ') || ' 的书' AS title,
+                  CASE WHEN n_links >= 2 THEN 'ok' ELSE 'empty_catalog' END AS status, CASE WHEN n_links >= 2 THEN n_links ELSE 0 END AS n_links FROM k WHERE kept IS NOT NULL
+           UNION ALL SELECT 'https://www.trxs.cc/tongren/' || n_nationkey || '/' || gone || '.html', NULL, NULL, 'missing', 0 FROM k WHERE gone IS NOT NULL
+           UNION ALL SELECT 'http://google.com.hk/' || n_nationkey, NULL, NULL, 'no_catalog', 0 FROM k""")
+def book_discovery(spark, sf_dir):
+    """Catalogs found from chapter addresses, by a link where the page has one and else by the address's shape; from pages that were not captured, and from pages of no site."""
+    pages, nation = _book_pages(spark, sf_dir), table(spark, sf_dir, "nation")
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("s"))
+    back = F.concat(F.lit("<a href='/tongren/"), F.regexp_extract("url", "/tongren/([0-9]+)/", 1), F.lit(".html'> 返回目录 </a><a href='/'>首页</a>"))
+    even = F.regexp_extract("url", "/([0-9]+)[_0-9]*[.]html", 1).cast("long") % 2 == 0
+    pages = pages.withColumn("html", F.when(F.contains("html", F.lit("read_chapterDetail")) & even, F.concat(back, "html")).otherwise(F.col("html")))
+    ours = supplier.groupBy("n").agg(F.min(F.when(F.col("s") % 7 != 3, F.col("s"))).alias("kept"), F.min(F.when(F.col("s") % 7 == 3, F.col("s"))).alias("gone"))
+    other = ours.join(nation, F.col("n") == F.col("n_nationkey")).select(F.format_string("http://google.com.hk/%d", "n_nationkey").alias("url"))
+    inputs = ours.select(F.explode(F.array("kept", "gone")).alias("s"), "n").where("s IS NOT NULL").select(F.format_string("https://www.trxs.cc/tongren/%d/%d.html", "n", "s").alias("book")).unionByName(other.select(F.col("url").alias("book")))
+    one, nodes = books.page_nodes(pages.unionByName(other.select("url", F.lit("<a href='/x'>关于我们</a>").alias("html"))))
+    plans, found = books.discover(one, nodes, inputs)
+    counted = found.groupBy("book").agg(F.count("*").alias("n_links"))
+    return plans.join(counted, "book", "left").select("book", "catalog_url", F.when(F.col("catalog_url").isNotNull(), F.col("title")).alias("title"), "status", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@query(f"""WITH {_BOOK_SQL},
+           t AS (SELECT b.*, CASE WHEN s_suppkey % 11 = 5 THEN 'cache' WHEN lost THEN 'error' ELSE 'ok' END AS st FROM b JOIN e ON b.n_nationkey = e.n_nationkey),
+           a AS (SELECT *, sum(CASE WHEN st = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY n_nationkey ORDER BY number) AS grp FROM t WHERE number <= 30),
+           r AS (SELECT *, sum(CASE WHEN st = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY n_nationkey, grp ORDER BY number) AS streak FROM a),
+           s AS (SELECT n_nationkey, min(number) AS stop FROM r WHERE st = 'error' AND streak >= 2 GROUP BY n_nationkey),
+           h AS (SELECT r.*, st = 'cache' OR (st = 'ok' AND (stop IS NULL OR number <= stop)) AS have FROM r LEFT JOIN s ON r.n_nationkey = s.n_nationkey),
+           n AS (SELECT n_nationkey, count(*) FILTER (number > 30) AS skipped FROM t GROUP BY n_nationkey)
+           SELECT 'https://www.trxs.cc/tongren/' || h.n_nationkey || '.html' AS book, count(*) FILTER (have) AS total_chapters, coalesce(string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) FILTER (NOT have), '') AS failed_chapters,
+                  any_value(skipped) AS skipped_chapters, CASE WHEN count(*) FILTER (have) = 0 THEN 1 WHEN bool_and(have) THEN 0 ELSE 2 END AS exit_code FROM h JOIN n ON h.n_nationkey = n.n_nationkey GROUP BY h.n_nationkey""")
+def run_flow(spark, sf_dir):
+    """Whole runs over captured pages: what is cached is not asked for again, a book stops at its second error in a row, and chapters after the thirtieth are left for later."""
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    inputs = nation.select(F.format_string("https://www.trxs.cc/tongren/%d.html", "n_nationkey").alias("book"))
+    number = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    kept = supplier.withColumn("number", number).where("s_suppkey % 11 = 5").select(F.format_string("https://www.trxs.cc/tongren/%d.html", "s_nationkey").alias("book"), "number", F.lit("第1章\n\n旧的正文").alias("text"))
+    out = run.run(_book_pages(spark, sf_dir), inputs, kept=kept, most_failures=2, first=30)["report"]
+    return longs(out.select("book", "total_chapters", F.array_join(F.transform("failed_chapters", lambda x: x.cast("string")), ",").alias("failed_chapters"), "skipped_chapters", "exit_code"), "total_chapters", "skipped_chapters", "exit_code")
+
+
+@query("""WITH n AS (SELECT p_partkey // 100 AS search, p_partkey, p_name FROM part),
+          h AS (SELECT search, site_ord, p_name || suffix AS title, base || p_partkey || '.html' AS url, row_number() OVER (PARTITION BY search, site_ord ORDER BY p_partkey) AS rn FROM n,
+                (VALUES (0, 'https://www.trxs.cc/tongren/', ''), (2, 'https://www.bixiange.top/a/', ' (1-10)')) AS s(site_ord, base, suffix) WHERE site_ord = 0 OR p_partkey % 2 = 0)
+          SELECT search, row_number() OVER (PARTITION BY search ORDER BY rn, site_ord) AS place, title, url FROM h""")
+def search_pages(spark, sf_dir):
+    """Many searches at once, a page of hits for each from two sites, merged by turns."""
+    part = table(spark, sf_dir, "part").withColumn("search", F.floor(F.col("p_partkey") / 100))
+    one = F.format_string("<div class='bk'><h3><a href='/tongren/%d.html'>%s</a></h3></div><div class='bk'><h3><a href='https://example.com/%1$d'>x</a></h3></div>", "p_partkey", "p_name")
+    two = F.format_string("<li><div class='cover'><a href='/a/%d.html'><img></a></div><div class='info'><div class='title'><a href='/a/%1$d.html#t'>%s (1-10)</a></div></div></li>", "p_partkey", "p_name")
+
+    def page(rows, card, place, adapter, url, head):
+        whole = rows.groupBy("search").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("c")))), lambda x: x["c"]), "").alias("body"))
+        return whole.select("search", F.lit(place).alias("site_ord"), F.lit(adapter).alias("adapter"), F.lit(url).alias("url"), F.concat(F.lit(head), "body").alias("html"))
+
+    pages = page(part, one, 0, "trxs_cc", "https://www.trxs.cc/e/search/index.php", "<div>").unionByName(page(part.where("p_partkey % 2 = 0"), two, 2, "bixiange", "https://www.bixiange.top/e/search/indexpage.php", "<div class='list'>"))
+    found = search.results(search.hits(pages, search.MAX_LIMIT, ("search",)), ("search",))
+    return longs(search.interleave(found, keys=("search",)).select("search", "place", "title", "url"), "place")
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, conv_id % 2 AS site, role, {_CLEAN_TURN} AS body FROM conversations WHERE text IS NOT NULL AND turn < 2)
+           SELECT conv_id, turn, '第' || (turn + 1) || '章 ' || role AS title,
+                  sha256(CASE WHEN turn > 0 AND site = 0 THEN '书评' || chr(10) ELSE '' END || body) AS content_sha FROM c WHERE turn = 0 OR site = 0""")
+def first_chapters(spark, sf_dir):
+    """Chapters behind an introduction: the first one of a book starts at its heading, a later one keeps what stands before it."""
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND turn < 2 AND (turn = 0 OR conv_id % 2 = 0)")
+    heading = F.concat(F.lit("第"), (F.col("turn") + 1).cast("string"), F.lit("章 "), F.col("role"))
+    adapter = F.when(F.col("conv_id") % 2 == 0, "trxs_cc").otherwise("bixiange")
+    parts = rows.select("conv_id", "turn", adapter.alias("adapter"), F.lit("书").alias("book_title"), (F.col("turn") + 1).cast("int").alias("number"), F.lit("书 目录").alias("title"), F.concat(F.lit("书评\n"), heading, F.lit("\n"), F.col("text")).alias("content"))
+    return sanitize.sanitize(parts).select("conv_id", "turn", "title", F.sha2("content", 256).alias("content_sha"))
