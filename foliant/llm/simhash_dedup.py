@@ -4,9 +4,9 @@ A fingerprint has 64 bits: bit b is set if over half the XXH64 values (seed 42)
 
 Two fingerprints link at `budget` or fewer differing bits. Of `budget + 1` blocks of bits at least one is then equal, so there are as many tries, each with another block's bits as its first
 levels (the others follow in turn). A trie is joined with itself: pairs of nodes descend together, a bit a level, and add up the bits in which they differ; a pair ends when these exceed the
-budget, which is 0 within the trie's own block and `budget` below it. Two leaves, each with one fingerprint below them, compare the rest of their paths at once; a pair whose members are one
-group already ends too, since it can only repeat a link. Budgets from 1 up are joined one after the other, so that a cluster is one group before its far pairs come up. Pairs are visited
-in blocks of arrays, so the memory for them is bounded.
+budget, which is 0 within the trie's own block and `budget` below it. Leaves are buckets of up to `BUCKET` fingerprints, whose members compare the rest of their paths at once; a pair whose members
+are one group already ends too, since it can only repeat a link. Half the budget is joined first, so that a cluster is one group before its far pairs come up. Pairs are visited in blocks of
+arrays, so the memory for them is bounded.
 
 How tries are spread: within its block a node can meet itself only, so the subtrees below the first `DEALT` levels are dealt to tasks, neighbours together up to about `TASK` fingerprints, by their
 counts, of which there are (budget + 1) * 2 ** DEALT at most. Each task descends from its trie's root and gives a spanning forest of its links, not all pairs; `components` joins the forests.
@@ -38,7 +38,8 @@ from .shared import components, written
 DEALT = 13
 TASK = 1 << 14
 SPLIT = 1 << 18
-PAIRS = 1 << 18
+PAIRS = 1 << 16
+BUCKET = 8
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -137,21 +138,27 @@ def trie_join(values: np.ndarray, budget: int, same: int = 0, visited: list[int]
     values = trie.values
     one = lambda x: np.array([x], np.int64)
     shared = 64 - int(values[0] ^ values[-1]).bit_length() if len(values) > 1 else 64  # levels above the first fork
-    # Small budgets first: what they join is no longer paired by greater ones.
-    for most in range(1 if len(values) > 64 else max(1, budget), budget + 1):
+    slot = np.arange(BUCKET)
+    # Half the budget first: what it joins is no longer paired by the whole one.
+    for most in sorted({budget // 2, budget}) if len(values) > 64 else [budget]:
         stack = [(shared, one(0), one(len(values)), one(0), one(len(values)), one(0))] if len(values) > 1 else []
         while stack:
             level, a, b, c, d, spent = stack.pop()
             seen += len(a)
-            leaves = (b - a == 1) & (d - c == 1)
+            leaves = (b - a <= BUCKET) & (d - c <= BUCKET)
             if leaves.any():
-                i, j = a[leaves], c[leaves]
-                rest = values[i] ^ values[j]
-                near = (i != j) & (np.bitwise_count(rest) <= most)
+                at = np.flatnonzero(leaves)
+                if len(links):
+                    at = at[~trie.one_group(a[at], b[at], c[at], d[at])]
+                i, j = (np.minimum(x[at][:, None] + slot, y[at][:, None] - 1) for x, y in ((a, b), (c, d)))
+                rest = values[i][:, :, None] ^ values[j][:, None, :]
+                near = np.bitwise_count(rest) <= most
                 if same:
                     near &= rest >> np.uint64(64 - same) == 0
-                if near.any():
-                    links.append(trie.joined(i[near], j[near]))
+                k, x, y = np.nonzero(near)
+                i, j = i[k, x], j[k, y]
+                if (i != j).any():
+                    links.append(trie.joined(i[i != j], j[i != j]))
             open_ = ~leaves & ~trie.one_group(a, b, c, d)
             if level == 64 or not open_.any():
                 continue
