@@ -5,13 +5,13 @@ takes four bits a pair. Codebooks and codes minimise a loss in which the residua
 that part is what changes large inner products. A search scans the codes of a cell with one table of 16 entries a pair for each query (two pairs
 to a byte: 256 entries), keeps the best `rerank` of it, or a share of its vectors if that is more, and reranks these by exact inner products in double precision.
 
-Centres and codebooks are fitted on at most `sample` vectors, those least by hashed id; every vector is indexed. There is a cell for each `CELL` vectors, up to one for 40 of the
-sample (500 by default; a greater `sample` allows more). A query
-visits the cells with the greatest expected best score. How many cells, and the share of a cell to rerank, are what queries drawn from the sample need to find the share `FOUND` of their
+Centres and codebooks are fitted on at most `sample` vectors, those least by hashed id; every vector is indexed. There is a cell for each `CELL` vectors, up to one for 40 of the sample (500 by
+default; a greater `sample` allows more). A query visits the cells with the greatest expected best score. How many cells, and the share of a cell to rerank, are what queries drawn from the sample need to find the share `FOUND` of their
 true neighbours in the sample: where vectors have no clusters that is all cells, where clusters are too tight for the codes it is the size of a cluster. The first cells, the
 root of their number, give each query its k-th best score so far, and from the others only what reaches it leaves a task. A cell of over `VECTOR_BLOCK` vectors is scanned in blocks, and the queries that visit a cell come in parts of `QUERY_BLOCK`, so a task holds one
 block of either and no broadcast grows with the data. A vector is sent once for each part of its cell's queries, a query once for each cell that it visits.
-Beyond 512 vectors for each one of the sample cells hold more vectors and more queries, so work and shuffle grow faster than the table unless the sample is made to grow with its root. Equal vectors have equal scores and codes, so each distinct vector is scanned and reranked once and stands for the k + 1 smallest ids
+Where the sample allows no more cells (over 512,000 vectors by default), cells hold more vectors and more queries, so that work and shuffle grow faster than the table, unless `sample` is raised
+along with it. Equal vectors have equal scores and codes, so each distinct vector is scanned and reranked once and stands for the k + 1 smallest ids
 that have it, which it gives only then: others can't be among the k nearest. Recall against brute force is measured in the tests.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null vec_id. Vectors of each length are searched by the queries of
