@@ -46,3 +46,8 @@ def test_columns(spark):
     rows = [(CHINESE.encode("gb18030"), None), (WESTERN.encode("cp1252"), "iso-8859-1"), (None, None), (b"", None), (b"\x81", None)]
     out = spark.createDataFrame(rows, "b binary, c string").select(charsets.decoded(F.col("b"), F.col("c")).alias("d")).select("d.*").collect()
     assert [tuple(r) for r in out] == [("gb18030", CHINESE), ("cp1252", WESTERN), (None, None), ("utf-8", ""), ("utf-8", "�")]
+
+
+@pytest.mark.parametrize("text", ["im Jahr. Äau ist ein Wort", "a word. Öäve and more words of no accents " * 40, "to i. Ñíco and on " * 30, "Çèen", "Ößen und viele Worte ohne Zeichen"])
+def test_western_capitals_that_two_bytes_of_a_chinese_charset_hide(text):
+    assert charsets.detect(text.encode("cp1252")) == "cp1252"
