@@ -25,3 +25,7 @@ OPEN_REFERENCES = [(i, f"https://a.example.com/{i}", page(f"Haan by&amp;&amp{end
 
 def test_page_titles_open_references(spark, tmp_path):
     assert differs(spark, tmp_path, "page_titles", pages=(OPEN_REFERENCES, PAGES)) == ""
+
+
+def test_page_content_open_references(spark, tmp_path):
+    assert differs(spark, tmp_path, "page_content", pages=(OPEN_REFERENCES, PAGES)) == ""
