@@ -111,8 +111,8 @@ def sites(found: DataFrame) -> DataFrame:
 
 
 def listing(found: DataFrame) -> DataFrame:
-    """(place, entry): results as they are shown, by number, below the sites that they are limited to at place 0."""
-    head = sites(found).select(F.lit(0).alias("place"), F.format_string(LISTING_HEAD, F.col("sites")).alias("entry"))
+    """(place, entry): results as they are shown, by number, below the sites that they are limited to at place 0, null without results."""
+    head = sites(found).select(F.lit(0).alias("place"), F.when(F.col("sites") != "", F.format_string(LISTING_HEAD, F.col("sites"))).alias("entry"))
     lines = F.array(F.format_string(LISTING_TITLE, F.col("place"), F.col("title")), F.format_string(LISTING_SITE, F.col("site")), F.format_string(LISTING_URL, F.col("url")))
     note = F.when(F.col("snippet") != "", F.format_string(LISTING_SNIPPET, F.col("snippet")))
     return head.unionByName(found.select("place", F.array_join(F.concat(lines, F.array_compact(F.array(note))), "\n").alias("entry")))

@@ -34,3 +34,10 @@ def test_page_content_open_references(spark, tmp_path):
 def test_cache_realign_repeated_urls(spark, tmp_path):
     rows = [(i, f"https://{host}.org/{i % 4}", "x") for host in ("ab", "abc") for i in range(9)]
     assert differs(spark, tmp_path, "cache_realign", pages=([(n, u, h) for n, (_, u, h) in enumerate(rows)], PAGES)) == ""
+
+
+PART = "p_partkey long, p_name string"
+
+
+def test_search_listing_without_results(spark, tmp_path):
+    assert differs(spark, tmp_path, "search_listing", part=([(i, "large ring") for i in range(5)], PART)) == ""
