@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..session import written
 from . import dialects, dom, ranks
 
 DEFAULT_LIMIT, MAX_LIMIT = 10, 100
@@ -21,14 +22,15 @@ LISTING_SNIPPET = "    摘要：%s"
 def hits(pages: DataFrame, limit: int = DEFAULT_LIMIT, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, site_ord, adapter, rn, title, url, snippet) from result pages (*by, site_ord, adapter, url, html): of each card the first link of the first rule that
     finds one. Foreign hosts, repeated links and blank titles are dropped; at most `limit` of each page. A site without rules gives none. `by` tells searches apart, of which there may be any
-    number: each has a page of a site at most."""
+    number: each has a page of a site at most, or several, told apart and ordered by a whole number `page`, if there is that column; `limit` is for all pages of a site together."""
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be from 1 to {MAX_LIMIT}")
     groups, scopes = {}, {}
     for d in dialects.sites():
         for kind, some in (("link", d.hits.links), ("title", d.hits.titles), ("snippet", d.hits.snippets)) if d.hits else ():
             groups[f"{kind}:{d.name}"], scopes[f"{kind}:{d.name}"] = list(some), d.hits.card
-    keys = [*by, "site_ord", "adapter", "url"]
+    paged = ["page"] if "page" in pages.columns else []
+    keys = [*by, "site_ord", "adapter", "url", *paged]
     nodes = dom.select(pages.select(*keys, "html"), groups, scopes)
     kind = F.substring_index("grp", ":", 1)
     spaced = text.clean_lines(F.col("spaced"))
@@ -38,7 +40,7 @@ def hits(pages: DataFrame, limit: int = DEFAULT_LIMIT, by: tuple[str, ...] = ())
         F.min_by(spaced, F.when(kind == "title", F.col("node_id"))).alias("title"),
         F.min_by(spaced, F.when((kind == "snippet") & (spaced != ""), F.col("node_id"))).alias("snippet"),
     )
-    found = cards.select(*by, "site_ord", "adapter", F.col("scope").alias("pos"), F.coalesce("title", "link.label").alias("title"), F.col("link.href").alias("url"), F.coalesce("snippet", F.lit("")).alias("snippet"))
+    found = cards.select(*by, "site_ord", "adapter", F.struct(*paged, "scope").alias("pos"), F.coalesce("title", "link.label").alias("title"), F.col("link.href").alias("url"), F.coalesce("snippet", F.lit("")).alias("snippet"))
     own = found.where((dialects.adapter_of(F.col("url")) == F.col("adapter")) & (F.col("title") != ""))
     first = Window.partitionBy(*by, "site_ord", "url").orderBy("pos")
     own = own.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
@@ -48,8 +50,12 @@ def hits(pages: DataFrame, limit: int = DEFAULT_LIMIT, by: tuple[str, ...] = ())
 
 def title_filter(found: DataFrame, query: str) -> DataFrame:
     """Hits whose title has the whole query in it, letters and digits compared only. A query of under three such characters drops all."""
+    return found.where(_has_query(query))
+
+
+def _has_query(query: str) -> Column:
     wanted = text.match_key(F.lit(query))
-    return found.where((F.length(wanted) >= 3) & F.contains(text.match_key(F.col("title")), wanted))
+    return (F.length(wanted) >= 3) & F.contains(text.match_key(F.col("title")), wanted)
 
 
 def results(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -89,18 +95,23 @@ def requests(spark: SparkSession, query: str, limit: int = DEFAULT_LIMIT) -> Dat
 
 
 def outcomes(asked: DataFrame, responses: DataFrame) -> DataFrame:
-    """Requests with what came back (site_ord, html): adds html and status, `blocked` for a page that asks for verification, `missing` without a response."""
+    """Requests with what came back (site_ord, html, and page if a site may answer in several): adds these and status, `blocked` for a page that asks for verification, `missing`
+    without a response. The requests go to the pages, which stay where they are."""
     status = F.when(F.col("html").isNull(), "missing").when(text.is_verification_page(F.col("html")), "blocked").otherwise("ok")
-    return asked.join(responses.select("site_ord", "html"), "site_ord", "left").withColumn("status", status)
+    paged = ["page"] if "page" in responses.columns else []
+    came = F.broadcast(asked).join(responses.select("site_ord", *paged, "html"), "site_ord")  # a row a site
+    silent = asked.join(responses.select("site_ord").distinct(), "site_ord", "left_anti")
+    return came.unionByName(silent, allowMissingColumns=True).withColumn("status", status)
 
 
 def found_on_sites(came: DataFrame, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Results of one search, of the rows of `outcomes`, by `place`: hits of sites that answered, whose titles have the whole query in them if just a part of it was
     sent, merged by turns. Sites that failed give nothing and stop nothing."""
-    ok = came.where("status = 'ok'").select("site_ord", "adapter", "url", "html", "filtered")
-    some = hits(ok, limit)
-    flags = ok.select("site_ord", "filtered")
-    kept = title_filter(some, query).join(flags.where("filtered"), "site_ord", "left_semi").unionByName(some.join(flags.where("NOT filtered"), "site_ord", "left_semi"))
+    paged = ["page"] if "page" in came.columns else []
+    ok = came.where("status = 'ok'").select("site_ord", "adapter", "url", *paged, "html")
+    flags = F.broadcast(came.select("site_ord", "filtered").distinct())  # a row a site
+    some = written(hits(ok, limit))  # at most `limit` rows a site, which several steps read: pages are parsed once
+    kept = some.join(flags, "site_ord").where(~F.col("filtered") | _has_query(query)).drop("filtered")
     again = kept.withColumn("rn", F.row_number().over(Window.partitionBy("site_ord").orderBy("rn")))
     return interleave(results(again), limit).select("place", "title", "url", "snippet", "site")
 

@@ -1,6 +1,7 @@
 """Queries against their SQL on tables with rows that the given ones lack."""
 
 import oracle
+from pyspark.sql import functions as F
 
 from foliant.plans import catalogue
 
@@ -41,3 +42,9 @@ PART = "p_partkey long, p_name string"
 
 def test_search_listing_without_results(spark, tmp_path):
     assert differs(spark, tmp_path, "search_listing", part=([(i, "large ring") for i in range(5)], PART)) == ""
+
+
+def test_search_flow_over_several_pages(spark, tmp_path):
+    rows = [(i, "red bolt" if i % 7 == 0 else "large ring") for i in range(0, 1900, 3)]
+    assert differs(spark, tmp_path, "search_flow", part=(rows, PART)) == ""
+    assert catalogue._responses(spark, str(tmp_path)).agg(F.max(F.length("html"))).first()[0] < 30_000
