@@ -5,12 +5,12 @@ takes four bits a pair. Codebooks and codes minimise a loss in which the residua
 that part is what changes large inner products. A search scans the codes of a cell with one table of 16 entries a pair for each query (two pairs
 to a byte: 256 entries), keeps the best `rerank` of it, or a share of its vectors if that is more, and reranks these by exact inner products in double precision.
 
-Centres and codebooks are fitted on at most `sample` vectors, those least by hashed id; every vector is indexed. There is a cell for each `CELL` vectors, up to one for 40 of the sample (500 by
-default; a greater `sample` allows more). A query visits the cells with the greatest expected best score. How many cells, and the share of a cell to rerank, are what queries drawn from the sample need to find the share `FOUND` of their
-true neighbours in the sample: where vectors have no clusters that is all cells, where clusters are too tight for the codes it is the size of a cluster. The first cells, the
+Centres and codebooks are fitted on at most `sample` vectors, those least by hashed id; every vector is indexed. There is a cell for each `CELL` vectors, up to one for 40 of the three quarters of the sample that are fitted on (375 by
+default; a greater `sample` allows more). A query visits the cells with the greatest expected best score. How many cells, and the share of a cell to rerank, are what queries drawn from the sample, and `ASKED` of the queries themselves (those least by hashed id), need to find the share `FOUND` of their
+true neighbours among that quarter of the sample that nothing is fitted on, the greater of both: where vectors have no clusters that is all cells, where clusters are too tight for the codes it is the size of a cluster. The first cells, the
 root of their number, give each query its k-th best score so far, and from the others only what reaches it leaves a task. A cell of over `VECTOR_BLOCK` vectors is scanned in blocks, and the queries that visit a cell come in parts of `QUERY_BLOCK`, so a task holds one
 block of either and no broadcast grows with the data. A vector is sent once for each part of its cell's queries, a query once for each cell that it visits.
-Where the sample allows no more cells (over 512,000 vectors by default), cells hold more vectors and more queries, so that work and shuffle grow faster than the table, unless `sample` is raised
+Where the sample allows no more cells (over 384,000 vectors by default), cells hold more vectors and more queries, so that work and shuffle grow faster than the table, unless `sample` is raised
 along with it. Equal vectors have equal scores and codes, so each distinct vector is scanned and reranked once and stands for the k + 1 smallest ids
 that have it, which it gives only then: others can't be among the k nearest. Recall against brute force is measured in the tests.
 
@@ -33,6 +33,8 @@ VECTOR_BLOCK = 32_768
 CELL = 1024
 SAMPLE = 20_000
 FIT = 4_000  # of the sample, for the codebook
+HELD = 4  # one in so many of the sample is not fitted on, but measured on
+ASKED = 400  # queries that the search is measured on
 FOUND = 0.985
 RERANK = 64
 ETA = 4.0
@@ -148,29 +150,39 @@ def assigned(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Centres, codebook, and how many cells a query visits, from a sample of the `n` vectors."""
+    """Centres, codebook, and how many cells a query visits, from a sample of the `n` vectors and one of the queries (if none, of the vectors)."""
 
-    def __init__(self, sample: np.ndarray, n: int, k: int = 20, eta: float = ETA) -> None:
+    def __init__(self, sample: np.ndarray, n: int, k: int = 20, eta: float = ETA, asked: np.ndarray | None = None) -> None:
         x = np.asarray(sample, np.float64)
-        self.centres = centres_of(x, max(1, min(-(-n // CELL), len(x) // 40)))
-        at = assigned(x, self.centres)
-        left = x - self.centres[at]
+        unseen = np.arange(len(x)) % HELD == HELD - 1  # what is fitted on the others serves these as it serves rows beyond the sample
+        fit = x[~unseen]
+        self.centres = centres_of(fit, max(1, min(-(-n // CELL), len(fit) // 40)))
+        at = assigned(fit, self.centres)
+        left = fit - self.centres[at]
         square = np.bincount(at, weights=(left**2).sum(1), minlength=len(self.centres))
         # The spread along a query's direction, three standard deviations out: where a large cell's best vector may be.
         self.reach = 3 * np.sqrt(square / np.maximum(np.bincount(at, minlength=len(self.centres)), 1) / x.shape[1])
-        self.book = Codebook(left[:FIT], eta, toward=x[:FIT])
-        self.visits, self.share = self.needed(x, at, k)
+        self.book = Codebook(left[:FIT], eta, toward=fit[:FIT])
+        held = np.flatnonzero(unseen) if unseen.any() else np.arange(len(x))
+        few = max(1, -(-k * len(held) // n))  # as near among these as the k nearest are among all
+        self.visits, self.share = self.needed(x, held, few, x[held[:: max(1, len(held) // ASKED)]])
+        if asked is not None and len(asked):  # queries may be of another kind than most vectors
+            self.visits, self.share = map(max, zip((self.visits, self.share), self.needed(x, held, few, np.asarray(asked, np.float64)), strict=True))
 
     def order(self, queries: np.ndarray) -> np.ndarray:
         """Cells of each query, the most promising one first."""
         return np.argsort(-(queries @ self.centres.T + np.linalg.norm(queries, axis=1, keepdims=True) * self.reach[None]), axis=1, kind="stable")
 
-    def needed(self, x: np.ndarray, at: np.ndarray, k: int) -> tuple[int, float]:
-        """(cells to visit, share of a cell to rerank)."""
-        asked = x[:: max(1, len(x) // 400)]
+    def needed(self, x: np.ndarray, held: np.ndarray, k: int, asked: np.ndarray) -> tuple[int, float]:
+        """(cells to visit, share of a cell to rerank) for the k nearest of `held`, rows of `x`, to each of these queries, equal vectors left out."""
         place = np.argsort(self.order(asked), axis=1)  # a cell's place in the order
-        k = min(k + 1, len(x))
-        best = np.argpartition(-(asked @ x.T), k - 1, axis=1)[:, :k]
+        score, own = asked @ x[held].T, {v.tobytes(): j for j, v in enumerate(x[held] + 0.0)}
+        for i, v in enumerate(asked + 0.0):
+            if v.tobytes() in own and len(held) > 1:
+                score[i, own[v.tobytes()]] = -np.inf
+        k = min(k, max(1, len(held) - 1))
+        best = held[np.argpartition(-score, k - 1, axis=1)[:, :k]]
+        at = assigned(x, self.centres)
         rough = asked @ (self.centres[at] + self.book.decoded(self.book.encode(x - self.centres[at], toward=x))[:, : x.shape[1]]).T
         share = np.zeros(best.shape)
         for c in range(len(self.centres)):
@@ -239,7 +251,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
 def _found(distinct: DataFrame, asked: DataFrame, n: int, k: int, rerank: int, sample: int) -> DataFrame:
     """(query_id, vec_id, score) of the best in each cell that a query visits; all vectors have one length."""
     some = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
-    index = Index(np.array([r.embedding for r in some], np.float64), n, k)
+    queries = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).select("embedding").collect()
+    index = Index(np.array([r.embedding for r in some], np.float64), n, k, asked=np.array([r.embedding for r in queries], np.float64))
     kind = distinct.schema["embedding"].dataType.simpleString()
 
     def placed(batches):

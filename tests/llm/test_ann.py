@@ -149,3 +149,23 @@ def test_many_vectors_under_the_id_of_a_query(spark):
     asked = np.array(min(v.tolist() for v in mine))
     want = sorted((float((asked * np.array(v)).sum()) for _, v in rows[400:]), reverse=True)[:20]
     assert sum(abs(a.score - b) < 1e-9 for a, b in zip(out, want, strict=True)) >= 18
+
+
+def test_queries_of_another_kind_and_lengths_of_all_sizes(spark):
+    """Queries without clusters on tight clusters; and vectors whose lengths differ so much that few of the nearest are in the sample."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 64))[rng.integers(0, 60, 12_000)] + rng.normal(size=(12_000, 64)) * 0.02
+    x[::20] = rng.normal(size=(600, 64)) * 0.3
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(ann.search(vectors, vectors.where("vec_id % 100 = 0"), sample=6000))
+    score = x[::100] @ x.T
+    score[np.arange(len(score)), np.arange(0, len(x), 100)] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    assert np.mean([len({v for v, _ in got[q]} & set(b)) / 20 for q, b in zip(range(0, len(x), 100), best.tolist(), strict=True)]) >= 0.95
+
+    x = rng.normal(size=(60_000, 32)) * rng.lognormal(0, 1, size=(60_000, 1))
+    index = ann.Index(x[:12_000], len(x))
+    place, at = np.argsort(index.order(x[::600]), axis=1), index.cells(x)
+    best = np.argsort(-(x[::600] @ x.T), axis=1)[:, 1:21]
+    assert np.mean(np.take_along_axis(place, at[best], 1) < index.visits) >= 0.96
