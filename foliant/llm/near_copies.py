@@ -11,9 +11,11 @@ fall on h, so the bits in which two sketches differ are no more than the shingle
 `WHOLE` shingles are sketched by the shingles with l low zero bits, and a pair may differ by `SIGMAS` standard deviations more: of such pairs about one in 10 ** 11 is missed there.
 
 Members of large keys meet in three rounds, of which each leaves out what the ones before have joined. In the first each text has its least large key only, which near copies mostly share, so a group of
-them meets once, not once for each key; in the others every key whose members are in more than one component. The first two give a forest of each key, the closest texts first; the last all that may be
-near and is in different components still. Links are confirmed after each round. So a large group of near copies costs about a tree, in rows and in comparisons: members in a key's largest component are
-compared with those outside only.
+them meets once, not once for each key; in the others every key whose members are in more than one component. The first two give a forest of each key; the last all that may be near and is in different
+components still. Links are confirmed after each round. A forest takes pairs that are near beyond the sketches' doubt as they come and the others nearest first, since a pair that is refused later keeps
+its key's other pairs between the same components from being asked in that round. So what a large group of near copies gives is about a tree for each key; what the last round adds are pairs of different
+components that the sketches can't tell from near ones: similarities of 0.79 and more up to `WHOLE` shingles, of about 0.7 and more beyond. Members in a key's largest component are compared with those outside only; members
+that are no near copies are still all compared within the task.
 
 Cases: null, empty and blank texts are alike; a text of fewer words than a shingle is one shingle; an empty table gives no links.
 """
@@ -32,7 +34,9 @@ WIDTH = 5
 SMALL = 32
 SAMPLE = 20_000
 COMMON = 1 << 17
-WHOLE, BITS, SIGMAS = 256, 1024, 7.0
+WHOLE, BITS, SIGMAS = 1024, 4096, 7.0
+SURE = 3.0
+HELD = 1 << 18
 PAIRS = "a long, b long, na int, nb int, key long"
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -167,14 +171,38 @@ def _sketches(batches):
 
 
 def _reachable(n, levels, own, above, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the members j, not smaller than i: those that may be near it, and their distances in bits."""
+    """Of the members j, not smaller than i: those that may be near it, and by how many deviations the shingles in which they seem to differ are fewer than 0.8 allows."""
     higher = levels[j] > levels[i]
     mine = np.where(higher[:, None], above[i][None], own[i][None])
     apart = np.bitwise_count(mine ^ own[j]).sum(axis=1, dtype=np.int64)
     most = (n[i] + n[j].astype(np.int64)) // 9  # shingles in which sets at 0.8 differ
     share = most / np.exp2(levels[j])
     fine = apart <= np.where(levels[j] == 0, most, share + SIGMAS * np.sqrt(share) + 3)
-    return j[fine], apart[fine]
+    j, apart, share = j[fine], apart[fine], share[fine]
+    differ = np.log1p(-2 * apart / BITS) * (-BITS / 2)  # so many shingles leave that many odd bits
+    # All shingles are sketched at level 0, so only those that fall on one bit make a deviation there.
+    deviation = np.where(levels[j] == 0, 0.5 + share * np.sqrt(2 / BITS), np.sqrt(share + 1))
+    return j, np.where(apart == 0, np.inf, (share - differ) / deviation)
+
+
+def _spanning(i, j, slack, label):
+    """Of the pairs (i, j) those that join the components, nearest first."""
+    parent, taken = {x: x for x in np.unique(label).tolist()}, []
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    order = np.argsort(-slack, kind="stable")
+    for at, x, y in zip(order.tolist(), label[i[order]].tolist(), label[j[order]].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            taken.append(at)
+            if len(taken) == len(parent) - 1:
+                break
+    return i[taken], j[taken], slack[taken]
 
 
 def _met(size, deep, own, above, label, forest: bool):
@@ -183,6 +211,7 @@ def _met(size, deep, own, above, label, forest: bool):
     outside = np.flatnonzero(label != kinds[count.argmax()])  # members of the largest component meet nobody else
     out, left = np.zeros(len(size), bool), len(kinds)
     out[outside] = True
+    doubted, held = [], 0
     for i in range(len(size) - 1):
         if forest and left == 1:
             return
@@ -191,14 +220,25 @@ def _met(size, deep, own, above, label, forest: bool):
         j = j[label[j] != label[i]]
         if not len(j):
             continue
-        j, apart = _reachable(size, deep, own, above, i, j)
+        j, slack = _reachable(size, deep, own, above, i, j)
         if forest and len(j):
-            j = j[np.argsort(apart, kind="stable")]
-            j = j[np.sort(np.unique(label[j], return_index=True)[1])]
+            order = np.argsort(-slack, kind="stable")
+            first = order[np.sort(np.unique(label[j[order]], return_index=True)[1])]  # of each component the nearest
+            j, slack = j[first], slack[first]
+            sure = slack >= SURE
+            if not sure.all():
+                doubted.append((np.full(int((~sure).sum()), i), j[~sure], slack[~sure]))
+                held += len(doubted[-1][0])
+            j = j[sure]
             label[np.isin(label, label[j])] = label[i]
             left -= len(j)
+            if held > HELD:
+                doubted = [_spanning(*map(np.concatenate, zip(*doubted, strict=True)), label)]
+                held = len(doubted[0][0])
         if len(j):
             yield np.full(len(j), i), j
+    if doubted:
+        yield _spanning(*map(np.concatenate, zip(*doubted, strict=True)), label)[:2]
 
 
 def _large_pairs(forest: bool):

@@ -119,3 +119,43 @@ def test_a_large_group_costs_about_a_tree(spark, monkeypatch):
     want = sorted(set(groups(texts)))
     assert 1 <= len(want) < 150 and sorted(r.doc_id for r in C.near_duplicates(spark, df, "").collect()) == want
     assert sum(asked) < 150 * 149 / 2 / 2
+
+
+def test_noisy_copies_of_a_long_text_cost_about_a_tree(spark, monkeypatch):
+    """Copies of a text of 396 shingles with similarities from 0.4 to 0.99: most pairs lie around the border, and what is asked still grows like the group."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(50)}x{i}" for i in range(400)]
+    texts = []
+    for _ in range(160):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 17)):
+            copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    asked, confirmed = [], N.confirmed
+    monkeypatch.setattr(N, "confirmed", lambda pairs, texts: asked.append(pairs.count()) or confirmed(pairs, texts))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    want = sorted(set(groups(texts)))
+    assert 10 < len(want) < 150 and sorted(r.doc_id for r in C.near_duplicates(spark, df, "").collect()) == want
+    assert sum(asked[2:]) < 2 * len(texts), asked  # the rounds of large keys
+
+
+@pytest.mark.parametrize("held", [8, 1 << 18])
+def test_a_forest_reaches_what_all_pairs_reach(monkeypatch, held):
+    """Members of one key in small and large components: a forest joins the components that all possible pairs would, with one pair less than it joins."""
+    monkeypatch.setattr(N, "HELD", held)
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = sorted((np.unique(np.r_[base[rng.random(200) < 0.93], rng.integers(0, 1 << 63, 8, dtype=np.uint64)]) for _ in range(90)), key=len)
+    size, deep = np.array([len(x) for x in sets]), np.array([N.level(len(x)) for x in sets])
+    bits = np.frombuffer(b"".join(map(N.sketch, sets)), np.uint64).reshape(len(sets), 2, -1)
+    label = np.minimum(rng.integers(0, 60, len(sets)), 40)
+
+    def joined(forest):
+        pairs = [p for i, j in N._met(size, deep, bits[:, 0], bits[:, 1], label.copy(), forest) for p in zip(i.tolist(), j.tolist())]
+        at = label.copy()
+        for i, j in pairs:
+            at[at == at[j]] = at[i]
+        return len(pairs), {frozenset(np.flatnonzero(at == x).tolist()) for x in np.unique(at)}
+
+    (many, all_), (few, tree) = joined(False), joined(True)
+    assert tree == all_ and few == len(np.unique(label)) - len(tree) < many / 4
